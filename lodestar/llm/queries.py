@@ -8,9 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import chat, embeddings, jaccard, packing, quality, secrets, sharding, substring
+from lodestar.llm import chat, embeddings, jaccard, packing, pieces, quality, secrets, sharding, substring, training_order
+from lodestar.llm.scratch import stage
 
 TOKENIZER, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +29,14 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the shards and reads them all back: a row per slot."""
+    ordered = training_order.in_training_order(_table(spark, sf_dir, "documents"), TOKENIZER, RANKS, key="epoch-0")
+    path = training_order.shard_folder(spark, "training-shards")
+    manifest = stage(training_order.write_shards(ordered, path, per_shard=8192), "training-manifest")
+    return training_order.read_shards(manifest, path).select("slot", "shard", "at", F.octet_length("payload").alias("stride"), F.crc32("payload").alias("ids_crc32"))
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_groups(_table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
@@ -43,6 +53,12 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(named(base), 256).alias("base_sha256"), named(F.col("secrets")).alias("spans"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text, and the text that they give back."""
+    coded = pieces.decode(pieces.encode(_table(spark, sf_dir, "documents"), PIECE_MODEL), PIECE_MODEL, out="decoded")
+    return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_ids"), F.crc32("ids").alias("ids_crc32"), F.crc32(F.encode("decoded", "UTF-8")).alias("decoded_crc32"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = sharding.shard_documents(_table(spark, sf_dir, "documents"), shards=40)
     return plan.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
@@ -74,12 +90,71 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_quality_rules": op2_quality_rules,
+    "op3_training_order": op3_training_order,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op6_secret_scan": op6_secret_scan,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_sharding": op8_sharding,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_chat_formatting": op10_chat_formatting,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_ngram_jaccard_join": r"""
+WITH RECURSIVE tokens AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents
+), sets AS (
+    SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM tokens
+), grams AS (
+    SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets
+), links AS (
+    SELECT a.doc_id AS a, b.doc_id AS b FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id
+    GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+), reach AS (
+    SELECT doc_id AS node, doc_id AS seen FROM documents UNION SELECT r.node, l.b FROM reach r JOIN links l ON r.seen = l.a
+)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(r.seen) AS component_id FROM sets s JOIN reach r ON r.node = s.doc_id GROUP BY s.doc_id, s.s""",
+    "op5_embedding_near_dedup": """
+WITH RECURSIVE good AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.95
+), reach AS (
+    SELECT vec_id AS node, vec_id AS seen FROM embeddings UNION SELECT r.node, l.b FROM reach r JOIN links l ON r.seen = l.a
+), component AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node),
+degree AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(d.n, 0) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
+FROM embeddings e JOIN component c ON c.node = e.vec_id LEFT JOIN degree d ON d.a = e.vec_id""",
+    "op9_substring_dedup": r"""
+WITH docs AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents
+), windows AS (
+    SELECT doc_id, unnest(range(1, len(w) - 48)) AS i, w FROM docs WHERE len(w) >= 50
+), hashed AS (
+    SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM windows
+), late AS (
+    SELECT doc_id, i, min(doc_id) OVER (PARTITION BY h) AS first FROM hashed
+), gone AS (
+    SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM late WHERE first < doc_id
+), words AS (
+    SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM docs
+), kept AS (
+    SELECT w.doc_id, string_agg(word, ' ' ORDER BY p) AS t FROM words w ANTI JOIN gone g ON g.doc_id = w.doc_id AND g.p = w.p GROUP BY w.doc_id
+), removed AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(r.n, 0) AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256
+FROM docs d LEFT JOIN removed r USING (doc_id) LEFT JOIN kept k USING (doc_id)""",
+    "op10_chat_formatting": r"""
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'
+), whole AS (
+    SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS t,
+        coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS l,
+        CAST(sum(24 + length(replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '\n')) + length(replace(replace(text, '\', '\\'), '<|', '<\|'))) AS BIGINT) AS formatted_chars
+    FROM turns GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(t) AS turns_sha256, length(l) AS loss_chars, sha256(l) AS loss_sha256, formatted_chars FROM whole""",
+}
