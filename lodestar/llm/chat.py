@@ -79,8 +79,11 @@ def paths(messages: DataFrame, keep: int = 1) -> DataFrame:
     walk = chosen.select("tree", F.col("node").alias("leaf"), "rank", "node", "depth")
     for k, level in reversed(list(enumerate(levels[:-1]))):
         jump = level.where("up is not null").select(F.col("tree").alias("t"), F.col("node").alias("n"), "up")
-        higher = walk.join(jump, same(F.col("tree"), F.col("t")) & (F.col("node") == F.col("n"))).select("tree", "leaf", "rank", F.col("up").alias("node"), (F.col("depth") - (1 << k)).alias("depth"))
-        walk = walk.unionByName(higher)
+        joined = walk.join(jump, same(F.col("tree"), F.col("t")) & (F.col("node") == F.col("n")), "left")
+        here = F.struct("node", "depth")
+        higher = F.struct(F.col("up").alias("node"), (F.col("depth") - (1 << k)).alias("depth"))
+        both = F.when(F.col("up").isNull(), F.array(here)).otherwise(F.array(here, higher))
+        walk = joined.select("tree", "leaf", "rank", F.explode(both).alias("at")).select("tree", "leaf", "rank", "at.node", "at.depth")
     return walk
 
 
