@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from lodestar.llm.components import Forest, components
 from lodestar.llm.scratch import sized, stage
-from lodestar.llm.words import WordHashes, mix, shingles
+from lodestar.llm.words import WordHashes, mix, shingles, slices
 
 #: Chance that the bands lose a pair that is exactly at the threshold.
 MISS = 1e-9
@@ -78,7 +78,7 @@ def _sketch(k: int, threshold: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
-        for batch in batches:
+        for batch in slices(batches):
             sizes, high, low, found, offsets = [], [], [], [], [0]
             for text in batch.column(1).to_pylist():
                 s = shingles(word_hashes(text, cache), k)
@@ -286,8 +286,8 @@ def _link_pools(docs: DataFrame, classes: DataFrame, pools: DataFrame, k: int, n
     # Representatives of the components of a pool's blocks meet first: in most large pools they are all one component.
     part = stage(components(first), "jaccard-parts").withColumnRenamed("node", "id")
     placed = stage(many.join(part, "id", "left").withColumn("component", F.coalesce("component", "id")), "jaccard-placed")
-    slices = F.greatest(F.lit(1), F.floor(F.col("blocks") / 8)).cast("long")
-    heads = placed.where("component = id").withColumn("slice", F.pmod(F.xxhash64("id", F.lit(1)), slices))
+    parts = F.greatest(F.lit(1), F.floor(F.col("blocks") / 8)).cast("long")
+    heads = placed.where("component = id").withColumn("slice", F.pmod(F.xxhash64("id", F.lit(1)), parts))
     head_texts = docs.where("text is not null").join(sized(stage(heads, "jaccard-heads")), "id").withColumn("side", F.lit(0))
     second = stage(head_texts.select("id", "pool", "slice", "text", "side", "component").groupBy("pool", "slice").applyInPandas(_link(["pool", "slice"], k, num, den), "a long, b long"), "jaccard-links")
     part = stage(components(first.unionByName(second)), "jaccard-parts").withColumnRenamed("node", "id")

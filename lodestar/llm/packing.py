@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from lodestar.llm import tokens
 from lodestar.llm.scratch import sized, stage
+from lodestar.llm.words import slices
 
 PIECES = "doc_id long, piece int, start long, length int, ids binary"
 
@@ -109,7 +110,7 @@ def _cut(tokenizer: str, ranks: str, end: int, capacity: int):
         task = TaskContext.get().partitionId()
         bpe = tokens.load(tokenizer, ranks)
         seen = np.zeros(capacity + 1, np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             columns: list[list] = [[] for _ in range(6)]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = np.append(bpe.encode(text or ""), np.uint32(end)).astype("<u4")

@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestar.llm.words import slices
+
 GOOD, BAD, ABSTAIN = 1, -1, 0
 
 _SYMBOLS = b"#*$%&|<>"
@@ -156,7 +158,7 @@ def _measure(text: str):
     """Stats and votes of each row, beside the columns that came in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = np.array([statistics(x) for x in batch.column(text).to_pylist()], np.int64).reshape(-1, len(STATS))
             cast = votes({n: found[:, i] for i, n in enumerate(STATS)})
             rest = [n for n in batch.schema.names if n not in _ADDED]

@@ -14,11 +14,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A staged table is broadcast only while its compressed files stay under this size.
-BROADCAST_BYTES = 8 << 20
+#: A staged table is broadcast only while its compressed files and its rows stay under both bounds.
+BROADCAST_BYTES, BROADCAST_ROWS = 4 << 20, 500_000
 
 _own: dict[str, str] = {}
-_paths: dict[int, str] = {}
 
 
 def root(spark: SparkSession) -> str:
@@ -38,7 +37,6 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     path = f"{root(df.sparkSession)}/{label}-{uuid.uuid4().hex[:12]}"
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
-    _paths[id(out)] = path
     out._staged_path = path  # noqa: SLF001
     return out
 
@@ -62,8 +60,6 @@ def drop(df: DataFrame) -> None:
 
 
 def sized(staged: DataFrame) -> DataFrame:
-    """The staged table with a broadcast hint while its files are under ``BROADCAST_BYTES``.
-
-    Larger tables get no hint, and the join shuffles.
-    """
-    return F.broadcast(staged) if staged_bytes(staged) <= BROADCAST_BYTES else staged
+    """The staged table with a broadcast hint while it is within the bounds; larger ones get none, and the join shuffles."""
+    small = staged_bytes(staged) <= BROADCAST_BYTES and staged.count() <= BROADCAST_ROWS
+    return F.broadcast(staged) if small else staged

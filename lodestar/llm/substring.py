@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestar.llm.scratch import sized, stage
-from lodestar.llm.words import Windows, WordHashes, mix
+from lodestar.llm.words import Windows, WordHashes, mix, slices
 
 GRAM = 20
 
@@ -54,7 +54,7 @@ def phrases(hashes: Windows, n: int, window: int, gram: int) -> tuple[np.ndarray
 def _index(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
-        for batch in batches:
+        for batch in slices(batches):
             keys, docs, parts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), []
             for key, doc, text in zip(keys, docs, batch.column(2).to_pylist()):
                 words = text.encode("utf-8", "surrogatepass").split()
@@ -70,7 +70,7 @@ def _index(window: int, gram: int):
 def _boundary_windows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
-        for batch in batches:
+        for batch in slices(batches):
             parts = []
             keys, docs = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
             for key, doc, text, spans in zip(keys, docs, batch.column(2).to_pylist(), batch.column(3)):
@@ -104,9 +104,25 @@ def duplicate_spans(df: DataFrame, id_col: str = "doc_id", text: str = "text", w
     texts = docs.join(sized(forms), "key").select("key", "doc", "text", "spans")
     windows = stage(texts.mapInArrow(_boundary_windows(window), "key long, doc long, hash long, first int"), "substring-windows")
     earliest = windows.groupBy("hash").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high")
-    late = windows.join(earliest.select("hash", "low"), "hash").where("doc > low").select("key", "first", F.lit(1).cast("smallint").alias("count"))
-    runs = hits.where("whole").select("key", "first", "count").unionByName(late)
-    return runs.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("first", "count"))).alias("spans"))
+    late = windows.join(earliest.select("hash", "low"), "hash").where("doc > low").select("key", "first", F.lit(1).alias("count"))
+    runs = hits.where("whole").select("key", "first", F.col("count").cast("int").alias("count")).unionByName(late)
+    spans = runs.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("first", "count"))).alias("spans"))
+    return spans.mapInArrow(_merge, "key long, spans array<struct<first:int,count:int>>")
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Touching runs of windows made one; runs come sorted."""
+    for batch in batches:
+        out = []
+        for spans in batch.column(1).to_pylist():
+            merged: list[dict] = []
+            for s in spans:
+                if merged and s["first"] <= merged[-1]["first"] + merged[-1]["count"]:
+                    merged[-1]["count"] = max(merged[-1]["count"], s["first"] + s["count"] - merged[-1]["first"])
+                else:
+                    merged.append(dict(s))
+            out.append(merged)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.struct([("first", pa.int32()), ("count", pa.int32())])))], ["key", "spans"])
 
 
 def row_key(id_col: str, text: str):
@@ -129,7 +145,7 @@ def _cut(text_at: int, names: list[str], window: int):
     word = regex.compile(rb"[^ \t\n\x0b\x0c\r]+")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts, kept, total, gone = batch.column(text_at).to_pylist(), [], [], []
             spans = batch.column(batch.num_columns - 1)
             for i, text in enumerate(texts):

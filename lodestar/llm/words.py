@@ -6,17 +6,29 @@ feed and carriage return, which is what ``bytes.split()`` yields for UTF-8.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 #: Words whose hashes a worker remembers before it starts afresh.
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 200_000
+#: Texts that a task holds as Python objects at once.
+ROWS_AT_ONCE = 256
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``ROWS_AT_ONCE``."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+            yield batch.slice(at, ROWS_AT_ONCE)
+
+
 class WordHashes(dict):
     """word -> 64-bit hash; forgets everything once it holds ``CACHED_WORDS``."""
 
