@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows that one task numbers.
+CELL_ROWS = 1_000_000
+
+
 def last_per_id(new: DataFrame, order: str | None = None, id_col: str = "id") -> DataFrame:
     """One row per id: that with the largest ``order``, or any if none is given."""
     if order is None:
@@ -71,16 +75,25 @@ def alive(store: DataFrame, tombstones: DataFrame, id_col: str = "id") -> DataFr
 def compact(store: DataFrame, tombstones: DataFrame, id_col: str = "id", renumber: bool = False) -> DataFrame:
     """The store without deleted rows; ids stay unless ``renumber``, which adds ``new_id`` 0, 1, ... by id.
 
-    Numbering counts rows per range of ids first, so no task sees the whole store.
+    Rows are numbered in cells of about ``CELL_ROWS`` (ranges of a numeric id, hashes of
+    any other), after the rows of the cells before, so no task sees the whole store.
     """
     left = alive(store, tombstones, id_col)
     if not renumber:
         return left
-    spread = left.repartitionByRange(id_col).withColumn("_p", F.spark_partition_id())
-    sizes = spread.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    cells = max(1, left.count() // CELL_ROWS)
+    if cells == 1:
+        cell = F.lit(0)
+    elif dict(left.dtypes)[id_col] in ("tinyint", "smallint", "int", "bigint", "float", "double"):
+        bounds = sorted(set(left.approxQuantile(id_col, [i / cells for i in range(1, cells)], 0.1 / cells)))
+        cell = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col(id_col)))
+    else:
+        cell = F.pmod(F.xxhash64(id_col), F.lit(cells)).cast("int")
+    keyed = left.withColumn("_p", cell)
+    sizes = keyed.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     starts = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_s"))
     place = F.row_number().over(Window.partitionBy("_p").orderBy(id_col)) - 1
-    return spread.withColumn("_i", place).join(F.broadcast(starts), "_p").withColumn("new_id", F.col("_s") + F.col("_i")).drop("_p", "_i", "_s")
+    return keyed.withColumn("_i", place).join(F.broadcast(starts), "_p").withColumn("new_id", F.col("_s") + F.col("_i")).drop("_p", "_i", "_s")
 
 
 def stats(store: DataFrame, tombstones: DataFrame | None, dims: int, bytes_per_vector: float, id_col: str = "id") -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import vec as V
 from lodestar.functions.text import content_tokens, tokens
-from lodestar.operators import bm25, codecs, quality, ranking, search, select, store, training
+from lodestar.operators import bm25, codecs, quality, ranking, retriever, search, select, store, training
 from lodestar.session import table, vectors
 from lodestar.streaming.encode import windowed_counts
 
@@ -718,3 +718,71 @@ def codec_ratios(spark, sf_dir):
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def events_windowed(spark, sf_dir):
     return windowed_counts(table(spark, sf_dir, "events")).select("start", "event_type", "n", F.round("total", 4).alias("total"))
+
+
+# Sweeps, stored forms, self-search --------------------------------------------------------------------------
+
+
+@query(f"WITH {_Q} SELECT query_id, vec_id AS id, round({cos('query', 'embedding')}, 6) AS score FROM q, embeddings")
+def cosine_matrix(spark, sf_dir):
+    return retriever.cosine_matrix(asked(spark, sf_dir), vectors(spark, sf_dir)).select("query_id", "id", r6("score").alias("score"))
+
+
+@query(f"WITH p AS (SELECT dims, embedding[1:dims] AS v FROM embeddings, (VALUES (8), (16), (32), (64)) t(dims)), m AS (SELECT *, list_max(list_transform(v, lambda x: abs(x))) AS m FROM p), {int8_sql()}, d AS (SELECT dims, v, list_transform(codes, lambda c: CAST(CAST(c AS FLOAT) * s AS FLOAT)) AS y FROM e) SELECT dims, round(avg({cos('v', 'y')}), 6) AS mean_cosine FROM d GROUP BY dims")
+def quality_by_dims(spark, sf_dir):
+    return retriever.by_dimensions(vectors(spark, sf_dir), "int8", [8, 16, 32, 64]).select("dims", r6("mean_cosine").alias("mean_cosine"))
+
+
+@query("SELECT event_type, round(quantile_disc(value, 0.5), 6) AS p50, round(quantile_disc(value, 0.95), 6) AS p95, round(quantile_disc(value, 0.99), 6) AS p99 FROM events GROUP BY event_type")
+def latency_percentiles(spark, sf_dir):
+    rank = lambda p: F.round(F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY value)"), 6)
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(rank(0.5).alias("p50"), rank(0.95).alias("p95"), rank(0.99).alias("p99"))
+
+
+_U8 = f"{_LONG}, t AS (SELECT dim, CAST(min(x) AS DOUBLE) AS low, CAST(max(x) AS DOUBLE) AS high FROM long GROUP BY dim), d AS (SELECT vec_id, list(CAST(low + round(greatest(0.0, least(1.0, CAST((CAST(x AS DOUBLE) - low) / (high - low) AS FLOAT))) * 255, 0) / 255.0 * (high - low) AS FLOAT) ORDER BY dim) AS y FROM long JOIN t USING (dim) GROUP BY vec_id)"
+
+
+def u8_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codecs.minmax(vectors(spark, sf_dir)).select("id", codecs.minmax_decode(F.col("codes"), F.col("lows"), F.col("highs")).alias("vec"))
+
+
+@query(f"WITH {_Q}, {_U8}, " + topk_sql(f"SELECT query_id, vec_id AS id, {cos('query', 'y')} AS score FROM q, d", 5))
+def minmax_topk(spark, sf_dir):
+    return search.knn(asked(spark, sf_dir), u8_decoded(spark, sf_dir), 5).select("query_id", "id", r6("score").alias("score"), "rank")
+
+
+@query(f"WITH {_Q}, {_U8}, b AS (SELECT query_id, max({cos('query', 'y')}) AS c FROM q, d GROUP BY query_id) SELECT round(avg(c), 6) AS mean, round(min(c), 6) AS least, round(max(c), 6) AS most FROM b")
+def self_search_u8(spark, sf_dir):
+    sample = asked(spark, sf_dir).select(F.col("query_id").alias("id"))
+    s = retriever.self_search(vectors(spark, sf_dir), u8_decoded(spark, sf_dir), sample)
+    return s.select(r6("mean").alias("mean"), r6("least").alias("least"), r6("most").alias("most"))
+
+
+@query(f"WITH {_ERR} SELECT round(avg(c), 6) AS mean_cosine FROM x")
+def mean_cosine(spark, sf_dir):
+    return quality.mean_cosine(decoded(spark, sf_dir, "int8")).select(r6("mean_cosine").alias("mean_cosine"))
+
+
+@query(f"WITH {_ERR} SELECT round(avg(greatest(-1, least(1, c))), 6) AS fidelity FROM x")
+def cosine_fidelity(spark, sf_dir):
+    return quality.fidelity(decoded(spark, sf_dir, "int8")).select(r6("fidelity").alias("fidelity"))
+
+
+@query("SELECT e.vec_id AS id, CASE WHEN q.c >= 0.9999 THEN 'int8' WHEN q.c >= 0.98 AND q.r <= 8 THEN 'nf4' WHEN q.r <= 16 THEN 'pq' ELSE 'rq' END AS format FROM embeddings e, LATERAL (SELECT 0.95 + (e.vec_id % 6) * 0.01 AS c, (e.vec_id % 20) AS r) q")
+def format_choice(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    return v.select("id", select.format_by_targets(F.lit(0.95).cast("decimal(10,2)") + (F.col("id") % 6) * F.lit(0.01).cast("decimal(10,2)"), F.col("id") % 20).alias("format"))
+
+
+@query("SELECT vec_id AS id, sha256('local:hash:' || label) AS key FROM embeddings")
+def embedding_cache_keys(spark, sf_dir):
+    from lodestar.functions.text import cache_key
+
+    return vectors(spark, sf_dir).select("id", cache_key(F.lit("local"), F.lit("hash"), F.col("label").cast("string")).alias("key"))
+
+
+@query(f"WITH {_Q}, {_CENT}, f AS (SELECT query_id, count(*) AS rows FROM asg JOIN pr USING (list_id) WHERE probe <= 2 GROUP BY query_id) SELECT * FROM f")
+def ivf_probed_rows(spark, sf_dir):
+    lists = fixed_lists(spark, sf_dir)
+    index = search.assign(vectors(spark, sf_dir), lists)
+    return index.join(F.broadcast(search.probes(asked(spark, sf_dir), lists, 2)), "list_id").groupBy("query_id").agg(F.count(F.lit(1)).alias("rows"))

@@ -203,6 +203,16 @@ def test_store_policies(spark):
     assert store.alive(old, store.tombstone(None, new)).count() == 1
 
 
+def test_renumbering_in_cells(spark, monkeypatch):
+    monkeypatch.setattr(store, "CELL_ROWS", 30)
+    dead = spark.range(0, 500, 3)
+    rows = store.compact(spark.range(500), dead, renumber=True).orderBy("id").collect()
+    assert [r["new_id"] for r in rows] == list(range(len(rows)))
+    named = spark.range(500).select(F.concat(F.lit("n"), F.col("id").cast("string")).alias("id"))
+    rows = store.compact(named, named.limit(0), renumber=True).collect()
+    assert sorted(r["new_id"] for r in rows) == list(range(500))
+
+
 def test_filters(spark):
     df = spark.createDataFrame([(1, {"k": "a"}), (2, {"k": "b"}), (3, {})], "id int, m map<string,string>")
     ids = lambda *c: sorted(r["id"] for r in df.where(search.metadata_filter(list(c), "m")).collect())

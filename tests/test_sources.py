@@ -92,3 +92,70 @@ def test_observed(spark):
 
 def test_toy(spark):
     assert files.toy(spark).count() == 3
+
+
+def test_ivf_codebook_and_datasets(spark, tmp_path):
+    from lodestar.operators import search, training
+    from lodestar.sources import index
+
+    df = files.gaussian(spark, 120, 16).cache()
+    lists = training.ivf_train(df, 4, 4)
+    index.save_ivf(search.assign(df, lists), lists, str(tmp_path / "ivf"))
+    rows, cents = index.load_ivf(spark, str(tmp_path / "ivf"))
+    q = df.limit(3).select(F.col("id").alias("query_id"), F.col("vec").alias("query"))
+    near = search.ivf_search(q, rows, cents, 1, 1)
+    assert all(r["id"] == r["query_id"] for r in near.collect())
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan
+    book = training.pq_train(df, 4, 8, 2)
+    index.save_codebook(spark, book, str(tmp_path / "cb"), np.eye(16))
+    got, turn = index.load_codebook(spark, str(tmp_path / "cb"), True)
+    assert np.allclose(got, book) and np.allclose(turn, np.eye(16))
+    for codec in (None, "int8", "nf4", "binary"):
+        index.save_dataset(df, str(tmp_path / "ds"), codec)
+        assert index.load_dataset(spark, str(tmp_path / "ds")).where(F.size("vec") == 16).count() == 120
+    found = index.run_pipeline(spark, df, str(tmp_path / "run"), "int8", 4, q, 2, 4)
+    assert found.count() == 6 and spark.read.json(str(tmp_path / "run" / "results")).count() == 3
+    assert index.with_ids(df.select("vec")).select("id").distinct().count() == 120
+
+
+def test_transport_config_profiles(spark, tmp_path):
+    import base64
+
+    from lodestar.operators import select
+    from lodestar.sources import index
+
+    coded = spark.createDataFrame([(1, [1, -1, 127, -127, 0], 0.5)], "id long, codes array<tinyint>, scale float")
+    r = index.transport(coded, "base64").first()
+    assert np.frombuffer(base64.b64decode(r["codes"]), np.int8).tolist() == [1, -1, 127, -127, 0] and json.loads(r["scale"]) == {"scale": 0.5}
+    assert index.transport(coded, "ints").first()["codes"] == [1, -1, 127, -127, 0]
+    index.RunConfig("nf4", "fast", extra={"a": 1}).save(spark, str(tmp_path / "cfg"))
+    assert index.RunConfig.load(spark, str(tmp_path / "cfg")).codec == "nf4"
+    with pytest.raises(ValueError):
+        index.RunConfig("nothing")
+    select.add_profile(select.Profile("own", 8, 0.9, 99.0, 0.9))
+    index.save_profiles(spark, str(tmp_path / "p"))
+    select.remove_profile("own")
+    index.load_profiles(spark, str(tmp_path / "p"))
+    assert "own" in select.PROFILES
+    select.remove_profile("own")
+
+
+def test_text_store(spark, tmp_path):
+    from lodestar.operators import retriever, select
+
+    embed = lambda df: select.embed_tokens(df, 64)
+    texts = spark.createDataFrame([("a", "red apple pie", {"k": "x"}), ("b", "green apple tart", {"k": "y"}), ("c", "steam engine", {})], "id string, text string, metadata map<string,string>")
+    q = spark.createDataFrame([(0, "apple pie"), (1, "engine")], "query_id int, text string")
+    s = retriever.TextStore(None, embed).add(texts)
+    best = {r["query_id"]: r["id"] for r in s.search(q, 1).collect()}
+    assert best == {0: "a", 1: "c"}
+    assert {r["id"] for r in s.search(q, 3, [("k", "==", "y")]).collect()} == {"b"}
+    assert s.search_mmr(q, 2).count() == 4 and s.search_hybrid(q, 2, 0.5).where("rank = 1 and query_id = 1").first()["id"] == "c"
+    assert s.search_many(q, 1).count() == 1 and s.stats().first()["documents"] == 3
+    s.save(str(tmp_path / "store"))
+    again = s.load(str(tmp_path / "store")).delete(spark.createDataFrame([("a",)], "id string"))
+    assert again.rows.count() == 2 and again.add(texts.limit(1)).rows.count() == 3 and again.delete().rows.count() == 0
+    bad = lambda *_: 1 / 0
+    assert retriever.rrf_retrieve([lambda qs, k: s.search(qs, k), bad], q, 2).count() == 4
+    assert "mean" in retriever.report(retriever.self_search(files.toy(spark), files.toy(spark), files.toy(spark)))
