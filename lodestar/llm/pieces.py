@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.llm.words import slices
+
 #: Characters of a chunk of a giant text.
 CHUNK = 32_768
 
@@ -55,7 +57,7 @@ def cut(text: str, chunk: int) -> list[str]:
 
 def _cut(chunk: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 parts = cut(text, chunk)
                 yield pa.RecordBatch.from_arrays([pa.array([key] * len(parts), pa.int64()), pa.array(np.arange(len(parts), dtype=np.int32)), pa.array(parts, pa.string())], ["key", "part", "text"])
@@ -66,10 +68,10 @@ def _cut(chunk: int):
 def _encode(model: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp = load(model)
-        for batch in batches:
+        for batch in slices(batches):
             # The library puts a space before a text, so a later chunk's own first space is left out.
             texts = [(x[1:] if p else x) for x, p in zip(batch.column(2).to_pylist(), batch.column(1).to_pylist())]
-            ids = [np.array(x, "<u4").tobytes() for x in sp.encode(texts, num_threads=1)] if texts else []
+            ids = [np.array(sp.encode(x), "<u4").tobytes() for x in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary())], ["key", "part", "ids"])
 
     return run
@@ -87,9 +89,9 @@ def encode(df: DataFrame, model: str, id_col: str = "doc_id", text: str = "text"
     short = small.select("key", F.lit(0).alias("part"), "text", F.col(id_col))
 
     def direct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = next(_encode(model)(iter([batch])))
-            yield pa.RecordBatch.from_arrays([batch.column(3), got.column(2)], [id_col, "ids"])
+        for batch in slices(batches):
+            for got in _encode(model)(iter([batch])):
+                yield pa.RecordBatch.from_arrays([batch.column(3), got.column(2)], [id_col, "ids"])
 
     kind = dict(df.dtypes)[id_col]
     near = short.mapInArrow(direct, f"`{id_col}` {kind}, ids binary")
@@ -112,7 +114,7 @@ def decode(coded: DataFrame, model: str, ids: str = "ids", out: str = "text") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp = load(model)
         at = rest.index(ids)
-        for batch in batches:
+        for batch in slices(batches):
             texts = [None if x is None else sp.decode(np.frombuffer(x, "<u4").tolist()) for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*rest, out])
 
