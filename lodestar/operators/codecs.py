@@ -10,6 +10,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,8 +23,6 @@ NF4_LEVELS = (-1.0, -0.6961928, -0.5250730, -0.3949003, -0.2844677, -0.1848745,
 
 def nf4_thresholds() -> list[float]:
     """Midpoints of neighbouring levels, in single precision."""
-    import numpy as np
-
     levels = np.array(NF4_LEVELS, np.float32)
     return [float(x) for x in (levels[:-1] + levels[1:]) / np.float32(2)]
 
@@ -210,9 +210,22 @@ def unpacked(data: Column, bits: int, count: int) -> Column:
 
 
 def minmax_table(df: DataFrame, vec: str = "vec") -> DataFrame:
-    """One row: arrays of every dimension's minimum and maximum."""
-    long = df.select(F.posexplode(vec).alias("dim", "x"))
-    per = long.groupBy("dim").agg(F.min("x").alias("low"), F.max("x").alias("high"))
+    """One row: arrays of every dimension's minimum and maximum.
+
+    Each task first reduces its batches to one row per dimension, so the shuffle
+    carries dimensions, not numbers.
+    """
+    def run(batches):
+        low = high = None
+        for b in batches:
+            if b.num_rows:
+                x = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+                low = x.min(0) if low is None else np.minimum(low, x.min(0))
+                high = x.max(0) if high is None else np.maximum(high, x.max(0))
+        if low is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(low), dtype=np.int32)), pa.array(low), pa.array(high)], ["dim", "low", "high"])
+
+    per = df.select(vec).mapInArrow(run, "dim int, low float, high float").groupBy("dim").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     ordered = F.array_sort(F.collect_list(F.struct("dim", "low", "high")))
     return per.agg(F.transform(ordered, lambda r: r["low"]).alias("lows"), F.transform(ordered, lambda r: r["high"]).alias("highs"))
 

@@ -50,8 +50,18 @@ def per_vector(df: DataFrame) -> DataFrame:
     )
 
 
-def metrics(df: DataFrame, ratio: float | None = None) -> DataFrame:
-    """One row: errors, cosines, error percentiles (linear between ranks), SNR, PSNR, SSIM, ratio."""
+def _percentiles(c: Column, at: list[float], accuracy: int | None) -> Column:
+    """Exact percentiles, linear between ranks, or a sketch of fixed size."""
+    wanted = F.array(*[F.lit(p) for p in at])
+    return F.percentile(c, wanted) if accuracy is None else F.percentile_approx(c, wanted, F.lit(accuracy))
+
+
+def metrics(df: DataFrame, ratio: float | None = None, accuracy: int | None = None) -> DataFrame:
+    """One row: errors, cosines, error percentiles, SNR, PSNR, SSIM, ratio.
+
+    Exact percentiles keep a count per distinct error in one task; ``accuracy`` (say
+    10000) takes a mergeable sketch instead, for tables of more than some 10^8 numbers.
+    """
     rows = per_vector(df)
     each = rows.select(F.explode("errors").alias("e"))
     size = F.sum("dims")
@@ -60,7 +70,7 @@ def metrics(df: DataFrame, ratio: float | None = None) -> DataFrame:
         F.avg("cosine").alias("mean_cosine"), F.min("cosine").alias("min_cosine"), F.max("cosine").alias("max_cosine"), F.avg("ssim").alias("ssim"),
         (F.sum("signal") / size).alias("power"), F.max("top").alias("peak"), (size * 4 / (size + 4 * F.count(F.lit(1)))).alias("estimated"),
     )
-    tail = each.agg(F.percentile(F.abs("e"), F.array(*[F.lit(p / 100) for p in PERCENTILES])).alias("p"))
+    tail = each.agg(_percentiles(F.abs("e"), [p / 100 for p in PERCENTILES], accuracy).alias("p"))
     inf = F.lit(float("inf"))
     return whole.crossJoin(tail).select(
         "mae", "mse", F.sqrt("mse").alias("rmse"), "mean_cosine", "min_cosine", "max_cosine", *[F.col("p")[i].alias(f"p{str(p).replace('.', '_')}") for i, p in enumerate(PERCENTILES)],
@@ -82,10 +92,10 @@ def fidelity(df: DataFrame) -> DataFrame:
     return df.where((a > 0) & (b > 0)).agg(F.avg(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), V.cosine(F.col("vec"), F.col("decoded"))))).alias("fidelity"))
 
 
-def audit(df: DataFrame) -> DataFrame:
-    """One row: vectors, mean, least and 5th-percentile cosine, mean L2 and relative error."""
+def audit(df: DataFrame, accuracy: int | None = None) -> DataFrame:
+    """One row: vectors, mean, least and 5th-percentile cosine, mean L2 and relative error; ``accuracy`` as in ``metrics``."""
     return per_vector(df).agg(
-        F.count(F.lit(1)).alias("n"), F.avg("cosine").alias("mean_cosine"), F.min("cosine").alias("min_cosine"), F.percentile("cosine", F.lit(0.05)).alias("p5_cosine"), F.avg("l2_error").alias("mean_l2"), F.avg("relative_error").alias("mean_relative")
+        F.count(F.lit(1)).alias("n"), F.avg("cosine").alias("mean_cosine"), F.min("cosine").alias("min_cosine"), _percentiles(F.col("cosine"), [0.05], accuracy)[0].alias("p5_cosine"), F.avg("l2_error").alias("mean_l2"), F.avg("relative_error").alias("mean_relative")
     )
 
 

@@ -56,8 +56,11 @@ def _blocks(queries: DataFrame, dims: int) -> Iterator[tuple[list, np.ndarray]]:
         yield ids, np.array(rows, np.float64)
 
 
-def _partial(ids: list, q: np.ndarray, k: int, metric: str, own: bool):
-    names = pa.array(ids)
+_ARROW = {"tinyint": pa.int8(), "smallint": pa.int16(), "int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}
+
+
+def _partial(ids: list, kind: str, q: np.ndarray, k: int, metric: str, own: bool):
+    names = pa.array(ids, _ARROW.get(kind))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,7 +102,7 @@ def knn(queries: DataFrame, db: DataFrame, k: int, metric: str = "cosine", where
     rows = rows.where((F.size("vec") == dims) & ~F.exists("vec", lambda x: x.isNull())).select("id", "vec")
     out = None
     for ids, q in _blocks(queries.where(F.size("query") == dims), dims):
-        part = rows.mapInArrow(_partial(ids, q, k, metric, include_self), schema)
+        part = rows.mapInArrow(_partial(ids, types[0], q, k, metric, include_self), schema)
         out = part if out is None else out.unionByName(part)
     return top_k(out, k)
 

@@ -243,3 +243,13 @@ def test_selection(gauss, spark):
     assert [r["method"] for r in select.families(cfg).collect()] == ["nf4", "int8", "auto", "auto"]
     with pytest.raises(ValueError):
         select.Profile("bad", 9, 1.0, 100.0, 0.9)
+
+
+@pytest.mark.parametrize("name", ["int8", "nf4", "sq2", "sq3"])
+def test_arrow_codecs_equal_expressions(gauss, name):
+    from lodestar.operators import arrow
+
+    _, df = gauss
+    slow, fast = codecs.decode(codecs.encode(df, name), name), arrow.decode(arrow.encode(df, name), name)
+    for c in ("code.codes", "code.scale", "decoded"):
+        assert (column(slow.select("id", F.col(c).alias("c")), "c") == column(fast.select("id", F.col(c).alias("c")), "c")).all()
