@@ -786,3 +786,26 @@ def ivf_probed_rows(spark, sf_dir):
     lists = fixed_lists(spark, sf_dir)
     index = search.assign(vectors(spark, sf_dir), lists)
     return index.join(F.broadcast(search.probes(asked(spark, sf_dir), lists, 2)), "list_id").groupBy("query_id").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query()
+def ann_search(spark, sf_dir):
+    from lodestar.operators.ann import AnnIndex
+
+    v = vectors(spark, sf_dir)
+    return AnnIndex.build(v, 16).search(asked(spark, sf_dir), 10, 64).select("query_id", "id", r6("score").alias("score"), "rank")
+
+
+@query()
+def ann_recall(spark, sf_dir):
+    from lodestar.operators.ann import AnnIndex
+
+    return AnnIndex.build(vectors(spark, sf_dir), 16).recall_estimate(20, 10, 128)
+
+
+@query("SELECT vec_id, " + ", ".join(f"CASE WHEN embedding[{i}] IS NULL THEN 0 ELSE 1 END AS d{i}" for i in (1, 64)) + ", 64 AS dims FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0")
+def valid_vectors(spark, sf_dir):
+    from lodestar.session import valid
+
+    one = lambda i: F.when(F.col("vec")[i].isNull(), 0).otherwise(1)
+    return valid(vectors(spark, sf_dir), 64).select(F.col("id").alias("vec_id"), one(0).alias("d1"), one(63).alias("d64"), F.size("vec").alias("dims"))

@@ -157,6 +157,16 @@ def read_npz(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(run, "path string, row long, codes array<tinyint>, scale float")
 
 
+def upgrade(spark: SparkSession, source: str, target: str, dry_run: bool = False) -> DataFrame:
+    """One row: files and rows of NPZ artefacts that would be, or have been, rewritten as stored codes."""
+    rows = read_npz(spark, source)
+    summary = rows.agg(F.count_distinct("path").alias("files"), F.count(F.lit(1)).alias("rows"))
+    if not dry_run:
+        names = F.concat(F.element_at(F.split("path", "/"), -1), F.lit("#"), F.col("row").cast("string"))
+        rows.select(names.alias("id"), "codes", "scale", F.size("codes").alias("dims"), F.lit("int8").alias("codec")).write.mode("overwrite").parquet(target)
+    return summary
+
+
 def inspect(spark: SparkSession, path: str) -> DataFrame:
     """``(file, bytes, rows)`` of a stored table, from file metadata."""
     df = spark.read.parquet(path)

@@ -253,3 +253,40 @@ def test_arrow_codecs_equal_expressions(gauss, name):
     slow, fast = codecs.decode(codecs.encode(df, name), name), arrow.decode(arrow.encode(df, name), name)
     for c in ("code.codes", "code.scale", "decoded"):
         assert (column(slow.select("id", F.col(c).alias("c")), "c") == column(fast.select("id", F.col(c).alias("c")), "c")).all()
+
+
+def test_ann_index(spark, tmp_path):
+    from lodestar.operators.ann import AnnIndex
+    from lodestar.sources.files import gaussian
+
+    df = gaussian(spark, 500, 16).cache()
+    index = AnnIndex.build(df, 16)
+    q = df.where("id < 5").select(F.col("id").alias("query_id"), F.col("vec").alias("query"))
+    first = lambda i: {r["query_id"]: r["id"] for r in i.search(q, 1).collect()}
+    assert first(index) == {i: i for i in range(5)}
+    gone = index.delete(df.where("id = 2"))
+    assert first(gone)[2] != 2 and gone.stats().first()["deleted"] == 1 and gone.compact().stats().first()["total"] == 499
+    assert first(gone.add(df.where("id = 2")))[2] == 2
+    assert index.recall_estimate(20, 5, 500).first()["recall"] > 0.9
+    assert {r["id"] % 2 for r in index.search(q, 3, where=F.col("id") % 2 == 1).collect()} == {1}
+    assert index.search_for_recall(q, 5, 0.5).count() == 5
+    gone.save(str(tmp_path / "i"))
+    assert AnnIndex.load(spark, str(tmp_path / "i")).stats().first()["total"] == 499
+
+
+@pytest.mark.parametrize("profile,least", [("int8", 0.999), ("nf4-mixed", 0.98), ("pq-16", 0.75), ("opq-16", 0.7), ("rq-16", 0.95), ("autoencoder-32", 0.3)])
+def test_compressor(gauss, profile, least):
+    from lodestar.operators.facade import Compressor
+
+    _, df = gauss
+    live = df.where("id <> 3")
+    c = Compressor(profile, k=32)
+    assert quality.mean_cosine(c.roundtrip(live)).first()[0] > least and c.ratio() > 1
+    if profile in ("int8", "pq-16"):
+        back = c.decompress(c.compress(live)).select("id", F.col("vec").alias("decoded"))
+        assert quality.mean_cosine(live.join(back, "id")).first()[0] > least
+    else:
+        with pytest.raises(ValueError):
+            c.compress(live)
+    with pytest.raises(ValueError):
+        Compressor("nothing").fit(live)

@@ -159,3 +159,21 @@ def test_text_store(spark, tmp_path):
     bad = lambda *_: 1 / 0
     assert retriever.rrf_retrieve([lambda qs, k: s.search(qs, k), bad], q, 2).count() == 4
     assert "mean" in retriever.report(retriever.self_search(files.toy(spark), files.toy(spark), files.toy(spark)))
+
+
+def test_upgrade(spark, tmp_path):
+    np.savez(tmp_path / "a.npz", quantized=np.ones((3, 4), np.int8), scales=np.ones(3, np.float32))
+    assert files.upgrade(spark, str(tmp_path / "a.npz"), str(tmp_path / "t"), dry_run=True).first()["rows"] == 3 and not (tmp_path / "t").exists()
+    files.upgrade(spark, str(tmp_path / "a.npz"), str(tmp_path / "t"))
+    assert files.validate(spark.read.parquet(str(tmp_path / "t"))).first()["valid"]
+
+
+def test_commands(spark, tmp_path):
+    from lodestar.__main__ import main
+
+    (tmp_path / "v.jsonl").write_text("".join(json.dumps({"id": f"v{i}", "vector": [float(i + 1), 1.0, -float(i)]}) + "\n" for i in range(9)))
+    assert main(["compress", str(tmp_path / "v.jsonl"), str(tmp_path / "s"), "--codec", "int8"]) == 0
+    assert main(["validate", str(tmp_path / "s")]) == 0 and main(["inspect", str(tmp_path / "s")]) == 0 and main(["audit", str(tmp_path / "v.jsonl")]) == 0
+    assert main(["search", str(tmp_path / "s"), str(tmp_path / "v.jsonl"), str(tmp_path / "r"), "-k", "1"]) == 0
+    rows = spark.read.json(str(tmp_path / "r")).collect()
+    assert len(rows) == 9 and all(r["results"][0]["id"] == r["query_id"] for r in rows)
