@@ -5,7 +5,12 @@ the cell of its nearest centroid.  A vector within reach of a linked one that li
 in another cell is also a guest there: if x lives in cell a and y in cell b, y lies
 beyond the plane half-way between the two centroids, so x can link to it only if the
 angle from x to that plane is at most the linking angle.  Guests go to cells with
-lower numbers only, so that each pair meets once, and no link is lost to the cells.
+lower numbers only, so that each pair meets once.
+
+That bound loses no link, but it is met only by a y that differs from x in just the
+direction of the plane.  Differences of d numbers have a share of about 1 / sqrt(d) in any
+one direction, so by default a vector is a guest within ``SIGMAS`` such shares of the
+bound; ``sigmas=None`` asks for the bound itself.
 
 Within a cell, blocks of rows are multiplied in pairs.  A product gives link counts
 and a spanning forest of its links, never the pairs themselves.  Identical vectors
@@ -29,7 +34,9 @@ from lodestar.llm.scratch import stage
 SAMPLE_ROWS, SAMPLE_NUMBERS = 16_384, 2_000_000
 #: Rows that a cell is meant to hold, and cells at most.
 CELL_ROWS, MAX_CELLS = 1_500, 1_024
-BLOCK = 1_024
+BLOCK = 2_048
+#: Shares of the linking angle's sine, each 1 / sqrt(d), within which a vector is a guest.
+SIGMAS = 3.0
 
 
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,23 +78,23 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 15, seed: int = 7) ->
     return centroids
 
 
-def reach(x: np.ndarray, centroids: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+def reach(x: np.ndarray, centroids: np.ndarray, threshold: float, sigmas: float | None) -> tuple[np.ndarray, np.ndarray]:
     """(home cell of each row, mask of the cells below it where the row is a guest)."""
     products = x @ centroids.T
     home = products.argmax(axis=1)
     gap = np.sqrt(np.maximum(2 - 2 * centroids[home] @ centroids.T, 0))
-    sine = np.sqrt(1 - threshold * threshold)
+    sine = np.sqrt(1 - threshold * threshold) * (1 if sigmas is None else min(1.0, sigmas / np.sqrt(x.shape[1])))
     best = products[np.arange(len(x)), home][:, None]
     guest = (best - products) <= sine * gap + 1e-9
     return home, guest & (np.arange(len(centroids)) < home[:, None])
 
 
-def _assign(centroids: np.ndarray, threshold: float):
+def _assign(centroids: np.ndarray, threshold: float, sigmas: float | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            home, guest = reach(unit(batch.column(2).to_pylist(), centroids.shape[1]), centroids, threshold)
+            home, guest = reach(unit(batch.column(2).to_pylist(), centroids.shape[1]), centroids, threshold, sigmas)
             row, cell = np.nonzero(guest)
             at = np.concatenate([np.arange(len(home)), row])
             rows = batch.take(pa.array(at))
@@ -139,9 +146,12 @@ def _roots(ids: np.ndarray, near: np.ndarray, alone: bool) -> np.ndarray:
     return label
 
 
-def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding", threshold: float = 0.95) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding", threshold: float = 0.95, sigmas: float | None = SIGMAS) -> DataFrame:
     """``(id_col, n_links, component_id, kept)`` per row; vectors link at cosine >= threshold, above 0.
 
+    No link below the threshold is ever reported.  All links inside cells are found, and
+    those between cells up to ``sigmas``.
+
     Rows link with nothing if the vector is null, empty, zero or holds a null or
     non-finite number, if its length isn't the most common one, or if the id is
     null (component null, not kept).  Repeated rows link like any two equal vectors.
@@ -159,7 +169,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector: str = "embedd
     fit_on = classes.select("id", "raw").orderBy(F.xxhash64("id"), "id").limit(sample).collect()  # bounded by ``sample``
     cells = max(1, min(MAX_CELLS, total // CELL_ROWS, len(fit_on)))
     centroids = spherical_kmeans(unit([r["raw"] for r in fit_on], dim), cells)
-    placed = stage(classes.mapInArrow(_assign(centroids, threshold), "id long, copies long, raw binary, cell int, guest boolean"), "vector-cells")
+    placed = stage(classes.mapInArrow(_assign(centroids, threshold, sigmas), "id long, copies long, raw binary, cell int, guest boolean"), "vector-cells")
     blocks = placed.groupBy("cell").agg(F.ceil(F.count_if(~F.col("guest")) / BLOCK).cast("int").alias("homes"), F.ceil(F.count_if(F.col("guest")) / BLOCK).cast("int").alias("guests"))
     split = placed.join(F.broadcast(blocks), "cell")  # at most MAX_CELLS rows
     own = F.pmod(F.xxhash64("id"), F.greatest("homes", F.lit(1))).cast("int")
