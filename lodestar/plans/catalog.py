@@ -710,7 +710,7 @@ def lora_pairs(spark, sf_dir):
     return select.lora(rows).select("module", "matrix", "rows", r6("mean_cosine").alias("mean_cosine"))
 
 
-@query("SELECT name, round(ratio, 6) AS ratio FROM (VALUES " + ", ".join(f"('{n}', {c.ratio(64)!r})" for n, c in codecs.CODECS.items()) + ") t(name, ratio)")
+@query("SELECT name, round(CAST(ratio AS DOUBLE), 6) AS ratio FROM (VALUES " + ", ".join(f"('{n}', {c.ratio(64)!r})" for n, c in codecs.CODECS.items()) + ") t(name, ratio)")
 def codec_ratios(spark, sf_dir):
     return spark.createDataFrame([(n, float(c.ratio(64))) for n, c in codecs.CODECS.items()], "name string, ratio double").select("name", r6("ratio").alias("ratio"))
 
