@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from lodestar.llm import tokens
 from lodestar.llm.scratch import sized, stage
-from lodestar.llm.words import mix
+from lodestar.llm.words import mix, slices
 
 ROUNDS = 6
 
@@ -69,7 +69,7 @@ def _sequences(tokenizer: str, ranks: str, end: int, length: int, dtype: str):
             place += n
             return out
 
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 rest = np.concatenate([rest, bpe.encode(text or "").astype(dtype), np.array([end], dtype)])
                 if len(rest) >= 64 * length:
@@ -104,19 +104,47 @@ def in_training_order(df: DataFrame, tokenizer: str, ranks: str, key: str, text:
     return made.join(sized(before), "task").select((F.col("before") + F.col("place")).alias("number"), "tokens", "payload").mapInArrow(number, "slot long, tokens int, payload binary")
 
 
+#: Sequences that the compression dictionary is trained on at most; it changes the size of the shuffle only.
+SAMPLE = 1_500
+
+
+def _dictionary(ordered: DataFrame):
+    """Dictionary of common byte runs, or None if there are too few sequences for one."""
+    import zstandard
+
+    sample = [bytes(r["payload"]) for r in ordered.select("payload").limit(SAMPLE).collect()]
+    if len(sample) < 64:
+        return None
+    return zstandard.train_dictionary(min(112_640, sum(map(len, sample)) // 20), sample).as_bytes()
+
+
+def _packed(dictionary: bytes | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        squeeze = zstandard.ZstdCompressor(level=6, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([squeeze.compress(x.as_buffer()) for x in batch.column(2)], pa.binary())], ["shard", "slot", "payload"])
+
+    return run
+
+
 def write_shards(ordered: DataFrame, path: str, per_shard: int) -> DataFrame:
     """Write ``path/shard-NNNNNNNN.bin`` files of ``per_shard`` slots; returns the manifest (shard, first, slots, stride, file).
 
     A shard is one range of slots and is written by one task, front to back, under a
     name of its own attempt and then renamed: a task that is run again puts the same
-    bytes in the same place.
+    bytes in the same place.  Sequences are compressed on their way to that task.
     """
+    dictionary = _dictionary(ordered)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
 
+        import zstandard
         from pyspark import TaskContext
 
+        expand = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
         store, top = fs.FileSystem.from_uri(path)
         store.create_dir(top, recursive=True)
         attempt = f"{TaskContext.get().taskAttemptId()}-{uuid.uuid4().hex[:8]}"
@@ -128,20 +156,22 @@ def write_shards(ordered: DataFrame, path: str, per_shard: int) -> DataFrame:
 
         for batch in batches:
             for shard, slot, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                payload = expand.decompress(payload.as_buffer())
                 if shard != now:
                     if out is not None:
                         close()
                     now, out = shard, store.open_output_stream(f"{top}/_{shard}-{attempt}")
-                    rows.append([shard, slot, 0, len(payload.as_py()), f"{top}/shard-{shard:08d}.bin"])
-                out.write(payload.as_buffer())
+                    rows.append([shard, slot, 0, len(payload), f"{top}/shard-{shard:08d}.bin"])
+                out.write(payload)
                 rows[-1][2] += 1
         if out is not None:
             close()
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _MANIFEST)] if rows else [pa.array([], t) for t in _MANIFEST], ["shard", "first", "slots", "stride", "file"])
 
-    keyed = ordered.select(F.floor(F.col("slot") / per_shard).cast("long").alias("shard"), "slot", "payload")
-    parts = ordered.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    return keyed.repartitionByRange(int(parts), "shard").sortWithinPartitions("shard", "slot").mapInArrow(write, "shard long, first long, slots long, stride int, file string")
+    keyed = ordered.select(F.floor(F.col("slot") / per_shard).cast("long").alias("shard"), "slot", "payload").mapInArrow(_packed(dictionary), "shard long, slot long, payload binary")
+    parts = int(ordered.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Whole ranges go to partitions by their numbers; dealing by sampled ranges would make every sequence twice.
+    return keyed.repartitionById(parts, F.pmod("shard", F.lit(parts)).cast("int")).sortWithinPartitions("shard", "slot").mapInArrow(write, "shard long, first long, slots long, stride int, file string")
 
 
 _MANIFEST = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string())
