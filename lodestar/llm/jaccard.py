@@ -263,8 +263,8 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text: str = "text", k:
     named = sketch.select("id", "n_shingles", "high", "low")
     reps = sets.groupBy("high", "low", "n_shingles").agg(F.min("id").alias("rep"))
     renamed = found.select(F.col("node").alias("rep"), "component")
-    reps = reps.join(renamed, "rep", "left").select("high", "low", "n_shingles", F.coalesce("component", "rep").alias("component"))
-    joined = named.join(reps, ["high", "low", "n_shingles"], "left")
+    reps = stage(reps.join(renamed, "rep", "left").select("high", "low", "n_shingles", F.coalesce("component", "rep").alias("component")), "jaccard-named")
+    joined = named.join(sized(reps), ["high", "low", "n_shingles"], "left")  # both sides come from files, so a hot class can be split
     return joined.select(F.col("id").alias(id_col), "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id")).alias("component_id"))
 
 

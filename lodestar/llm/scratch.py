@@ -8,6 +8,8 @@ does a session get a folder of its own.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -20,6 +22,13 @@ BROADCAST_BYTES, BROADCAST_ROWS = 4 << 20, 500_000
 _own: dict[str, str] = {}
 
 
+def _folder() -> str:
+    """A temporary folder that goes with this process."""
+    path = tempfile.mkdtemp(prefix="lodestar-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
 def root(spark: SparkSession) -> str:
     """Shared folder for intermediate tables of this application."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
@@ -27,7 +36,7 @@ def root(spark: SparkSession) -> str:
     if not shared:
         if app not in _own:
             local = spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master
-            _own[app] = f"file://{tempfile.mkdtemp(prefix='lodestar-')}" if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
+            _own[app] = f"file://{_folder()}" if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
         shared = _own[app]
     return f"{shared.rstrip('/')}/lodestar-{app}"
 
@@ -59,6 +68,12 @@ def drop(df: DataFrame) -> None:
     fs.delete(p, True)
 
 
+def clear(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application; results that are still read from them must be written first."""
+    p, fs = _hadoop_path(spark, root(spark))
+    fs.delete(p, True)
+
+
 def sized(staged: DataFrame) -> DataFrame:
     """The staged table with a broadcast hint while it is within the bounds; larger ones get none, and the join shuffles."""
     small = staged_bytes(staged) <= BROADCAST_BYTES and staged.count() <= BROADCAST_ROWS

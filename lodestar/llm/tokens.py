@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 
 import numpy as np
 
@@ -17,21 +18,26 @@ class ByteBpe:
 
     ``ranks`` holds the same vocabulary for tiktoken, which encodes plain text
     several times faster; a text with the string of a special token is left to
-    ``tokenizers`` itself, which gives that string its own id.
+    ``tokenizers`` itself, which gives that string its own id.  It is loaded when the
+    first such text comes.
     """
 
     def __init__(self, tokenizer: str, ranks: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.exact = Tokenizer.from_file(tokenizer)
-        self.special = [t.content for t in self.exact.get_added_tokens_decoder().values()]
+        self.file, self.exact = tokenizer, None
+        with open(tokenizer, encoding="utf-8") as f:
+            self.special = [t["content"] for t in json.load(f).get("added_tokens", [])]
         with open(ranks, "rb") as lines:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.fast = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
 
     def encode(self, text: str) -> np.ndarray:
         if any(s in text for s in self.special):
+            if self.exact is None:
+                from tokenizers import Tokenizer
+
+                self.exact = Tokenizer.from_file(self.file)
             return np.array(self.exact.encode(text, add_special_tokens=False).ids, np.uint32)
         return np.asarray(self.fast.encode_to_numpy(text, disallowed_special=()), np.uint32)
 

@@ -174,7 +174,7 @@ def test_trigram_queries_are_necessary():
             assert query and all(any(all(g in text for g in need) for need in part) for part in query)
 
 
-def test_embeddings(spark):
+def test_embeddings(spark, sigmas=3.0):
     rng = np.random.default_rng(0)
     rows = []
     for i in range(300):
@@ -188,7 +188,7 @@ def test_embeddings(spark):
     exact = [(i, None if v is None or len(v) != 16 else [None if x is None else float(np.float32(x)) for x in v]) for i, v in rows]
     links, groups = brute.vector_groups(exact, 0.95)
     want = {i: (links[i], groups[i], groups[i] == i) for i, _ in rows}
-    assert {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embeddings.near_duplicates(df).collect()} == want
+    assert {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embeddings.near_duplicates(df, sigmas=sigmas).collect()} == want
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
     null = spark.createDataFrame([(None, [1.0, 0.0]), (1, [1.0, 0.0])], "vec_id long, embedding array<float>")
     assert sorted((str(r["vec_id"]), r["n_links"], r["kept"]) for r in embeddings.near_duplicates(null).collect()) == [("1", 0, True), ("None", 0, False)]
@@ -197,7 +197,20 @@ def test_embeddings(spark):
 def test_embeddings_cells_and_blocks_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(embeddings, "CELL_ROWS", 40)
     monkeypatch.setattr(embeddings, "BLOCK", 16)
-    test_embeddings(spark)
+    test_embeddings(spark, None)
+
+
+def test_embedding_recall(spark, monkeypatch):
+    """Over many cells nearly all links are found, and none below the threshold."""
+    monkeypatch.setattr(embeddings, "CELL_ROWS", 60)
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal((900, 64))
+    x = np.vstack([base, base[:600] + rng.standard_normal((600, 64)) * 0.3]).astype(np.float32)
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    links, _ = brute.vector_groups(rows, 0.95)
+    got = {r["vec_id"]: r["n_links"] for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    assert all(got[i] <= links[i] for i in got)
+    assert sum(links.values()) > 400 and sum(got.values()) >= 0.98 * sum(links.values())
 
 
 def test_sharding(spark, odd):
