@@ -3,8 +3,10 @@
 Each round hangs every node's larger neighbours on its smallest neighbour, then
 every node's smaller neighbours on the smallest of them; the number of rounds is
 about the logarithm of the longest chain.  Links never leave the executors: a round
-is two aggregations and two joins over a staged table, and a hub with many
-neighbours is an ordinary skewed join key.
+is two aggregations and two joins over staged tables.  A hub with many neighbours is a
+skewed key of a join between two tables that are read from files, which adaptive
+execution can split; it couldn't split one whose other side is an aggregation by the
+same key.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.scratch import drop, stage
+from lodestar.llm.scratch import drop, sized, stage
 
 
 class Forest:
@@ -68,14 +70,15 @@ def components(links: DataFrame) -> DataFrame:
     stars = stage(pairs.mapInArrow(_thin, "a long, b long").distinct(), "stars")
     mark = None
     while True:
-        both = stars.select(F.col("a").alias("n"), F.col("b").alias("o")).unionByName(stars.select(F.col("b").alias("n"), F.col("a").alias("o")))
-        least = both.groupBy("n").agg(F.least(F.min("o"), F.first("n")).alias("m"))
-        large = both.join(least, "n").where("o > n").select(F.col("o").alias("a"), F.col("m").alias("b")).distinct()
+        lower = stage(stars.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), "m"), "stars-lower")
+        # A larger neighbour of b goes to b's own smallest neighbour, or stays with b.
+        large = stars.join(sized(lower), F.col("b") == F.col("n"), "left").select("a", F.coalesce("m", "b").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
         new = stage(small, "stars")
         now = tuple(new.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(a, b))")).first())
         drop(stars)
+        drop(lower)
         stars = new
         if now == mark:
             break

@@ -256,6 +256,7 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text: str = "text", k:
     classes = stage(sets.groupBy("high", "low", "n_shingles").agg(F.min("id").alias("rep"), F.first("keys").alias("keys")).select("rep", "n_shingles", "keys"), "jaccard-classes")
     entries = classes.select(F.explode("keys").alias("key"), F.col("rep"))
     hubs = entries.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).where("hub < top").select("key", "hub")
+    hubs = stage(hubs, "jaccard-hubs")  # so that a band that very many classes share can be split in the join
     near = entries.join(hubs, "key").where("rep <> hub").select("rep", "hub").distinct()
     pools = stage(components(near).withColumnRenamed("component", "pool"), "jaccard-pools")
     links = _link_pools(docs, classes, pools, k, num, den)
@@ -272,7 +273,7 @@ def _link_pools(docs: DataFrame, classes: DataFrame, pools: DataFrame, k: int, n
     """Links inside every pool: first within blocks, then between blocks not yet joined."""
     sizes = pools.join(classes.select(F.col("rep").alias("node"), "n_shingles"), "node")
     totals = sizes.groupBy("pool").agg(F.greatest(F.lit(1), F.ceil(F.countDistinct("node") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    where = pools.withColumnRenamed("node", "id").join(totals, "pool").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    where = pools.withColumnRenamed("node", "id").join(sized(stage(totals, "jaccard-totals")), "pool").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     where = stage(where.select("id", "pool", "blocks", "block"), "jaccard-blocks")
     units = max(1, where.count() // UNIT)
     members = docs.where("text is not null").join(sized(where), "id")

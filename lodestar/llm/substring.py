@@ -96,7 +96,9 @@ def duplicate_spans(df: DataFrame, id_col: str = "doc_id", text: str = "text", w
     index = stage(docs.mapInArrow(_index(window, gram), "key long, doc long, anchor long, phrase long, first int, count smallint"), "substring-index")
     blocks = index.groupBy("anchor", "phrase").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
     anchors = blocks.groupBy("anchor").agg(F.min("low").alias("least"), F.max("high").alias("most"), F.count(F.lit(1)).alias("forms")).where("least < most")
-    shared = stage(blocks.join(anchors.select("anchor", "forms"), "anchor"), "substring-shared")
+    # Tables by one key are staged before they join rows of that key: the join can then split a hot one.
+    anchors = stage(anchors.select("anchor", "forms"), "substring-anchors")
+    shared = stage(blocks.join(anchors, "anchor"), "substring-shared")
     hits = stage(index.join(shared, ["anchor", "phrase"]).where("doc > low or forms > 1").select("key", "doc", "first", "count", (F.col("doc") > F.col("low")).alias("whole"), F.col("forms")), "substring-hits")
     # One document per form of a phrase stands for all that have the form.
     forms = hits.where("not whole").groupBy("key").agg(F.collect_set(F.struct("first", "count")).alias("spans"))
@@ -104,7 +106,7 @@ def duplicate_spans(df: DataFrame, id_col: str = "doc_id", text: str = "text", w
     texts = docs.join(sized(forms), "key").select("key", "doc", "text", "spans")
     windows = stage(texts.mapInArrow(_boundary_windows(window), "key long, doc long, hash long, first int"), "substring-windows")
     earliest = windows.groupBy("hash").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high")
-    late = windows.join(earliest.select("hash", "low"), "hash").where("doc > low").select("key", "first", F.lit(1).alias("count"))
+    late = windows.join(stage(earliest.select("hash", "low"), "substring-earliest"), "hash").where("doc > low").select("key", "first", F.lit(1).alias("count"))
     runs = hits.where("whole").select("key", "first", F.col("count").cast("int").alias("count")).unionByName(late)
     spans = runs.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("first", "count"))).alias("spans"))
     return spans.mapInArrow(_merge, "key long, spans array<struct<first:int,count:int>>")
