@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
 def tokens(text: Column) -> Column:
     """Words split at white space, lower-cased, without ASCII punctuation at either end; empty ones go."""
-    words = F.transform(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: F.regexp_replace(w, r"^\p{Punct}+|\p{Punct}+$", ""))
+    words = F.transform(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: F.btrim(w, F.lit(string.punctuation)))
     return F.filter(words, lambda w: w != "")
 
 
