@@ -1,9 +1,9 @@
 """Nearest-neighbour search as scored projections with a top-k per query.
 
-Queries are a small table.  While its vectors fit ``QUERY_BYTES`` they are shipped to
-every task, which multiplies each Arrow batch with all of them and keeps its own best
-k per query, so a shuffle carries at most k rows per query and batch.  A larger table of
-queries is cut into blocks of that size, and every block meets every row once.
+Queries are a small table.  While it is within ``QUERY_BYTES`` and ``QUERY_ROWS`` it is
+shipped to every task, which multiplies each Arrow batch with all of them and keeps its
+own best k per query, so a shuffle carries at most k rows per query and batch.  A larger
+table of queries is cut into blocks of that size, and every block meets every row once.
 
 Ties go to the smaller id.  Rows without a vector of the queries' length, or with a
 null in it, are never found.
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from lodestar.functions import vec as V
 from lodestar.operators import codecs
 
-#: Bytes of query vectors that go to every task at once.
-QUERY_BYTES = 32 << 20
+#: Bytes of query vectors, and queries, that go to every task at once, and rows that meet them at once there.
+QUERY_BYTES, QUERY_ROWS, SCORED_ROWS = 32 << 20, 1_024, 4_096
 
 
 def matrix(column: pa.Array, dims: int) -> np.ndarray:
@@ -45,7 +45,7 @@ def _scores(metric: str, x: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def _blocks(queries: DataFrame, dims: int) -> Iterator[tuple[list, np.ndarray]]:
-    step, ids, rows = max(1, QUERY_BYTES // (8 * dims)), [], []
+    step, ids, rows = max(1, min(QUERY_ROWS, QUERY_BYTES // (8 * dims))), [], []
     for r in queries.select("query_id", "query").toLocalIterator():
         ids.append(r["query_id"])
         rows.append(r["query"])
@@ -63,19 +63,21 @@ def _partial(ids: list, kind: str, q: np.ndarray, k: int, metric: str, own: bool
     names = pa.array(ids, _ARROW.get(kind))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (b.slice(at, SCORED_ROWS) for b in batches for at in range(0, b.num_rows, SCORED_ROWS)):
             scores = _scores(metric, matrix(batch.column(1), q.shape[1]), q)
             found = batch.column(0)
             if not own:
                 scores[found.to_numpy(zero_copy_only=False)[:, None] == names.to_numpy(zero_copy_only=False)[None]] = -np.inf
+            best = scores > -np.inf
             if len(scores) > k:
-                # Rows that tie with the k-th stay, so that the smaller id can win later.
-                least = np.partition(scores, len(scores) - k, axis=0)[len(scores) - k]
-            else:
-                least = np.full(len(ids), -np.inf)
-            row, query = np.nonzero((scores >= least) & (scores > -np.inf))
+                best &= scores >= np.partition(scores, len(scores) - k, axis=0)[len(scores) - k]
+                # Of rows that tie with the k-th, those with the smallest ids stay.
+                for j in np.flatnonzero(best.sum(axis=0) > k):
+                    names_of = found.to_pylist()
+                    tied = sorted(np.flatnonzero(best[:, j]).tolist(), key=lambda i: (-scores[i, j], names_of[i] is None, names_of[i]))[:k]  # noqa: B023
+                    best[:, j] = False
+                    best[tied, j] = True
+            row, query = np.nonzero(best)
             yield pa.RecordBatch.from_arrays([names.take(pa.array(query)), found.take(pa.array(row)), pa.array(scores[row, query])], ["query_id", "id", "score"])
 
     return run

@@ -104,6 +104,19 @@ def test_knn_edges(gauss, spark):
     assert [r["id"] for r in search.knn(one, ties, 3).orderBy("rank").collect()] == [0, 1, 2]
 
 
+def test_knn_blocks_and_ties(gauss, spark, monkeypatch):
+    _, df = gauss
+    q = df.where("id < 9").select(F.col("id").alias("query_id"), F.col("vec").alias("query"))
+    rows = lambda: sorted((r["query_id"], r["rank"], r["id"]) for r in search.knn(q, df, 4).collect())
+    whole = rows()
+    monkeypatch.setattr(search, "QUERY_ROWS", 2)
+    monkeypatch.setattr(search, "SCORED_ROWS", 16)
+    assert rows() == whole
+    same = spark.range(500).select("id", F.array(F.lit(1.0), F.lit(0.0)).cast("array<float>").alias("vec"))
+    one = spark.createDataFrame([(0, [1.0, 0.0])], "query_id long, query array<float>")
+    assert [r["id"] for r in search.knn(one, same, 3).orderBy("rank").collect()] == [0, 1, 2]
+
+
 def test_full_probe_is_exact(gauss):
     _, df = gauss
     lists = training.ivf_train(df, 8, 5)
