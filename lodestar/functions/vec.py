@@ -65,7 +65,8 @@ def abs_max(v: Column) -> Column:
 
 
 def mean(v: Column) -> Column:
-    return total(v) / F.size(v)
+    """Mean of the numbers; null for none."""
+    return F.try_divide(total(v), F.size(v))
 
 
 def median(v: Column) -> Column:
@@ -80,11 +81,13 @@ def median(v: Column) -> Column:
 def groups(v: Column, size: int) -> Column:
     """Consecutive slices of ``size``; the last may be shorter."""
     count = F.ceil(F.size(v) / size).cast("int")
-    return F.transform(F.sequence(F.lit(0), count - 1), lambda g: F.slice(v, g * size + 1, F.lit(size)))
+    numbers = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(numbers, lambda g: F.slice(v, g * size + 1, F.lit(size)))
 
 
 def wilson(hits: Column, n: Column, z: float = 1.959963984540054) -> Column:
-    """95 % interval (low, high) of a proportion."""
+    """95 % interval (low, high) of a proportion; nulls for no trials."""
+    n = F.when(n > 0, n)
     p, zz = hits / n, z * z
     middle, spread, scale = p + zz / (2 * n), z * F.sqrt(p * (1 - p) / n + zz / (4 * n * n)), 1 + zz / n
     return F.struct(F.greatest(F.lit(0.0), (middle - spread) / scale).alias("low"), F.least(F.lit(1.0), (middle + spread) / scale).alias("high"))

@@ -30,9 +30,9 @@ def passes(cosine: Column, least: float = 0.995) -> Column:
 
 def ssim(a: Column, b: Column) -> Column:
     """Structural similarity of two vectors, with constants 1e-4 and 9e-4."""
-    ma, mb = V.mean(a), V.mean(b)
-    va, vb = V.dot(a, a) / F.size(a) - ma * ma, V.dot(b, b) / F.size(b) - mb * mb
-    cov = V.dot(a, b) / F.size(a) - ma * mb
+    ma, mb, n = V.mean(a), V.mean(b), F.when(F.size(a) > 0, F.size(a))
+    va, vb = V.dot(a, a) / n - ma * ma, V.dot(b, b) / n - mb * mb
+    cov = V.dot(a, b) / n - ma * mb
     return (2 * ma * mb + 1e-4) * (2 * cov + 9e-4) / ((ma * ma + mb * mb + 1e-4) * (va + vb + 9e-4))
 
 

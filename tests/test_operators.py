@@ -55,6 +55,15 @@ def test_odd_dimensions(spark):
         assert len(codecs.decode(codecs.encode(df, name), name).first()["decoded"]) == 3
 
 
+def test_empty_zero_and_null_vectors(spark):
+    df = spark.createDataFrame([(1, []), (2, [0.0, 0.0]), (3, None)], "id long, vec array<float>")
+    for name in codecs.CODECS:
+        rows = {r["id"]: r["decoded"] for r in codecs.decode(codecs.encode(df.where("size(vec) <> 0 or vec is null"), name), name).collect()}
+        assert len(rows[2]) == 2 and (name in ("binary", "sq2", "sq3") or rows[2] == [0.0, 0.0])
+    per = {r["id"]: r["cosine"] for r in quality.per_vector(df.withColumn("decoded", F.col("vec"))).collect()}
+    assert per[2] == 0
+
+
 def test_pack_and_unpack(spark):
     df = spark.createDataFrame([(1, [3, 0, 1, 2, 3, 3, 1])], "id long, c array<int>")
     for bits, top in ((2, 4), (4, 16)):
