@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -25,10 +26,14 @@ class Index:
 
 def build(documents: DataFrame, k1: float = 1.5, b: float = 0.75) -> Index:
     """Index of ``(id, text)``; a document without tokens has length 0 and is found by no query."""
-    words = documents.select("id", tokens(F.col("text")).alias("words"))
-    docs = words.select("id", F.size("words").alias("length"))
-    tf = words.select("id", F.explode("words").alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("n"))
-    totals = docs.agg(F.count(F.lit(1)).alias("documents"), F.avg("length").alias("mean_length"))
+    split = documents.select("id", F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+")).alias("w"))
+    words = split.select("id", F.btrim("w", F.lit(string.punctuation)).alias("term")).where("term <> ''")
+    # Texts are cut once: lengths and totals are sums of term counts.
+    tf = words.groupBy("id", "term").agg(F.count(F.lit(1)).alias("n"))
+    lengths = tf.groupBy("id").agg(F.sum("n").alias("length"))
+    docs = documents.select("id").join(lengths, "id", "left").select("id", F.coalesce("length", F.lit(0)).alias("length"))
+    size = documents.agg(F.count(F.lit(1)).alias("documents"))
+    totals = size.crossJoin(tf.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("_t"))).select("documents", F.try_divide("_t", "documents").alias("mean_length"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     terms = df.crossJoin(F.broadcast(totals)).select("term", "df", robertson_idf(F.col("df"), F.col("documents")).alias("idf"))
     return Index(tf, docs, terms, totals, k1, b)

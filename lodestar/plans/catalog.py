@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import vec as V
 from lodestar.functions.text import content_tokens, tokens
-from lodestar.operators import bm25, codecs, quality, ranking, retriever, search, select, store, training
+from lodestar.operators import arrow, bm25, codecs, quality, ranking, retriever, search, select, store, training
 from lodestar.session import table, vectors
 from lodestar.streaming.encode import windowed_counts
 
@@ -116,8 +116,8 @@ _SCORED_INT8 = f"SELECT query_id, vec_id AS id, {cos('query', 'y')} AS score FRO
 
 @query(f"WITH {_Q}, {_INT8}, {_DEC}, " + topk_sql(_SCORED_INT8, 10))
 def int8_topk(spark, sf_dir):
-    db = codecs.encode(vectors(spark, sf_dir), "int8")
-    return search.knn_coded(asked(spark, sf_dir), db, "int8", 10).select("query_id", "id", r6("score").alias("score"), "rank")
+    db = arrow.decode(arrow.encode(vectors(spark, sf_dir), "int8"), "int8", out="vec")
+    return search.knn(asked(spark, sf_dir), db, 10).select("query_id", "id", r6("score").alias("score"), "rank")
 
 
 @query(f"WITH {_Q}, {_INT8}, " + topk_sql(f"SELECT query_id, vec_id AS id, {cos('query', 'codes')} AS score FROM q, e", 3))
@@ -346,7 +346,7 @@ def _recall_sql(found: str, extra: str) -> str:
 @query(_recall_sql(f"SELECT query_id, vec_id AS id, row_number() OVER (PARTITION BY query_id ORDER BY {cos('query', 'y')} DESC, vec_id) AS rank FROM q, d", f", {_INT8}, {_DEC}"))
 def recall_at_k_int8(spark, sf_dir):
     q, db = asked(spark, sf_dir), vectors(spark, sf_dir)
-    r = quality.recall(search.knn(q, db, 10), search.knn_coded(q, codecs.encode(db, "int8"), "int8", 10), 10)
+    r = quality.recall(search.knn(q, db, 10), search.knn(q, arrow.decode(arrow.encode(db, "int8"), "int8", out="vec"), 10), 10)
     return r.select("query_id", r6("recall").alias("recall"))
 
 
