@@ -14,8 +14,9 @@ from lodestar.operators.search import top_k
 
 @dataclass(frozen=True)
 class Index:
-    """tf (id, term, n), docs (id, length), terms (term, df, idf), and one row of totals."""
+    """words (id, term), tf (id, term, n), docs (id, length), terms (term, df, idf), and one row of totals."""
 
+    words: DataFrame
     tf: DataFrame
     docs: DataFrame
     terms: DataFrame
@@ -28,25 +29,27 @@ def build(documents: DataFrame, k1: float = 1.5, b: float = 0.75) -> Index:
     """Index of ``(id, text)``; a document without tokens has length 0 and is found by no query."""
     split = documents.select("id", F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+")).alias("w"))
     words = split.select("id", F.btrim("w", F.lit(string.punctuation)).alias("term")).where("term <> ''")
-    # Texts are cut once: lengths and totals are sums of term counts.
     tf = words.groupBy("id", "term").agg(F.count(F.lit(1)).alias("n"))
-    lengths = tf.groupBy("id").agg(F.sum("n").alias("length"))
+    lengths = words.groupBy("id").agg(F.count(F.lit(1)).alias("length"))
     docs = documents.select("id").join(lengths, "id", "left").select("id", F.coalesce("length", F.lit(0)).alias("length"))
     size = documents.agg(F.count(F.lit(1)).alias("documents"))
-    totals = size.crossJoin(tf.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("_t"))).select("documents", F.try_divide("_t", "documents").alias("mean_length"))
+    totals = size.crossJoin(lengths.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("_t"))).select("documents", F.try_divide("_t", "documents").alias("mean_length"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     terms = df.crossJoin(F.broadcast(totals)).select("term", "df", robertson_idf(F.col("df"), F.col("documents")).alias("idf"))
-    return Index(tf, docs, terms, totals, k1, b)
+    return Index(words, tf, docs, terms, totals, k1, b)
 
 
 def score(index: Index, queries: DataFrame) -> DataFrame:
     """``(query_id, id, score)`` of documents with a term of a query ``(query_id, text)``; a repeated term counts each time.
 
-    Only postings of the queries' terms, which are few and broadcast, leave their scan.
+    Words that no query asks for, which is nearly all of them, leave before anything is
+    grouped or shuffled; the queries' terms are few and are broadcast.
     """
     asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    wanted = index.terms.join(F.broadcast(asked), "term").select("query_id", "term", "times", "idf")
-    hits = index.tf.join(F.broadcast(wanted), "term").join(index.docs, "id").crossJoin(F.broadcast(index.totals))
+    tf = index.words.join(F.broadcast(asked.select("term").distinct()), "term").groupBy("id", "term").agg(F.count(F.lit(1)).alias("n"))
+    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    wanted = asked.join(df, "term").crossJoin(F.broadcast(index.totals)).select("query_id", "term", "times", "mean_length", robertson_idf(F.col("df"), F.col("documents")).alias("idf"))
+    hits = tf.join(F.broadcast(wanted), "term").join(index.docs, "id")
     norm = 1 - index.b + index.b * F.col("length") / F.greatest(F.col("mean_length"), F.lit(1.0))
     part = F.col("times") * F.col("idf") * F.col("n") * (index.k1 + 1) / (F.col("n") + index.k1 * norm)
     return hits.groupBy("query_id", "id").agg(F.sum(part).alias("score")).where("score > 0")
