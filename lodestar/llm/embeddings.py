@@ -7,10 +7,8 @@ beyond the plane half-way between the two centroids, so x can link to it only if
 angle from x to that plane is at most the linking angle.  Guests go to cells with
 lower numbers only, so that each pair meets once.
 
-That bound loses no link, but it is met only by a y that differs from x in just the
-direction of the plane.  Differences of d numbers have a share of about 1 / sqrt(d) in any
-one direction, so by default a vector is a guest within ``SIGMAS`` such shares of the
-bound; ``sigmas=None`` asks for the bound itself.
+That bound loses no link and is the default.  ``sigmas`` narrows it to that many shares of
+1 / sqrt(d), which loses links of vectors that differ mostly across the plane.
 
 Within a cell, blocks of rows are multiplied in pairs.  A product gives link counts
 and a spanning forest of its links, never the pairs themselves.  Identical vectors
@@ -35,8 +33,6 @@ SAMPLE_ROWS, SAMPLE_NUMBERS = 16_384, 2_000_000
 #: Rows that a cell is meant to hold, and cells at most.
 CELL_ROWS, MAX_CELLS = 1_500, 1_024
 BLOCK = 2_048
-#: Shares of the linking angle's sine, each 1 / sqrt(d), within which a vector is a guest.
-SIGMAS = 3.0
 
 
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,11 +142,11 @@ def _roots(ids: np.ndarray, near: np.ndarray, alone: bool) -> np.ndarray:
     return label
 
 
-def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding", threshold: float = 0.95, sigmas: float | None = SIGMAS) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding", threshold: float = 0.95, sigmas: float | None = None) -> DataFrame:
     """``(id_col, n_links, component_id, kept)`` per row; vectors link at cosine >= threshold, above 0.
 
-    No link below the threshold is ever reported.  All links inside cells are found, and
-    those between cells up to ``sigmas``.
+    All links are found, and none below the threshold.  With ``sigmas``, those between
+    cells may be missed.
 
     Rows link with nothing if the vector is null, empty, zero or holds a null or
     non-finite number, if its length isn't the most common one, or if the id is

@@ -213,6 +213,19 @@ def test_embedding_recall(spark, monkeypatch):
     assert sum(links.values()) > 400 and sum(got.values()) >= 0.98 * sum(links.values())
 
 
+def test_embedding_links_between_cells(spark, monkeypatch):
+    """Vectors on the arcs between cluster centres differ just across the planes between cells."""
+    monkeypatch.setattr(embeddings, "CELL_ROWS", 60)
+    rng = np.random.default_rng(6)
+    centres = np.linalg.qr(rng.standard_normal((64, 8)))[0].T
+    arcs = [np.cos(a) * centres[i] + np.sin(a) * centres[j] for i in range(8) for j in range(i) for a in np.linspace(0.05, np.pi / 2 - 0.05, 12)]
+    x = np.vstack([np.repeat(centres, 40, axis=0), arcs]) + rng.standard_normal((320 + len(arcs), 64)) * 0.008
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x.astype(np.float32))]
+    links, groups = brute.vector_groups(rows, 0.95)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    assert got == {i: (links[i], groups[i]) for i, _ in rows}
+
+
 def test_sharding(spark, odd):
     rows = sharding.shard_documents(clashing(docs(spark, odd)), 7).collect()
     assert len(rows) == len(odd)
