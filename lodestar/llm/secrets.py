@@ -36,8 +36,19 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
     Rule("hex", r"[0-9a-f]+", 0, 24),
 )
+#: A private key: to its END line, or, if that is cut off, over header lines to the last line of base64.  Line
+#: ends may be escaped or quoted.  Repeats of groups are possessive: others would recurse in Java for each repeat.
+_B64 = "[A-Za-z0-9+/=]"
+_SEP = r"""(?:[\s"',;>|#*+.]|\\++[nrt]?|<br */?>)"""
+_PEM = (
+    r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
+    r"(?:(?:[^-]|-(?!----))*+-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
+    rf"|(?:{_SEP}*+[A-Za-z][A-Za-z0-9-]*+:(?:(?!{_B64}{{40}}|\\++[nr])[^\r\n])*+)*+"
+    rf"(?:(?:{_SEP}*+{_B64}{{16,}}+)++(?:{_SEP}++{_B64}{{1,15}}+(?=[ \t]*+(?:[\r\n\"'\\]|-----|\Z))){{0,2}}"
+    rf"|(?:{_SEP}++{_B64}{{1,15}}+(?=[ \t]*+(?:[\r\n\"'\\]|-----|\Z))){{1,2}})|)"
+)
 ADDED = (
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("pem", _PEM),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[0-9A-Za-z_-]{35}"),
