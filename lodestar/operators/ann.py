@@ -1,12 +1,13 @@
 """Approximate nearest neighbours with the calls of a graph index.
 
-The index is an inverted file: ``ef`` asks for that many candidates per query, which
-decides how many lists are probed.  Deleted rows are tombstones until ``compact``.
+The index is an inverted file.  How many lists are probed follows from recall measured
+against exact search for every row whose id is divisible by 50; ``ef`` asks for that many
+candidates per query and can only add lists.  Deleted rows are tombstones until ``compact``.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 from math import ceil, isqrt
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +15,9 @@ from pyspark.sql import functions as F
 
 from lodestar.operators import quality, search, store, training
 
+#: Recall that the measured number of probes reaches on average.
+RECALL = 0.9
+
 
 @dataclass(frozen=True)
 class AnnIndex:
@@ -22,6 +26,8 @@ class AnnIndex:
     rows: DataFrame
     centroids: DataFrame
     tombstones: DataFrame | None = None
+    #: Probes by k, once measured; a changed index measures anew.
+    measured: dict[int, int] = field(init=False, default_factory=dict, compare=False, repr=False)
 
     @staticmethod
     def build(df: DataFrame, lists: int | None = None, rounds: int = 10, seed: int = 0) -> AnnIndex:
@@ -48,9 +54,26 @@ class AnnIndex:
         """``(query_id, id, score, rank)``; a filter holds before ranking, so k rows come back where lists hold them."""
         lists = self.centroids.count()
         per_list = max(1.0, self.rows.count() / max(lists, 1))
-        probes = min(lists, max(2, ceil(max(ef, k) * 4 / per_list)))
+        probes = min(lists, max(self.probes(k, where), ceil(max(ef, k) * 4 / per_list)))
         return search.ivf_search(queries, self.alive(), self.centroids, k, probes, where)
 
+    def probes(self, k: int = 10, where: Column | None = None) -> int:
+        """Fewest lists that hold ``RECALL`` of the exact results of all rows with ids divisible by 50; all lists if there are none."""
+        if where is None and k in self.measured:
+            return self.measured[k]
+        lists, live = self.centroids.count(), self.alive()
+        queries = live.where("try_cast(id AS bigint) % 50 = 0").select(F.col("id").alias("query_id"), F.col("vec").alias("query"))
+        exact = search.knn(queries, live, k, where=where).join(live.select("id", "list_id"), "id")
+        held = exact.join(search.probes(queries, self.centroids, lists), ["query_id", "list_id"]).groupBy("probe").count().collect()  # a row per list at most
+        at, total, found, n = {r["probe"]: r["count"] for r in held}, sum(r["count"] for r in held), 0, 0
+        while total and n < lists and found < RECALL * total:
+            n += 1
+            found += at.get(n, 0)
+        n = n or lists
+        if where is None:
+            self.measured[k] = n
+        return n
+
     def search_for_recall(self, queries: DataFrame, k: int, target: float) -> DataFrame:
         """``(query_id, n_probe, recall)``: what each query needs."""
         return search.probes_for_recall(queries, self.alive(), self.centroids, k, target)

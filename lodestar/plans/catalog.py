@@ -658,9 +658,12 @@ def rq_train(spark, sf_dir):
 
 @query()
 def ivf_train(spark, sf_dir):
+    from lodestar.operators.ann import AnnIndex
+
     v = vectors(spark, sf_dir)
     lists = training.ivf_train(v, 16)
-    found = search.ivf_search(asked(spark, sf_dir), search.assign(v, lists), lists, 10, 8)
+    rows = search.assign(v, lists)
+    found = search.ivf_search(asked(spark, sf_dir), rows, lists, 10, AnnIndex(rows, lists).probes(10))
     return quality.recall(search.knn(asked(spark, sf_dir), v, 10), found, 10)
 
 

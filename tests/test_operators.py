@@ -296,6 +296,22 @@ def test_ann_index(spark, tmp_path):
     assert AnnIndex.load(spark, str(tmp_path / "i")).stats().first()["total"] == 499
 
 
+@pytest.mark.parametrize("rows", [500, 2500, 6000])
+def test_ann_recall_at_every_size(spark, rows):
+    """All rows with ids divisible by 50 against exact search."""
+    from lodestar.operators.ann import AnnIndex
+    from lodestar.sources.files import gaussian
+
+    df = gaussian(spark, rows, 16).cache()
+    index = AnnIndex.build(df, 16)
+    q = df.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("vec").alias("query"))
+    truth = search.knn(q, df.select("id", "vec"), 10)
+    assert q.count() == rows // 50
+    assert quality.recall_estimate(quality.recall(truth, index.search(q), 10), 10).first()["recall"] >= 0.9
+    assert index.probes(10) < 16 and index.delete(df.where("id % 50 = 0")).probes(10) == 16
+    assert index.probes(10, F.col("id") < 0) == 16
+
+
 @pytest.mark.parametrize("profile,least", [("int8", 0.999), ("nf4-mixed", 0.98), ("pq-16", 0.75), ("opq-16", 0.7), ("rq-16", 0.95), ("autoencoder-32", 0.3)])
 def test_compressor(gauss, profile, least):
     from lodestar.operators.facade import Compressor
