@@ -34,3 +34,10 @@ def test_twin(spark, sf_dir, duck, name):
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES.keys() - catalog.ORACLE_SQL.keys()))
 def test_runs(spark, sf_dir, name):
     assert catalog.QUERIES[name](spark, sf_dir).limit(1).count() == 1
+
+
+def test_fetch_by_id_of_any_size(spark, tmp_path):
+    ids = [-7, 0, 7, 8, 9_999_997, 10_000_004, 7 << 40]
+    spark.createDataFrame([(i, [1.0], 3) for i in ids], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = catalog.QUERIES["fetch_by_id"](spark, str(tmp_path)).collect()
+    assert sorted(r["id"] for r in got) == [i for i in ids if i % 7 == 0]
