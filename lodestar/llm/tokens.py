@@ -17,9 +17,10 @@ class ByteBpe:
     """Ids as the ``tokenizers`` file gives them.
 
     ``ranks`` holds the same vocabulary for tiktoken, which encodes plain text
-    several times faster; a text with the string of a special token is left to
-    ``tokenizers`` itself, which gives that string its own id.  It is loaded when the
-    first such text comes.
+    several times faster.  Two kinds of text are left to ``tokenizers`` itself, which is
+    loaded when the first of them comes: one with the string of a special token, which
+    gets its own id, and one whose splitting runs out of the fast encoder's stack (a run of
+    about a million white-space characters).
     """
 
     def __init__(self, tokenizer: str, ranks: str):
@@ -33,13 +34,16 @@ class ByteBpe:
         self.fast = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
 
     def encode(self, text: str) -> np.ndarray:
-        if any(s in text for s in self.special):
-            if self.exact is None:
-                from tokenizers import Tokenizer
-
-                self.exact = Tokenizer.from_file(self.file)
-            return np.array(self.exact.encode(text, add_special_tokens=False).ids, np.uint32)
-        return np.asarray(self.fast.encode_to_numpy(text, disallowed_special=()), np.uint32)
+        if not any(s in text for s in self.special):
+            try:
+                return np.asarray(self.fast.encode_to_numpy(text, disallowed_special=()), np.uint32)
+            except ValueError:  # its regex gave up on a very long run
+                pass
+        if self.exact is None:
+            from tokenizers import Tokenizer
+
+            self.exact = Tokenizer.from_file(self.file)
+        return np.array(self.exact.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 def load(tokenizer: str, ranks: str) -> ByteBpe:
