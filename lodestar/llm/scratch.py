@@ -9,6 +9,7 @@ does a session get a folder of its own.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 #: A staged table is broadcast only while its compressed files and its rows stay under both bounds.
 BROADCAST_BYTES, BROADCAST_ROWS = 4 << 20, 500_000
 
-_own: dict[str, str] = {}
+_roots: dict[str, str] = {}
 
 
 def _folder() -> str:
@@ -30,15 +31,26 @@ def _folder() -> str:
 
 
 def root(spark: SparkSession) -> str:
-    """Shared folder for intermediate tables of this application."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    """Shared folder for intermediate tables of this application; it is deleted when the driver ends.
+
+    On a cluster ``spark.checkpoint.dir`` must name it, as executors don't share a folder of their own.
+    """
     app = spark.sparkContext.applicationId
-    if not shared:
-        if app not in _own:
-            local = spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master
-            _own[app] = f"file://{_folder()}" if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
-        shared = _own[app]
-    return f"{shared.rstrip('/')}/lodestar-{app}"
+    if app not in _roots:
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared:
+            master = spark.sparkContext.master
+            if not master.startswith("local") or master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            shared = f"file://{_folder()}"
+        _roots[app] = f"{shared.rstrip('/')}/lodestar-{app}"
+        atexit.register(_delete, *_hadoop_path(spark, _roots[app]))
+    return _roots[app]
+
+
+def _delete(path, fs) -> None:
+    with contextlib.suppress(Exception):  # the JVM may have gone before
+        fs.delete(path, True)
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
