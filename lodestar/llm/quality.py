@@ -1,10 +1,12 @@
 """Weak supervision of document quality.
 
-Rules look at one document each and vote good, bad or nothing.  How often rules
-agree with each other tells how accurate each is: expectation-maximisation over
-the table of vote patterns estimates every rule's accuracy and the share of good
-documents, and a document's verdict is its posterior probability of being good,
-so that one weak rule against several sound ones doesn't reject a document.
+Rules look at one document each and vote good, bad or nothing.  How often they vote
+alike tells how accurate each is: expectation-maximisation over the table of vote
+patterns starts from the majority of each pattern's votes and estimates how often every
+rule votes good or bad on good and on bad documents, and the share of good ones.  A
+document's verdict is its posterior probability of being good.  A bad vote of a rule
+that is often wrong, or that stands alone, doesn't reject a document; no vote at all
+where good documents get good votes may.
 
 The pattern table has at most ``3 ** rules`` rows whatever the corpus, counted
 over all documents; nothing else reaches the driver.
@@ -23,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestar.llm.scratch import stage
 from lodestar.llm.words import slices
 
 GOOD, BAD, ABSTAIN = 1, -1, 0
@@ -74,40 +77,43 @@ STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 
 @dataclass(frozen=True)
 class Rule:
-    """On a ratio of two statistics: bad above ``bad``, good at or below ``good`` if given, else no vote.
-
-    A rule about one defect has no ``good``: that a text lacks this defect says nothing for it.
-    """
+    """On a ratio of two statistics: bad above ``bad``, good at or below ``good``, else no vote."""
 
     name: str
     top: str
     bottom: str
     bad: float
-    good: float | None = None
+    good: float
 
 
 RULES = (
-    Rule("symbols", "n_symbols", "word_chars", 0.10),
-    Rule("repeats", "n_repeat_words", "n_words", 0.50),
-    Rule("lines", "n_dup_lines", "n_lines", 0.50),
-    Rule("capitals", "n_upper", "n_letters", 0.50),
-    Rule("bars", "n_bars", "n_words", 0.20),
-    Rule("sameness", "lost", "n_words", 0.92),
+    Rule("symbols", "n_symbols", "word_chars", 0.10, 0.01),
+    Rule("repeats", "n_repeat_words", "n_words", 0.30, 0.10),
+    Rule("lines", "n_dup_lines", "n_lines", 0.30, 0.05),
+    Rule("capitals", "n_upper", "n_letters", 0.30, 0.10),
+    Rule("sameness", "lost", "n_words", 0.80, 0.50),
     Rule("marks", "n_marked", "n_words", 0.40, 0.05),
     Rule("sentences", "run", "n_words", 0.60, 0.05),
+    Rule("letters", "other", "word_chars", 0.30, 0.12),
+    Rule("length", "off", "n_words", 3.5, 2.0),
 )
 
 
+#: Characters of a usual word.
+USUAL_LENGTH = 6.5
+
+
 def votes(stats: dict[str, np.ndarray], rules: tuple[Rule, ...] = RULES) -> np.ndarray:
     """(documents, rules) votes; without words no rule votes."""
-    s = dict(stats, lost=stats["n_words"] - stats["n_distinct"])
+    s = dict(stats, lost=stats["n_words"] - stats["n_distinct"], other=stats["word_chars"] - stats["n_letters"])
+    s["off"] = np.abs(stats["word_chars"] - USUAL_LENGTH * stats["n_words"])  # how far words are from their usual length
     # Words that no sentence end accounts for, at 60 words a sentence.
     s["run"] = np.maximum(stats["n_words"] - 60 * (stats["n_stops"] + stats["n_lines"]), 0)
     out = np.zeros((len(stats["n_words"]), len(rules)), np.int8)
     for j, r in enumerate(rules):
         bottom = s[r.bottom].astype(np.float64)
         ratio = np.divide(s[r.top], bottom, out=np.full(len(bottom), np.nan), where=bottom > 0)
-        out[:, j] = np.where(ratio > r.bad, BAD, np.where(ratio <= (-1 if r.good is None else r.good), GOOD, ABSTAIN))
+        out[:, j] = np.where(ratio > r.bad, BAD, np.where(ratio <= r.good, GOOD, ABSTAIN))
     return out
 
 
@@ -125,28 +131,29 @@ class LabelModel:
         return 1 / (1 + np.exp(np.clip(score[0] - score[1] + np.log(1 - self.prior) - np.log(self.prior), -700, 700)))
 
 
-def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> LabelModel:
+#: Documents of each class that are imagined, as a share of all, and how they vote: bad, nothing, good.
+IMAGINED, BAD_VOTES, GOOD_VOTES = 0.02, (0.4, 0.3, 0.3), (0.1, 0.3, 0.6)
+
+
+def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> LabelModel:
     """Expectation-maximisation over distinct vote patterns with their counts.
 
-    It starts from a vote in which any bad vote wins, as rules vote bad only far
-    outside the usual range.  Pseudo-counts give a class that no document has a
-    meaning, and tie the classes to their names: good documents seldom get a bad
-    vote.
+    It starts from the share of good votes among a pattern's votes.  Imagined documents,
+    a fixed share of the corpus, say which class is which and leave the bad class a
+    meaning in a corpus without bad documents; in any corpus they weigh the same.
     """
-    q = np.where((patterns == BAD).any(axis=1), 0.02, 0.99)
+    good, bad = (patterns == GOOD).sum(axis=1), (patterns == BAD).sum(axis=1)
+    q = (good + 1) / (good + bad + 2)
+    mass = IMAGINED * counts.sum() + 1
     pseudo = np.empty((2, patterns.shape[1], 3))
-    pseudo[0], pseudo[1] = (3.0, 5.0, 2.0), (0.05, 5.0, 4.95)
-    model = None
-    model = None
+    pseudo[0], pseudo[1] = BAD_VOTES, GOOD_VOTES
+    model = LabelModel(0.5, pseudo)
     for _ in range(rounds):
-        prior = (counts @ q + 9) / (counts.sum() + 10)
-        table = pseudo.copy()
+        table = mass * pseudo
         for v in (BAD, ABSTAIN, GOOD):
-            is_v = patterns == v
-            table[1, :, v + 1] += (counts * q) @ is_v
-            table[0, :, v + 1] += (counts * (1 - q)) @ is_v
-        table /= table.sum(axis=2, keepdims=True)
-        model = LabelModel(float(prior), table)
+            table[1, :, v + 1] += (counts * q) @ (patterns == v)
+            table[0, :, v + 1] += (counts * (1 - q)) @ (patterns == v)
+        model = LabelModel(float((counts @ q + mass) / (counts.sum() + 2 * mass)), table / table.sum(axis=2, keepdims=True))
         new = model.posterior(patterns)
         if np.abs(new - q).max(initial=0) < 1e-9:
             break
@@ -178,24 +185,22 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
     return df.mapInArrow(_measure(text), schema)
 
 
-def pattern_counts(df: DataFrame, text: str = "text") -> DataFrame:
-    """How many documents have each vote pattern: at most ``3 ** rules`` rows."""
-    return measure(df.select(text), text).groupBy("votes").count()
-
-
-def judge(df: DataFrame, text: str = "text", keep_at: float = 0.5) -> DataFrame:
+def judge(df: DataFrame, text: str = "text", keep_at: float = 0.5, texts: bool = True) -> DataFrame:
     """Every row with statistics, votes, ``posterior``, ``base_failed`` and ``kept``.
 
     A row is kept if it isn't ``base_failed`` (under 50 words, or more than half of
     them in repeated windows) and its posterior is at least ``keep_at``.  A null
     text counts as empty; repeated rows are judged alike; columns of ``df`` with a
-    name that is added are replaced; an empty table gives an empty table.
+    name that is added are replaced; an empty table gives an empty table.  Texts are read
+    once and the measured rows staged, without the column ``text`` unless ``texts``.
     """
-    rows = pattern_counts(df, text).collect()  # at most 3 ** len(RULES)
+    measured = measure(df, text)
+    measured = stage(measured if texts else measured.drop(text), "quality-measured")
+    rows = measured.groupBy("votes").count().collect()  # at most 3 ** len(RULES)
     code = lambda v: np.array([["-0+".index(x) - 1 for x in s] for s in v], np.int8).reshape(-1, len(RULES))
     seen = code([r["votes"] for r in rows])
     posterior = fit(seen, np.array([float(r["count"]) for r in rows])).posterior(seen)
     table = df.sparkSession.createDataFrame([(r["votes"], float(p)) for r, p in zip(rows, posterior)], "votes string, posterior double")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    out = measure(df, text).join(F.broadcast(table), "votes", "left").withColumn("base_failed", failed)
+    out = measured.join(F.broadcast(table), "votes", "left").withColumn("base_failed", failed)
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= keep_at))

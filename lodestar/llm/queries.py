@@ -25,7 +25,7 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality.judge(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    judged = quality.judge(_table(spark, sf_dir, "documents").select("doc_id", "text"), texts=False)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
