@@ -70,18 +70,20 @@ def jaccard_groups(docs, k, num, den):
 
 
 def vector_groups(rows, threshold):
-    """rows: (id, list or None)."""
-    good = [(i, np.array(v, np.float64)) for i, v in rows if v is not None and len(v) and all(x is not None and np.isfinite(x) for x in v) and any(v)]
-    ids = [i for i, _ in good]
+    """rows: (id, list or None); vectors of one length link with each other."""
+    good = defaultdict(list)
+    for i, v in rows:
+        if v is not None and len(v) and all(x is not None and np.isfinite(x) for x in v) and any(v):
+            good[len(v)].append((i, np.array(v, np.float64)))
     links = []
     n = Counter()
-    if good:
-        x = np.stack([v / np.linalg.norm(v) for _, v in good])
+    for same in good.values():
+        x = np.stack([v / np.linalg.norm(v) for _, v in same])
         a, b = np.nonzero(x @ x.T >= threshold)
         for i, j in zip(a.tolist(), b.tolist()):
             if i != j:
-                n[ids[i]] += 1
-                links.append((ids[i], ids[j]))
+                n[same[i][0]] += 1
+                links.append((same[i][0], same[j][0]))
     return n, components([i for i, _ in rows], links)
 
 

@@ -58,6 +58,27 @@ def test_label_model_finds_accuracies():
     assert ((p > 0.5) == good)[voted].mean() > 0.85
 
 
+def test_verdicts_come_from_the_posterior(spark, sf_dir):
+    """Neither is every document with a bad vote rejected, nor every one without it kept."""
+    rows = quality.judge(spark.read.parquet(f"{sf_dir.replace('sf0.01', 'sf0.1')}/documents.parquet")).where("not base_failed").collect()
+    one = {r["kept"] for r in rows if r["votes"].count("-") == 1}
+    assert one == {True, False}
+    assert all(r["kept"] == (r["posterior"] >= 0.5) for r in rows)
+    assert len({r["votes"] for r in rows if not r["kept"]}) > 5
+
+
+def test_no_bad_documents_none_rejected():
+    """Imagined documents keep a corpus without junk whole, whatever its size."""
+    rng = np.random.default_rng(2)
+    for n in (20, 2_000, 200_000):
+        v = np.where(rng.random((min(n, 5000), len(quality.RULES))) < 0.04, np.where(rng.random((min(n, 5000), len(quality.RULES))) < 0.2, -1, 0), 1).astype(np.int8)
+        seen, at, count = np.unique(v, axis=0, return_inverse=True, return_counts=True)
+        p = quality.fit(seen, count * (n / len(v))).posterior(seen)[at.ravel()]
+        assert (p >= 0.5).mean() > 0.99
+    v = np.array([[1] * len(quality.RULES)], np.int8)
+    assert quality.fit(v[:0], np.zeros(0)).posterior(v)[0] > 0.5
+
+
 def same_groups(spark, rows, k, num, den):
     got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.similar_groups(clashing(docs(spark, rows)), k=k, num=num, den=den).collect()]
     named = {d: t for d, t in rows if d is not None}
@@ -217,7 +238,7 @@ def test_embeddings(spark, sigmas=3.0):
     rows += [(5000, None), (5001, []), (5002, [0.0] * 16), (5003, [None] + [1.0] * 15), (5004, [float("nan")] + [1.0] * 15), (5005, [float("inf")] * 16), (5006, [1.0, 2.0])]
     rows += [(6000 + i, rows[0][1]) for i in range(5)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("id", F.lit("mine")).withColumn("raw", F.lit(1))
-    exact = [(i, None if v is None or len(v) != 16 else [None if x is None else float(np.float32(x)) for x in v]) for i, v in rows]
+    exact = [(i, v and [None if x is None else float(np.float32(x)) for x in v]) for i, v in rows]
     links, groups = brute.vector_groups(exact, 0.95)
     want = {i: (links[i], groups[i], groups[i] == i) for i, _ in rows}
     assert {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embeddings.near_duplicates(df, sigmas=sigmas).collect()} == want
@@ -226,6 +247,20 @@ def test_embeddings(spark, sigmas=3.0):
     assert sorted((str(r["vec_id"]), r["n_links"], r["kept"]) for r in embeddings.near_duplicates(null).collect()) == [("1", 0, True), ("None", 0, False)]
 
 
+def test_embeddings_of_three_lengths_and_doubles(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "CELL_ROWS", 30)
+    rng = np.random.default_rng(1)
+    rows = []
+    for dim, n in ((3, 40), (8, 200), (24, 90)):
+        base = rng.standard_normal((n, dim))
+        rows += [(len(rows) + i, [float(x) for x in v]) for i, v in enumerate(np.vstack([base, base[: n // 2] * 3 + rng.standard_normal((n // 2, dim)) * 0.1]))]
+    rows += [(9000, [1e300, 1e299]), (9001, [2e300, 2e299]), (9002, [1e-300, 0.0]), (9003, [1.0]), (9004, [2.5]), (9005, [-1.0])]
+    links, groups = brute.vector_groups([(i, [x / max(map(abs, v)) for x in v]) for i, v in rows], 0.95)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {i: (links[i], groups[i]) for i, _ in rows}
+    assert got[9000] == (2, 9000) and got[9004] == (1, 9003)
+
+
 def test_embeddings_cells_and_blocks_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(embeddings, "CELL_ROWS", 40)
     monkeypatch.setattr(embeddings, "BLOCK", 16)
@@ -300,6 +335,20 @@ def test_packing(spark, odd):
     assert packing.pack(docs(spark, []), Q.TOKENIZER, Q.RANKS).count() == 0
 
 
+def test_very_long_runs_are_encoded_as_the_tokenizer_does(spark):
+    from tokenizers import Tokenizer
+
+    exact = Tokenizer.from_file(Q.TOKENIZER)
+    texts = ["a" + " " * 2_000_000 + "b", "\n" * 1_500_000, "x" * 2_000_000, "some words and 17 numbers, " * 185_000]
+    made = docs(spark, list(enumerate(texts)))
+    pieces_of = packing.pack(made, Q.TOKENIZER, Q.RANKS).select("doc_id", "start", "ids").orderBy("doc_id", "start").collect()
+    for d, t in enumerate(texts):
+        want = np.array([*exact.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes()
+        assert b"".join(bytes(r["ids"]) for r in pieces_of if r["doc_id"] == d) == want
+    payload = b"".join(bytes(r["payload"]) for r in training_order.in_training_order(made.coalesce(1), Q.TOKENIZER, Q.RANKS, "k", wide=True).collect())
+    assert len(payload) >= sum(len(r["ids"]) for r in pieces_of)
+
+
 def test_special_strings_are_encoded_as_the_tokenizer_does(spark):
     from tokenizers import Tokenizer
 
