@@ -13,6 +13,7 @@ import contextlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES, BROADCAST_ROWS = 4 << 20, 500_000
 
 _roots: dict[str, str] = {}
+#: Tables staged since each ``stage_only`` that is still running.
+_passing: list[list[DataFrame]] = []
 
 
 def _folder() -> str:
@@ -59,6 +62,21 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._staged_path = path  # noqa: SLF001
+    if _passing:
+        _passing[-1].append(out)
+    return out
+
+
+def stage_only(make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """Stage what ``make`` returns, and delete the tables that were staged on the way to it."""
+    _passing.append([])
+    try:
+        df = make()
+    finally:
+        passing = _passing.pop()
+    out = stage(df, label)
+    for table in passing:
+        drop(table)
     return out
 
 
