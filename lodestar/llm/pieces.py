@@ -1,17 +1,16 @@
 """SentencePiece encoding and decoding of texts of any length.
 
 A giant text is split into chunks that are encoded by different tasks.  What a chunk
-does to the rest of the text is a transfer matrix over boundary states: entry (i, j)
-is the best score of covering the chunk when its first piece starts i characters into
-it and its last one reaches j characters beyond it.  Matrices are combined by
-max-plus products, which are associative; the best states at all boundaries follow,
-and each chunk is traced back on its own between its two states.
-
-That is exact for unigram models, whose segmentation is the best-scoring one.  A BPE
-model's segmentation isn't: it is what merging by rank leaves, and no sum of scores
-tells it.  But no piece of such a model goes on past the start of a run of white
-space, so there a chunk cut at such a place has one boundary state, its matrix is a
-single number, and the chunk's ids are the library's own.
+does to the rest of the text is a transfer matrix over boundary states, the ways in which a
+piece may lie across the chunk's beginning and its end: entry (i, j) is the best score of
+covering the chunk from state i to state j.  Matrices are combined by max-plus products,
+which are associative; the best states at all boundaries follow, and each chunk is traced
+back on its own between its two states.
+
+For a unigram model, scores are those of the pieces.  For a BPE model, whose segmentation
+is what merging by rank leaves, a step between two pieces scores 0 if merging leaves
+them side by side and minus infinity if not (``bpe.py``); one path is left, and it is the
+library's.
 """
 
 from __future__ import annotations
@@ -24,10 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.llm import bpe
+from lodestar.llm.scratch import stage
 from lodestar.llm.words import slices
 
-#: Characters of a chunk of a giant text.
-CHUNK = 32_768
+#: Characters of a chunk of a giant text, which is one of more than two chunks.
+CHUNK = 16_384
 
 _loaded: dict[str, "object"] = {}
 
@@ -41,67 +42,101 @@ def load(model: str):
     return _loaded[model]
 
 
-def cut(text: str, chunk: int) -> list[str]:
-    """Chunks of at least ``chunk`` characters that end where a word does, before a space; a text without spaces is one chunk."""
-    out, start = [], 0
-    while len(text) - start > chunk:
-        at = text.find(" ", start + chunk)
-        while at > 0 and text[at - 1] == " ":
-            at = text.find(" ", at + 1)
-        if at < 0:
-            break
-        out.append(text[start:at])
-        start = at
-    return [*out, text[start:]]
+_scans: dict[str, bpe.Bpe] = {}
 
 
-def _cut(chunk: int):
+def scan(model: str) -> bpe.Bpe:
+    """One scanner per worker process."""
+    if model not in _scans:
+        _scans[model] = bpe.Bpe(load(model))
+    return _scans[model]
+
+
+def _encode(model: str, id_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sp = load(model)
+        for batch in slices(batches):
+            ids = [np.array(sp.encode(x), "<u4").tobytes() for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], [id_col, "ids"])
+
+    return run
+
+
+_PARTS = "key long, part int, text string, begin int, size int"
+
+
+def _cut(model: str, chunk: int):
+    """Chunks of the normalised text, with as much around them as the longest piece may take."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        most = scan(model).longest
+        size = max(chunk, 2 * most)
         for batch in slices(batches):
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                parts = cut(text, chunk)
-                yield pa.RecordBatch.from_arrays([pa.array([key] * len(parts), pa.int64()), pa.array(np.arange(len(parts), dtype=np.int32)), pa.array(parts, pa.string())], ["key", "part", "text"])
+                text = load(model).normalize(text)
+                starts = np.arange(0, max(1, len(text) - 2 * most), size)  # the last chunk isn't shorter than two pieces
+                stops = np.append(starts[1:], len(text))
+                parts = [text[max(0, a - most) : b + most] for a, b in zip(starts.tolist(), stops.tolist())]
+                columns = np.full(len(parts), key), np.arange(len(parts)), parts, np.minimum(starts, most), stops - starts
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32()))], ["key", "part", "text", "begin", "size"])
 
     return run
 
 
-def _encode(model: str):
+def _chunks(model: str, batch: pa.RecordBatch) -> Iterator[bpe.Chunk]:
+    return (bpe.Chunk(scan(model), t, b, n) for t, b, n in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))))
+
+
+def _transfer(model: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sp = load(model)
         for batch in slices(batches):
-            # The library puts a space before a text, so a later chunk's own first space is left out.
-            texts = [(x[1:] if p else x) for x, p in zip(batch.column(2).to_pylist(), batch.column(1).to_pylist())]
-            ids = [np.array(sp.encode(x), "<u4").tobytes() for x in texts]
+            found = [c.transfer() for c in _chunks(model, batch)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([m.shape[1] for m in found], pa.int32()), pa.array([(m == 0).tobytes() for m in found], pa.binary())], ["key", "part", "ends", "paths"])
+
+    return run
+
+
+def _choose(group: pd.DataFrame) -> pd.DataFrame:
+    """States at both ends of each chunk of one text."""
+    group = group.sort_values("part")
+    matrices = [np.where(np.frombuffer(m, bool), 0.0, -np.inf).reshape(-1, n) for m, n in zip(group["paths"], group["ends"])]
+    states = boundary_states(matrices, np.zeros(matrices[-1].shape[1]))
+    return pd.DataFrame({"key": group["key"], "part": group["part"], "first": states[:-1], "last": states[1:]})
+
+
+def _trace(model: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            ids = [np.array(c.trace(i, j), "<u4").tobytes() for c, i, j in zip(_chunks(model, batch), batch.column(5).to_pylist(), batch.column(6).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary())], ["key", "part", "ids"])
 
     return run
 
 
+def scan_encode(texts: DataFrame, model: str, chunk: int = CHUNK) -> DataFrame:
+    """``(key, ids)`` of giant texts ``(key, text)`` with distinct keys by the max-plus scan over a BPE model."""
+    parts = stage(texts.mapInArrow(_cut(model, chunk), _PARTS), "pieces-parts").repartition("key", "part")
+    states = parts.mapInArrow(_transfer(model), "key long, part int, ends int, paths binary").groupBy("key").applyInPandas(_choose, "key long, part int, first int, last int")
+    coded = parts.join(states, ["key", "part"]).select("key", "part", "text", "begin", "size", "first", "last").mapInArrow(_trace(model), "key long, part int, ids binary")
+    whole = coded.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("part", "ids"))).alias("parts"))
+    return whole.select("key", F.aggregate("parts", F.lit(b"").cast("binary"), lambda acc, p: F.concat(acc, p["ids"])).alias("ids"))
+
+
 def encode(df: DataFrame, model: str, id_col: str = "doc_id", text: str = "text", chunk: int = CHUNK) -> DataFrame:
-    """``(id_col, ids)`` per row: little-endian unsigned 32-bit ids, as the library gives for the whole text.
+    """``(id_col, ids)`` per row: little-endian unsigned 32-bit ids of a BPE model, as the library gives for the whole text.
 
-    Null and empty texts have no ids.  Repeated rows are encoded each.
+    Texts of more than two chunks go through the scan; a shorter one is a single chunk, for
+    which the library is called.  Null and empty texts have no ids.  Repeated rows are
+    encoded each; ids may be null.
     """
     key = F.xxhash64(F.col(id_col), F.col(text))
     docs = df.select(F.col(id_col), key.alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     giant = F.length("text") > 2 * chunk
-    small = docs.where(~giant)
-    short = small.select("key", F.lit(0).alias("part"), "text", F.col(id_col))
-
-    def direct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            for got in _encode(model)(iter([batch])):
-                yield pa.RecordBatch.from_arrays([batch.column(3), got.column(2)], [id_col, "ids"])
-
     kind = dict(df.dtypes)[id_col]
-    near = short.mapInArrow(direct, f"`{id_col}` {kind}, ids binary")
+    near = docs.where(~giant).select(id_col, "text").mapInArrow(_encode(model, id_col), f"`{id_col}` {kind}, ids binary")
     long_ = docs.where(giant)
-    parts = long_.select("key", "text").dropDuplicates(["key"]).mapInArrow(_cut(chunk), "key long, part int, text string")
-    coded = parts.repartition("key", "part").mapInArrow(_encode(model), "key long, part int, ids binary")
-    whole = coded.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("part", "ids"))).alias("parts"))
-    joined = F.aggregate("parts", F.lit(b"").cast("binary"), lambda acc, p: F.concat(acc, p["ids"]))
-    far = long_.select(F.col(id_col), "key").join(whole.select("key", joined.alias("ids")), "key").select(id_col, "ids")
-    return near.unionByName(far)
+    whole = scan_encode(long_.select("key", "text").dropDuplicates(["key"]), model, chunk)
+    return near.unionByName(long_.select(F.col(id_col), "key").join(whole, "key").select(id_col, "ids"))
 
 
 def decode(coded: DataFrame, model: str, ids: str = "ids", out: str = "text") -> DataFrame:
@@ -179,11 +214,12 @@ def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[:, :, None] + b[None, :, :]).max(axis=1)
 
 
-def boundary_states(matrices: list[np.ndarray]) -> list[int]:
-    """States at the boundaries 0..n of the best path that starts and ends with the text."""
+def boundary_states(matrices: list[np.ndarray], goal: np.ndarray | None = None) -> list[int]:
+    """States at the boundaries 0..n of the best path from the first state to the last boundary's, which ``goal`` scores (the first one if not given)."""
     after = [None] * (len(matrices) + 1)
-    goal = np.full(len(matrices[0]), -np.inf)
-    goal[0] = 0.0
+    if goal is None:
+        goal = np.full(matrices[-1].shape[1], -np.inf)
+        goal[0] = 0.0
     after[-1] = goal
     for i in range(len(matrices) - 1, -1, -1):
         after[i] = (matrices[i] + after[i + 1][None, :]).max(axis=1)
@@ -196,7 +232,7 @@ def boundary_states(matrices: list[np.ndarray]) -> list[int]:
 def encode_unigram(df: DataFrame, model: Unigram, id_col: str = "doc_id", text: str = "text", chunk: int = CHUNK) -> DataFrame:
     """``(id_col, pieces)`` per distinct row: the best-scoring segmentation of the whole text by the max-plus scan.
 
-    A null or empty text has no pieces.  Ids must not be null.
+    A null or empty text has no pieces; a null id is an id like any other.
     """
     width = model.longest
     chunk = max(chunk, width)
@@ -220,6 +256,7 @@ def encode_unigram(df: DataFrame, model: Unigram, id_col: str = "doc_id", text:
 
     kind = dict(docs.dtypes)["id"]
     states = parts.mapInPandas(matrices, f"id {kind}, key long, part int, matrix array<double>").groupBy("id", "key").applyInPandas(choose, f"id {kind}, key long, part int, first int, last int")
-    done = parts.join(states, ["id", "key", "part"]).mapInPandas(traced, f"id {kind}, key long, part int, pieces array<string>")
+    same = parts["id"].eqNullSafe(states["id"]) & (parts["key"] == states["key"]) & (parts["part"] == states["part"])
+    done = parts.join(states, same).select(parts["id"], parts["key"], parts["part"], "text", "size", "first", "last").mapInPandas(traced, f"id {kind}, key long, part int, pieces array<string>")
     whole = done.groupBy("id", "key").agg(F.array_sort(F.collect_list(F.struct("part", "pieces"))).alias("parts"))
     return whole.select(F.col("id").alias(id_col), F.flatten(F.transform("parts", lambda p: p["pieces"])).alias("pieces"))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodestar.llm import chat, components, embeddings, jaccard, packing, pieces, quality, ranks, secrets, sharding, substring, training_order
+from lodestar.llm import bpe, chat, components, embeddings, jaccard, packing, pieces, quality, ranks, secrets, sharding, substring, training_order
 from lodestar.llm import queries as Q
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -417,18 +417,40 @@ def test_pieces(spark, odd, sf_dir):
     assert len(rows) == len(odd)
     want = sorted((str(d), sp.encode(t or "")) for d, t in odd)
     assert sorted((str(r["doc_id"]), np.frombuffer(r["ids"], "<u4").tolist()) for r in rows) == want
+    # Texts without any place where pieces can't cross, and of every length near the bounds of chunks.
+    rng = random.Random(3)
+    runs = [" " * 900, "a" * 700, "".join(rng.choice("ab ▁é\n𝔸\0") for _ in range(1500)), "".join(rng.choice(["the", "ing", " ", "    ", "\n", "12", "—"]) for _ in range(800))]
+    runs += [("lengthening" * 30)[:n] for n in range(76, 116)]
+    got = pieces.encode(docs(spark, [(i, t) for i, t in enumerate(runs)] + [(None, runs[0])]), Q.PIECE_MODEL, chunk=38).collect()
+    assert len(got) == len(runs) + 1
+    for r in got:
+        assert np.frombuffer(r["ids"], "<u4").tolist() == sp.encode(runs[r["doc_id"] or 0])
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
     for r in Q.op7_sentencepiece(spark, sf_dir).collect():
         ids = sp.encode(texts[r["doc_id"]] or "")
         assert (r["n_ids"], r["ids_crc32"], r["decoded_crc32"]) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), zlib.crc32(sp.decode(ids).encode()))
 
 
+def test_bpe_transfer_matrices_are_associative(sf_dir):
+    model = pieces.scan(Q.PIECE_MODEL)
+    text = model.sp.normalize("An unbreakablewordwithoutspaces, then   spaces and—dashes " * 9)
+    cuts = [0, 100, 173, 260, len(text)]
+    chunks = [bpe.Chunk(model, text[max(0, a - 16) : b + 16], min(a, 16), b - a) for a, b in zip(cuts, cuts[1:])]
+    one, two, three, four = (c.transfer() for c in chunks)
+    whole = bpe.Chunk(model, text, 0, len(text)).transfer()
+    for product in (pieces.times(pieces.times(pieces.times(one, two), three), four), pieces.times(pieces.times(one, two), pieces.times(three, four))):
+        assert (product == whole).all() and (whole == 0).sum() == 1
+    states = pieces.boundary_states([one, two, three, four], np.zeros(four.shape[1]))
+    assert [x for c, i, j in zip(chunks, states, states[1:]) for x in c.trace(i, j)] == model.sp.encode(text[1:].replace("▁", " "))
+
+
 def test_unigram_scan(spark):
     scores = {"a": -3.0, "b": -3.1, "ab": -2.0, "abab": -3.5, "ba": -2.5, "bb": -5.0, "aab": -2.9}
     model = pieces.Unigram(scores, -10.0)
     rng = random.Random(0)
     texts = ["".join(rng.choice("aabc") for _ in range(n)) for n in (0, 1, 5, 30, 157)]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    df = spark.createDataFrame([*enumerate(texts), (None, texts[3])], "doc_id long, text string")
+    texts.append(texts[3])
 
     def best(t):
         table = [(0.0, [])]
@@ -437,8 +459,11 @@ def test_unigram_scan(spark):
         return table[-1][0]
 
     value = lambda ps: sum(scores.get(p, -10.0) for p in ps)
-    for r in pieces.encode_unigram(df, model, chunk=7).collect():
-        assert "".join(r["pieces"]) == texts[r["doc_id"]] and value(r["pieces"]) == pytest.approx(best(texts[r["doc_id"]]))
+    rows = pieces.encode_unigram(df, model, chunk=7).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        text = texts[-1 if r["doc_id"] is None else r["doc_id"]]
+        assert "".join(r["pieces"]) == text and value(r["pieces"]) == pytest.approx(best(text))
     a, b, c = (rng_matrix(i) for i in range(3))
     assert np.allclose(pieces.times(pieces.times(a, b), c), pieces.times(a, pieces.times(b, c)))
 
