@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.llm.running import running
 from lodestar.llm.scratch import stage
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
@@ -103,14 +104,12 @@ def format_conversations(messages: DataFrame, keep: int = 1) -> DataFrame:
     grouped = rows.groupBy("tree", "leaf", "rank").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
     tail = len(CLOSE) + 1
     width = lambda t: F.length(t["head"]) + F.length(t["body"]) + tail
-    spans = F.aggregate(
-        "turns",
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans")),
-        lambda acc, t: F.struct(
-            (acc["at"] + width(t)).alias("at"),
-            F.when(t["learn"], F.array_append(acc["spans"], F.struct((acc["at"] + F.length(t["head"])).alias("start"), (acc["at"] + F.length(t["head"]) + F.length(t["body"])).alias("end")))).otherwise(acc["spans"]).alias("spans"),
-        ),
-    )["spans"]
+
+    def step(at: Column, t: Column) -> tuple[Column, Column]:
+        start = at + F.length(t["head"])
+        return at + width(t), F.when(t["learn"], F.struct(start.alias("start"), (start + F.length(t["body"])).alias("end")))
+
+    spans = F.array_compact(running(F.col("turns"), "struct<start:int,end:int>", F.lit(0), step))
     text = F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t["body"], F.lit(CLOSE + "\n"))), "")
     return grouped.select("tree", "leaf", "rank", text.alias("formatted"), spans.alias("loss_spans"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm import chat, embeddings, jaccard, packing, pieces, quality, secrets, sharding, substring, training_order
+from lodestar.llm.running import cuts
 from lodestar.llm.scratch import stage
 
 TOKENIZER, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -79,7 +80,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     trap = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(TRAP).alias("text"))
     out = chat.format_conversations(chat.linear_tree(turns.unionByName(trap)))
     read = out.select("tree", "formatted", "loss_spans", chat.parse(F.col("formatted")).alias("turns"))
-    learned = F.array_join(F.transform("loss_spans", lambda s: chat.unescape(F.substring("formatted", s["start"] + 1, s["end"] - s["start"]))), "")
+    learned = F.array_join(F.transform(cuts(F.col("formatted"), F.col("loss_spans")), chat.unescape), "")
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(
         F.col("tree").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"),

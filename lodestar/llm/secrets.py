@@ -17,24 +17,30 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.llm.running import cuts, running
 from lodestar.llm.scratch import sized, stage
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A regex; a match counts if its ``group`` has at least ``least`` characters."""
+    """A regex; a match counts if its ``group`` has at least ``least`` characters.
+
+    ``quick`` is a regex that any text with such a match also matches; it rules out most
+    texts without listing matches that are too short.
+    """
 
     kind: str
     regex: str
     group: int = 0
     least: int = 1
+    quick: str | None = None
 
 
 #: Patterns and lengths of the base kinds and of public token formats (fixed values).
 BASE = (
     Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
-    Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
-    Rule("hex", r"[0-9a-f]+", 0, 24),
+    Rule("access", r"AKIA[A-Z0-9]+", 0, 20, r"AKIA[A-Z0-9]{16}"),
+    Rule("hex", r"[0-9a-f]+", 0, 24, r"[0-9a-f]{24}"),
 )
 #: A private key: to its END line, or, if that is cut off, over header lines to the last line of base64.  Line
 #: ends may be escaped or quoted.  Repeats of groups are possessive: others would recurse in Java for each repeat.
@@ -155,30 +161,26 @@ def candidates(docs: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return whole.groupBy("key").agg(F.sort_array(F.collect_set("rule")).alias("rules"))
 
 
-_SPANS = "array<struct<start:int,rank:int,end:int,kind:string>>"
-
-
 def _matches(rule: Rule, text: Column, wanted: Column) -> Column:
     """Pieces between the matches, the matches, and the group that decides, of a wanted document."""
     regex = F.lit(rule.regex)
     found = F.arrays_zip(F.split(text, rule.regex, -1).alias("before"), F.regexp_extract_all(text, regex, F.lit(0)).alias("whole"), F.regexp_extract_all(text, regex, F.lit(rule.group)).alias("part"))
-    # A filter with the least length first: it rules out most texts without listing any match.
-    quick = {"hex": "[0-9a-f]{%d}", "access": "AKIA[A-Z0-9]{%d}"}.get(rule.kind)
-    hit = text.rlike(quick % (rule.least - (4 if rule.kind == "access" else 0))) if quick else text.rlike(rule.regex)
-    return F.when(wanted & hit, found)
+    return F.when(wanted & text.rlike(rule.quick or rule.regex), found)
+
+
+_SPAN = "struct<start:int,rank:int,end:int,kind:string>"
 
 
 def _spans(rule: Rule, rank: int, found: Column) -> Column:
     """Spans (code points) of the matches that count."""
-    step = lambda acc, m: F.struct(
-        (acc["at"] + F.length(m["before"]) + F.coalesce(F.length(m["whole"]), F.lit(0))).alias("at"),
-        F.when(
-            F.length(m["part"]) >= rule.least,
-            F.array_append(acc["out"], F.struct((acc["at"] + F.length(m["before"])).alias("start"), F.lit(rank).alias("rank"), (acc["at"] + F.length(m["before"]) + F.length(m["whole"])).alias("end"), F.lit(rule.kind).alias("kind"))),
-        ).otherwise(acc["out"]).alias("out"),
-    )
-    none = F.array().cast(_SPANS)
-    return F.coalesce(F.aggregate(found, F.struct(F.lit(0).alias("at"), none.alias("out")), step)["out"], none)
+
+    def step(at: Column, m: Column) -> tuple[Column, Column]:
+        start = at + F.length(m["before"])
+        end = start + F.coalesce(F.length(m["whole"]), F.lit(0))
+        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(rule.kind).alias("kind"))
+        return end, F.when(F.length(m["part"]) >= rule.least, span)
+
+    return F.coalesce(F.array_compact(running(found, _SPAN, F.lit(0), step)), F.array().cast(f"array<{_SPAN}>"))
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
@@ -202,13 +204,15 @@ def scan(df: DataFrame, id_col: str = "doc_id", text: str = "text", rules: Seque
 
 
 def redact(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
-    """The text with every span, or run of overlapping spans, replaced."""
-    merged = F.aggregate(
-        spans, F.array().cast("array<struct<start:int,end:int>>"),
-        lambda acc, s: F.when((F.size(acc) > 0) & (s["start"] < F.element_at(acc, -1)["end"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end"))))).otherwise(F.array_append(acc, F.struct(s["start"].alias("start"), s["end"].alias("end")))),
-    )
-    built = F.aggregate(
-        merged, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask)).alias("out")),
-    )
-    return F.when(F.size(spans) == 0, text).otherwise(F.concat(built["out"], F.substring(text, built["at"] + 1, F.length(text))))
+    """The text with every span, or run of overlapping spans, replaced; no spans leave it as it is, a null text stays null."""
+
+    def step(far: Column, s: Column) -> tuple[Column, Column]:
+        """How far spans have reached before a span."""
+        return F.greatest(far, s["end"]), F.struct(far.alias("far"), s["start"].alias("start"))
+
+    seen = running(spans, "struct<far:int,start:int>", F.lit(0), step)
+    # Clean text lies between how far the spans before a run have reached and where the run starts.
+    before = F.transform(F.filter(F.transform(seen, lambda s, i: F.struct(s["far"].alias("start"), s["start"].alias("end"), (i == 0).alias("first"))), lambda s: s["first"] | (s["end"] >= s["start"])), lambda s: F.struct(s["start"], s["end"]))
+    rest = F.struct(F.array_max(F.transform(spans, lambda s: s["end"])).alias("start"), F.length(text).alias("end"))
+    clean = cuts(text, F.array_append(before, rest))
+    return F.when(F.size(spans) == 0, text).otherwise(F.array_join(clean, mask))
