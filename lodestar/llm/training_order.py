@@ -135,6 +135,8 @@ def write_shards(ordered: DataFrame, path: str, per_shard: int) -> DataFrame:
     A shard is one range of slots and is written by one task, front to back, under a
     name of its own attempt and then renamed: a task that is run again puts the same
     bytes in the same place.  Sequences are compressed on their way to that task.
+    Slots must be distinct, 0, 1, 2, ... as ``in_training_order`` gives them; no sequences
+    make no files and an empty manifest.
     """
     dictionary = _dictionary(ordered)
 
@@ -178,7 +180,10 @@ _MANIFEST = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string())
 
 
 def read_shards(manifest: DataFrame, path: str, start: int = 0, stop: int | None = None) -> DataFrame:
-    """``(shard, slot, at, payload)`` of the slots in [start, stop), read in order from their byte positions."""
+    """``(shard, slot, at, payload)`` of the slots in [start, stop), read in order from their byte positions.
+
+    Slots beyond those written, and an empty manifest, give no rows.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = fs.FileSystem.from_uri(path)

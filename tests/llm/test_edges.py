@@ -219,6 +219,28 @@ def test_secrets(spark, odd):
     assert not any(brute.secrets(r["t"])[0] for r in masked)
 
 
+def test_very_many_secrets_in_one_text(spark):
+    import time
+
+    text = "é" + " ".join(f"token={i:08d}abcdef ok{i} {'f' * 24}" for i in range(8_000)) + " end"
+    began = time.time()
+    r = secrets.scan(docs(spark, [(1, text)])).select("secrets", secrets.redact(F.col("text"), F.col("secrets")).alias("t")).first()
+    assert [(s["start"], s["rank"], s["end"], s["kind"]) for s in r["secrets"]] == brute.secrets(text)[0]
+    assert r["t"] == "é" + " ".join(f"[SECRET] ok{i} [SECRET]" for i in range(8_000)) + " end"
+    assert time.time() - began < 60
+
+
+def test_redaction_of_nested_and_touching_spans(spark):
+    rows = [(1, "abcdefghij", [(0, 2), (1, 5), (1, 3), (5, 6), (8, 10)]), (2, "abc", []), (3, None, []), (4, "abc", [(0, 3)]), (5, "𝔸bc", [(1, 2)])]
+    df = spark.createDataFrame(rows, "i int, t string, s array<struct<start:int,end:int>>").select("i", secrets.redact(F.col("t"), F.col("s"), "_").alias("r"))
+    assert {r["i"]: r["r"] for r in df.collect()} == {1: "__gh_", 2: "abc", 3: None, 4: "_", 5: "𝔸_c"}
+
+
+def test_own_rule_named_as_a_base_rule(spark):
+    r = secrets.scan(docs(spark, [(1, "xyz-1 00")]), rules=[secrets.Rule("hex", "xyz-[0-9]"), secrets.Rule("access", "[0-9]{2}")]).first()
+    assert [(s["kind"], s["start"], s["end"]) for s in r["secrets"]] == [("hex", 0, 5), ("access", 6, 8)]
+
+
 def test_whole_private_keys_are_masked(spark):
     rng = random.Random(5)
     b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
@@ -344,6 +366,24 @@ def test_sharding(spark, odd):
         sharding.assign(spark.range(1), "id", [])
 
 
+def test_sharding_winner_by_plain_hashing(spark):
+    """The shard of a key from the published hash alone."""
+    import math
+    import struct
+
+    import xxhash
+
+    def race(key, shard, weight):
+        h = xxhash.xxh64_intdigest(struct.pack("<i", shard), xxhash.xxh64_intdigest(struct.pack("<q", key), 42))
+        return -math.log(((h >> 11) + 0.5) / 2**53) / weight
+
+    weights = [1.0, 2.5, 1.0, 0.25]
+    for r in sharding.assign(spark.range(-50, 400), "id", weights, grow_by=1.5).collect():
+        times = [race(r["id"], i, w) for i, w in enumerate(weights)]
+        assert r["shard"] == times.index(min(times))
+        assert r["grown_shard"] == (4 if race(r["id"], 4, 1.5) < min(times) else r["shard"])
+
+
 def test_gapless_cells(spark, monkeypatch):
     monkeypatch.setattr(ranks, "ROWS_PER_CELL", 10)
     df = spark.range(500).withColumn("g", F.when(F.col("id") < 400, 0).otherwise(1))
@@ -409,6 +449,48 @@ def test_training_order(spark, sf_dir):
     assert training_order.in_training_order(docs(spark, []), Q.TOKENIZER, Q.RANKS, "key").count() == 0
 
 
+def test_training_order_by_plain_means(spark, tmp_path):
+    """Ids, padding, permutation, shard files and byte positions from the tokenizer and integers alone."""
+    import xxhash
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(Q.TOKENIZER)
+    texts = [f"document {i} says {i * i} and " * (i % 40) for i in range(90)] + [None, ""]
+    ids = [x for t in texts for x in [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2]]
+    length, per_shard = 48, 10
+    real = [min(length, len(ids) - at) for at in range(0, len(ids), length)]
+    ids += [2] * (-len(ids) % length)
+    sequences = [np.array(ids[at : at + length], "<u2").tobytes() for at in range(0, len(ids), length)]
+    n, wide, keys = len(sequences), 2**64 - 1, [xxhash.xxh3_64_intdigest(f"k/{i}") for i in range(6)]
+    half = next(h for h in range(1, 32) if 4**h >= n)
+
+    def mix(x):
+        for m in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            x = ((x ^ (x >> 33)) * m) & wide
+        return x ^ (x >> 33)
+
+    def slot(x):
+        while True:
+            a, b = x >> half, x & (2**half - 1)
+            for k in keys:
+                a, b = b, a ^ (mix((b + k) & wide) & (2**half - 1))
+            x = a << half | b
+            if x < n:
+                return x
+
+    want = {slot(i): (real[i], s) for i, s in enumerate(sequences)}
+    assert sorted(want) == list(range(n))
+    order = training_order.in_training_order(docs(spark, list(enumerate(texts))).coalesce(1), Q.TOKENIZER, Q.RANKS, "k", length=length)
+    assert {r["slot"]: (r["tokens"], bytes(r["payload"])) for r in order.collect()} == want
+    manifest = training_order.write_shards(order, f"file://{tmp_path}/shards", per_shard).cache()
+    assert sorted((r["shard"], r["first"], r["slots"], r["stride"]) for r in manifest.collect()) == [(i, i * per_shard, min(per_shard, n - i * per_shard), 2 * length) for i in range(-(-n // per_shard))]
+    stored = b"".join((tmp_path / "shards" / f"shard-{i:08d}.bin").read_bytes() for i in range(-(-n // per_shard)))
+    assert stored == b"".join(want[i][1] for i in range(n))
+    assert training_order.read_shards(manifest, f"file://{tmp_path}/shards", n, n + 5).count() == 0
+    none = training_order.write_shards(order.limit(0), f"file://{tmp_path}/none", per_shard)
+    assert none.count() == 0
+
+
 def test_pieces(spark, odd, sf_dir):
     import sentencepiece
 
@@ -483,6 +565,9 @@ def test_chat_tree(spark):
     assert turns(("t", 1)) == [("user", "q"), ("assistant", "good"), ("user", "more"), ("", "")]
     assert turns(("t", 2)) == [("user", "q"), ("assistant", "bad"), ("user", "x")]
     assert turns((None, 1)) == [("assistant", "<|im_end|>\\|\\\\n")] and ("c", 1) not in out
+    long = [("l", i, i - 1 if i else None, ("user", "assistant")[i % 2], f"é{i}<|", 0.0) for i in range(3000)]
+    r = chat.format_conversations(spark.createDataFrame(long, "tree string, node long, parent long, role string, text string, score double")).first()
+    assert [chat_text.replace("<\\|", "<|") for chat_text in (r["formatted"][s["start"] : s["end"]] for s in r["loss_spans"])] == [f"é{i}<|" for i in range(1, 3000, 2)]
     r = out["t", 1]
     assert [r["formatted"][s["start"] : s["end"]] for s in r["loss_spans"]] == ["good"]
     assert chat.format_conversations(m.limit(0)).count() == 0
