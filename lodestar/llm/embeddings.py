@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.components import components
-from lodestar.llm.scratch import sized, stage
+from lodestar.llm.scratch import drop, sized, stage
 
 #: Rows, and numbers in them, that centroids are fitted on at most.
 SAMPLE_ROWS, SAMPLE_NUMBERS = 16_384, 2_000_000
@@ -189,6 +189,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector: str = "embedd
     columns = ["id", "dim", "copies", "raw"]
     tasks = split.select("cell", *columns, F.explode(meets).alias("m")).select("cell", "m.i", "m.j", "m.side", *columns)
     found = stage(tasks.groupBy("dim", "cell", "i", "j").applyInPandas(_product(kind, threshold), "id long, links long, root long"), "vector-links")
+    drop(placed)
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     named = components(found.select("id", "root")).withColumnRenamed("node", "id")
     result = classes.join(links, "id", "left").join(named, "id", "left").select("raw", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "id").alias("component"))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.components import Forest, components
-from lodestar.llm.scratch import sized, stage
+from lodestar.llm.scratch import sized, stage, stage_only
 from lodestar.llm.words import WordHashes, mix, shingles, slices
 
 #: Chance that the bands lose a pair that is exactly at the threshold.
@@ -252,6 +252,14 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text: str = "text", k:
     threshold = num / den
     docs = df.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
     sketch = stage(docs.mapInArrow(_sketch(k, threshold), "id long, n_shingles long, high long, low long, keys array<long>"), "jaccard-sketch")
+    reps = stage_only(lambda: _named(docs, sketch, k, num, den), "jaccard-named")
+    # Both sides come from files, so a hot class can be split.
+    joined = sketch.select("id", "n_shingles", "high", "low").join(sized(reps), ["high", "low", "n_shingles"], "left")
+    return joined.select(F.col("id").alias(id_col), "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id")).alias("component_id"))
+
+
+def _named(docs: DataFrame, sketch: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """``(high, low, n_shingles, component)`` of every class of equal sets."""
     sets = sketch.where("n_shingles > 0 and id is not null")
     classes = stage(sets.groupBy("high", "low", "n_shingles").agg(F.min("id").alias("rep"), F.first("keys").alias("keys")).select("rep", "n_shingles", "keys"), "jaccard-classes")
     entries = classes.select(F.explode("keys").alias("key"), F.col("rep"))
@@ -261,12 +269,8 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text: str = "text", k:
     pools = stage(components(near).withColumnRenamed("component", "pool"), "jaccard-pools")
     links = _link_pools(docs, classes, pools, k, num, den)
     found = stage(components(links), "jaccard-components")
-    named = sketch.select("id", "n_shingles", "high", "low")
     reps = sets.groupBy("high", "low", "n_shingles").agg(F.min("id").alias("rep"))
-    renamed = found.select(F.col("node").alias("rep"), "component")
-    reps = stage(reps.join(renamed, "rep", "left").select("high", "low", "n_shingles", F.coalesce("component", "rep").alias("component")), "jaccard-named")
-    joined = named.join(sized(reps), ["high", "low", "n_shingles"], "left")  # both sides come from files, so a hot class can be split
-    return joined.select(F.col("id").alias(id_col), "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id")).alias("component_id"))
+    return reps.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("high", "low", "n_shingles", F.coalesce("component", "rep").alias("component"))
 
 
 def _link_pools(docs: DataFrame, classes: DataFrame, pools: DataFrame, k: int, num: int, den: int) -> DataFrame:
