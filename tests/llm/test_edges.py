@@ -616,3 +616,11 @@ def test_pipeline_edges(spark, odd, sf_dir):
         assert stage(spark, docs(spark, []), sf_dir).count() == 0
         now = stage(spark, now, sf_dir).cache()
         now.count()
+
+
+def test_pipeline_keeps_unlike_texts_of_one_id(spark, sf_dir):
+    stage = dict(corpus_pipeline.STAGES)["ngram_jaccard_join"]
+    words = lambda a, n=60: " ".join(f"{a}{i}" for i in range(n))
+    rows = [(5, words("a")), (5, words("b")), (5, words("b")), (9, words("a")), (2, words("b", 59)), (None, words("a")), (None, None), (7, None), (8, None), (8, "")]
+    got = stage(spark, docs(spark, rows), sf_dir).collect()
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in got) == sorted((str(d), str(t)) for d, t in [(5, words("a")), (2, words("b", 59)), (None, words("a")), (None, None), (7, None), (8, None), (8, "")])
