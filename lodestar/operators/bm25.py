@@ -12,47 +12,67 @@ from lodestar.functions.text import robertson_idf, tokens
 from lodestar.operators.search import top_k
 
 
+#: Distinct words of the queries that are sent to every task; more of them are joined by a shuffle.
+ASKED_WORDS = 100_000
+
+
 @dataclass(frozen=True)
 class Index:
-    """words (id, term), tf (id, term, n), docs (id, length), terms (term, df, idf), and one row of totals."""
+    """documents (id, text) and, when asked for, tf (id, term, n), terms (term, df, idf) and one row of totals (documents, mean_length)."""
 
-    words: DataFrame
-    tf: DataFrame
-    docs: DataFrame
-    terms: DataFrame
-    totals: DataFrame
+    documents: DataFrame
     k1: float = 1.5
     b: float = 0.75
 
+    @property
+    def tf(self) -> DataFrame:
+        return _words(self.documents).where("term <> ''").groupBy("id", "term").agg(F.count(F.lit(1)).alias("n"))
 
-def build(documents: DataFrame, k1: float = 1.5, b: float = 0.75) -> Index:
-    """Index of ``(id, text)``; a document without tokens has length 0 and is found by no query."""
+    @property
+    def totals(self) -> DataFrame:
+        per = _words(self.documents).groupBy("id").agg(F.count_if(F.col("term") != "").alias("length"))
+        return per.agg(F.count(F.lit(1)).alias("documents"), F.avg("length").alias("mean_length"))
+
+    @property
+    def terms(self) -> DataFrame:
+        df = self.tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        size = self.documents.agg(F.countDistinct("id").alias("documents"))
+        return df.crossJoin(F.broadcast(size)).select("term", "df", robertson_idf(F.col("df"), F.col("documents")).alias("idf"))  # one row of totals
+
+
+def _words(documents: DataFrame) -> DataFrame:
+    """``(id, term)`` of every word; an empty term where there is none, so that no document is lost."""
     split = documents.select("id", F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+")).alias("w"))
-    words = split.select("id", F.btrim("w", F.lit(string.punctuation)).alias("term")).where("term <> ''")
-    tf = words.groupBy("id", "term").agg(F.count(F.lit(1)).alias("n"))
-    lengths = words.groupBy("id").agg(F.count(F.lit(1)).alias("length"))
-    docs = documents.select("id").join(lengths, "id", "left").select("id", F.coalesce("length", F.lit(0)).alias("length"))
-    size = documents.agg(F.count(F.lit(1)).alias("documents"))
-    totals = size.crossJoin(lengths.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("_t"))).select("documents", F.try_divide("_t", "documents").alias("mean_length"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    terms = df.crossJoin(F.broadcast(totals)).select("term", "df", robertson_idf(F.col("df"), F.col("documents")).alias("idf"))
-    return Index(words, tf, docs, terms, totals, k1, b)
+    return split.select("id", F.btrim("w", F.lit(string.punctuation)).alias("term"))
+
+
+def build(documents: DataFrame, k1: float = 1.5, b: float = 0.75) -> Index:
+    """Index of ``(id, text)`` with distinct ids that aren't null; a document without tokens has length 0 and is found by no query."""
+    return Index(documents.select("id", "text"), k1, b)
 
 
 def score(index: Index, queries: DataFrame) -> DataFrame:
     """``(query_id, id, score)`` of documents with a term of a query ``(query_id, text)``; a repeated term counts each time.
 
-    Words that no query asks for, which is nearly all of them, leave before anything is
-    grouped or shuffled; the queries' terms are few and are broadcast.
+    Texts are cut into words once.  Words that no query asks for, which is nearly all of
+    them, are only counted, before anything is shuffled: what leaves a task is a row for
+    each document with its length and the counts of the asked words.  Document
+    frequencies, totals and scores come from those rows, whose exchange they share.
     """
     asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    tf = index.words.join(F.broadcast(asked.select("term").distinct()), "term").groupBy("id", "term").agg(F.count(F.lit(1)).alias("n"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    wanted = asked.join(df, "term").crossJoin(F.broadcast(index.totals)).select("query_id", "term", "times", "mean_length", robertson_idf(F.col("df"), F.col("documents")).alias("idf"))
-    hits = tf.join(F.broadcast(wanted), "term").join(index.docs, "id")
+    names = asked.select("term").distinct().withColumn("word", F.col("term"))
+    if names.limit(ASKED_WORDS + 1).count() <= ASKED_WORDS:
+        names = F.broadcast(names)
+    counted = _words(index.documents).join(names, "term", "left").groupBy("id", "word").agg(F.count_if(F.col("term") != "").alias("n"))
+    # One exchange by id: everything below uses all of its columns, so that it stays the same one.
+    docs = counted.groupBy("id").agg(F.sum("n").alias("length"), F.collect_list(F.struct("word", "n")).alias("hits"))
+    hits = docs.select("id", "length", F.posexplode("hits").alias("at", "h")).select("id", "length", "at", "h.word", "h.n")
+    totals = hits.agg(F.sum("n").alias("_t"), F.count_if(F.col("at") == 0).alias("documents"), F.max("length"), F.max("word")).select("documents", F.try_divide("_t", "documents").alias("mean_length"))
+    df = hits.groupBy("word").agg(F.count(F.lit(1)).alias("df"), F.max("n"), F.max("length"))
+    wanted = asked.join(df, F.col("term") == F.col("word")).crossJoin(F.broadcast(totals)).select("query_id", "word", "times", "mean_length", robertson_idf(F.col("df"), F.col("documents")).alias("idf"))
     norm = 1 - index.b + index.b * F.col("length") / F.greatest(F.col("mean_length"), F.lit(1.0))
     part = F.col("times") * F.col("idf") * F.col("n") * (index.k1 + 1) / (F.col("n") + index.k1 * norm)
-    return hits.groupBy("query_id", "id").agg(F.sum(part).alias("score")).where("score > 0")
+    return hits.join(wanted, "word").groupBy("query_id", "id").agg(F.sum(part).alias("score")).where("score > 0")
 
 
 def search(index: Index, queries: DataFrame, k: int) -> DataFrame:

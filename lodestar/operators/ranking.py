@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions import vec as V
-from lodestar.operators.search import top_k
+from lodestar.operators.search import all_scores, knn, score_ends, top_k
 
 
 def rrf(rankings: list[DataFrame], k: int = 60) -> DataFrame:
@@ -37,14 +37,38 @@ def hybrid(dense: DataFrame, sparse: DataFrame, k: int, alpha: float) -> DataFra
     both = dense.select("query_id", "id", F.col("score").alias("d")).join(sparse.select("query_id", "id", F.col("score").alias("s")), ["query_id", "id"], "left").fillna(0.0, ["s"])
     ends = both.groupBy("query_id").agg(F.min("d").alias("d0"), F.max("d").alias("d1"), F.min("s").alias("s0"), F.max("s").alias("s1"))
     part = lambda x: F.when(F.col(x + "1") > F.col(x + "0"), (F.col(x) - F.col(x + "0")) / (F.col(x + "1") - F.col(x + "0"))).otherwise(0.0)
-    # A row per query.
-    scored = both.join(F.broadcast(ends), "query_id").select("query_id", "id", (alpha * part("d") + (1 - alpha) * part("s")).alias("score"))
+    scored = both.join(ends, "query_id").select("query_id", "id", (alpha * part("d") + (1 - alpha) * part("s")).alias("score"))
+    return top_k(scored, k)
+
+
+def hybrid_search(queries: DataFrame, db: DataFrame, sparse: DataFrame, k: int, alpha: float) -> DataFrame:
+    """As ``hybrid`` with the cosines of all rows of ``db`` (id, vec) as the dense list, of which few are ranked.
+
+    A row that ``sparse`` lacks can only be among the first k if it is among the k nearest
+    (or, with an ``alpha`` of 0, has one of the k smallest ids), so those and the rows that
+    ``sparse`` has are all candidates; the ends of the cosines are an aggregate.
+    """
+    alpha = min(1.0, max(0.0, alpha))
+    near = knn(queries, db, k) if alpha > 0 else all_scores(queries, top_k(db.where(F.size("vec") > 0).withColumn("dims", F.size("vec")), k, by="dims", score="id", ascending=True))
+    near = near.select("query_id", "id", F.col("score").alias("d"))
+    hits = sparse.select("query_id", "id", F.col("score").alias("s"))
+    joined = hits.join(db.select("id", "vec"), "id").join(queries, "query_id")
+    hit = joined.where(F.size("vec") == F.size("query")).select("query_id", "id", V.cosine(F.col("query"), F.col("vec")).alias("d"), "s")
+    both = near.join(hit.select("query_id", "id"), ["query_id", "id"], "left_anti").withColumn("s", F.lit(0.0)).unionByName(hit)
+    rows = db.where(F.size("vec") > 0).groupBy(F.size("vec").alias("dims")).agg(F.count(F.lit(1)).alias("n"))
+    lengths = queries.select("query_id", F.size("query").alias("dims")).join(rows, "dims").select("query_id", "n")
+    known = hit.groupBy("query_id").agg(F.min("s").alias("least"), F.max("s").alias("most"), F.count(F.lit(1)).alias("hits"))
+    ends = score_ends(queries, db).join(lengths, "query_id").join(known, "query_id", "left")
+    some = F.col("hits") < F.col("n")  # a row that sparse lacks scores 0 there
+    ends = ends.select("query_id", "low", "high", F.when(some, F.least("least", F.lit(0.0))).otherwise(F.col("least")).alias("s0"), F.when(some, F.greatest("most", F.lit(0.0))).otherwise(F.col("most")).alias("s1"))
+    part = lambda x, a, b: F.when(F.col(b) > F.col(a), (F.col(x) - F.col(a)) / (F.col(b) - F.col(a))).otherwise(0.0)
+    scored = both.join(ends, "query_id").select("query_id", "id", (alpha * part("d", "low", "high") + (1 - alpha) * part("s", "s0", "s1")).alias("score"))
     return top_k(scored, k)
 
 
 def cosine_rerank(queries: DataFrame, candidates: DataFrame, store: DataFrame, k: int) -> DataFrame:
     """Candidates ``(query_id, id)`` by cosine with the store's vectors; ids that the store lacks are left out."""
-    joined = candidates.select("query_id", "id").join(store.select("id", "vec"), "id").join(F.broadcast(queries), "query_id")
+    joined = candidates.select("query_id", "id").join(store.select("id", "vec"), "id").join(queries, "query_id")
     return top_k(joined.select("query_id", "id", V.cosine(F.col("query"), F.col("vec")).alias("score")), k)
 
 
@@ -54,7 +78,7 @@ def rrf_rerank(queries: DataFrame, candidates: DataFrame, store: DataFrame, k: i
     An id that the store lacks ranks last by cosine: at the number of candidates.
     """
     per = Window.partitionBy("query_id")
-    known = candidates.select("query_id", "id", "score").join(store.select("id", "vec"), "id", "left").join(F.broadcast(queries), "query_id")
+    known = candidates.select("query_id", "id", "score").join(store.select("id", "vec"), "id", "left").join(queries, "query_id")
     scored = known.withColumn("cosine", F.when(F.col("vec").isNotNull(), V.cosine(F.col("query"), F.col("vec")))).withColumn("n", F.count(F.lit(1)).over(per))
     first = F.row_number().over(per.orderBy(F.desc("score"), "id")) - 1
     second = F.when(F.col("cosine").isNull(), F.col("n")).otherwise(F.row_number().over(per.orderBy(F.desc_nulls_last("cosine"), "id")) - 1)
@@ -70,7 +94,7 @@ def mmr(queries: DataFrame, candidates: DataFrame, k: int, balance: float = 0.5)
     bounded top-k of a search, so a query's fit in a task.
     """
     kinds = dict(candidates.dtypes)
-    joined = candidates.select("query_id", "id", "vec").join(F.broadcast(queries.select("query_id", "query")), "query_id")
+    joined = candidates.select("query_id", "id", "vec").join(queries.select("query_id", "query"), "query_id")
 
     def choose(group: pd.DataFrame) -> pd.DataFrame:
         x = np.array(group["vec"].tolist(), np.float64)

@@ -74,15 +74,12 @@ class TextStore:
 
     def search_hybrid(self, queries: DataFrame, k: int = 10, alpha: float = 0.7) -> DataFrame:
         """Blend of cosine and BM25."""
-        vectors = self._vectors(None)
-        dense = search.knn(self._asked(queries), vectors, 1 << 30)
         sparse = bm25.score(bm25.build(self.rows.select("id", "text")), queries)
-        return ranking.hybrid(dense, sparse, k, alpha).join(self.rows.select("id", "text"), "id")
+        return ranking.hybrid_search(self._asked(queries), self._vectors(None), sparse, k, alpha).join(self.rows.select("id", "text"), "id")
 
     def search_many(self, queries: DataFrame, k: int = 4) -> DataFrame:
         """``(id, score, text)``: the k documents with the largest sum of scores over all queries."""
-        scored = search.knn(self._asked(queries), self._vectors(None), 1 << 30)
-        return ranking.score_sum(scored).orderBy(F.desc("score"), "id").limit(k).join(self.rows.select("id", "text"), "id")
+        return search.score_sums(self._asked(queries), self._vectors(None)).orderBy(F.desc("score"), "id").limit(k).join(self.rows.select("id", "text"), "id")
 
     def stats(self) -> DataFrame:
         """One row: documents, dims, codec, ratio."""
@@ -120,8 +117,8 @@ def self_search(db: DataFrame, decoded: DataFrame, sample: DataFrame) -> DataFra
 
 
 def cosine_matrix(a: DataFrame, b: DataFrame) -> DataFrame:
-    """``(query_id, id, score)`` of every row of a small table (query_id, query) with every row of ``b``."""
-    return search.knn(a, b, 1 << 30).select("query_id", "id", "score")
+    """``(query_id, id, score)`` of every row of ``a`` (query_id, query) with every row of ``b``."""
+    return search.all_scores(a, b)
 
 
 def by_dimensions(df: DataFrame, codec: str, dims: list[int]) -> DataFrame:

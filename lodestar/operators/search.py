@@ -1,12 +1,7 @@
-"""Nearest-neighbour search as scored projections with a top-k per query.
+"""Nearest-neighbour search: scores in blocks (``scan.py``) with a top-k per query.
 
-Queries are a small table.  While it is within ``QUERY_BYTES`` and ``QUERY_ROWS`` it is
-shipped to every task, which multiplies each Arrow batch with all of them and keeps its
-own best k per query, so a shuffle carries at most k rows per query and batch.  A larger
-table of queries is cut into blocks of that size, and every block meets every row once.
-
-Ties go to the smaller id.  Rows without a vector of the queries' length, or with a
-null in it, are never found.
+A task keeps its own best k per query, so a shuffle carries at most k rows per query and
+task.  Ties go to the smaller id.
 """
 
 from __future__ import annotations
@@ -19,10 +14,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions import vec as V
-from lodestar.operators import codecs
+from lodestar.operators import codecs, scan
 
-#: Bytes of query vectors, and queries, that go to every task at once, and rows that meet them at once there.
-QUERY_BYTES, QUERY_ROWS, SCORED_ROWS = 32 << 20, 1_024, 4_096
+#: Numbers in centroids that go to every task; more of them are searched like rows.
+CENTROID_NUMBERS = 8_000_000
 
 
 def matrix(column: pa.Array, dims: int) -> np.ndarray:
@@ -30,87 +25,51 @@ def matrix(column: pa.Array, dims: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims).astype(np.float64)
 
 
-def _scores(metric: str, x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """(rows, queries) scores; the larger, the nearer."""
-    if metric == "dot":
-        return x @ q.T
-    if metric == "l2":
-        return -np.sqrt(np.maximum((x * x).sum(1)[:, None] - 2 * x @ q.T + (q * q).sum(1)[None], 0))
-    if metric == "l1":
-        return -np.stack([np.abs(x - row).sum(1) for row in q], axis=1)
-    if metric == "cosine":
-        n = np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(q, axis=1)[None]
-        return np.divide(x @ q.T, n, out=np.zeros_like(n), where=n > 0)
-    raise ValueError(f"unknown metric {metric!r}")
-
-
-def _blocks(queries: DataFrame, dims: int) -> Iterator[tuple[list, np.ndarray]]:
-    step, ids, rows = max(1, min(QUERY_ROWS, QUERY_BYTES // (8 * dims))), [], []
-    for r in queries.select("query_id", "query").toLocalIterator():
-        ids.append(r["query_id"])
-        rows.append(r["query"])
-        if len(ids) == step:
-            yield ids, np.array(rows, np.float64)
-            ids, rows = [], []
-    if ids:
-        yield ids, np.array(rows, np.float64)
-
-
-_ARROW = {"tinyint": pa.int8(), "smallint": pa.int16(), "int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}
-
-
-def _partial(ids: list, kind: str, q: np.ndarray, k: int, metric: str, own: bool):
-    names = pa.array(ids, _ARROW.get(kind))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(at, SCORED_ROWS) for b in batches for at in range(0, b.num_rows, SCORED_ROWS)):
-            scores = _scores(metric, matrix(batch.column(1), q.shape[1]), q)
-            found = batch.column(0)
-            if not own:
-                scores[found.to_numpy(zero_copy_only=False)[:, None] == names.to_numpy(zero_copy_only=False)[None]] = -np.inf
-            best = scores > -np.inf
-            if len(scores) > k:
-                best &= scores >= np.partition(scores, len(scores) - k, axis=0)[len(scores) - k]
-                # Of rows that tie with the k-th, those with the smallest ids stay.
-                for j in np.flatnonzero(best.sum(axis=0) > k):
-                    names_of = found.to_pylist()
-                    tied = sorted(np.flatnonzero(best[:, j]).tolist(), key=lambda i: (-scores[i, j], names_of[i] is None, names_of[i]))[:k]  # noqa: B023
-                    best[:, j] = False
-                    best[tied, j] = True
-            row, query = np.nonzero(best)
-            yield pa.RecordBatch.from_arrays([names.take(pa.array(query)), found.take(pa.array(row)), pa.array(scores[row, query])], ["query_id", "id", "score"])
-
-    return run
-
-
 def top_k(scored: DataFrame, k: int, by: str = "query_id", score: str = "score", ascending: bool = False, id_col: str = "id") -> DataFrame:
     """Best k rows of each query with ``rank`` from 1; equal scores rank by id."""
     order = F.col(score).asc() if ascending else F.col(score).desc()
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(order, id_col))).where(F.col("rank") <= k)
 
 
+def _kinds(queries: DataFrame, db: DataFrame) -> str:
+    return f"query_id {dict(queries.dtypes)['query_id']}, id {dict(db.dtypes)['id']}, score double"
+
+
 def knn(queries: DataFrame, db: DataFrame, k: int, metric: str = "cosine", where: Column | None = None, include_self: bool = True) -> DataFrame:
     """``(query_id, id, score, rank)``: the k nearest rows of ``db`` (id, vec) for each of ``queries`` (query_id, query).
 
-    ``where`` filters rows before they are scored.  Scores of l1 and l2 are negated distances.
+    ``where`` filters rows before they are scored.  Scores of l1, l2 and hamming are negated
+    distances.  A query meets the vectors of its own length; vectors, and queries, that are null
+    or hold a null or non-finite number are left out.
     """
-    first = queries.where(F.size("query") > 0).select(F.size("query").alias("d")).first()
-    types = dict(queries.dtypes)["query_id"], dict(db.dtypes)["id"]
-    schema = f"query_id {types[0]}, id {types[1]}, score double"
-    if first is None or k < 1:
-        return db.sparkSession.createDataFrame([], schema + ", rank int")
-    dims = first["d"]
     rows = db if where is None else db.where(where)
-    rows = rows.where((F.size("vec") == dims) & ~F.exists("vec", lambda x: x.isNull())).select("id", "vec")
-    out = None
-    for ids, q in _blocks(queries.where(F.size("query") == dims), dims):
-        part = rows.mapInArrow(_partial(ids, types[0], q, k, metric, include_self), schema)
-        out = part if out is None else out.unionByName(part)
-    return top_k(out, k)
+    if k < 1:
+        return db.sparkSession.createDataFrame([], _kinds(queries, db) + ", rank int")
+    return top_k(scan.pairs(queries, rows, scan.best(k, include_self), _kinds(queries, db), scan.scorer(metric)), k)
+
+
+def all_scores(queries: DataFrame, db: DataFrame, metric: str = "cosine") -> DataFrame:
+    """``(query_id, id, score)`` of every query and row, without ranks."""
+    return scan.pairs(queries, db, scan.everything, _kinds(queries, db), scan.scorer(metric))
+
+
+def score_ends(queries: DataFrame, db: DataFrame, metric: str = "cosine") -> DataFrame:
+    """``(query_id, low, high)``: least and largest score of each query over all rows."""
+    kind = dict(queries.dtypes)["query_id"]
+    each = scan.pairs(queries, db, scan.ends, f"query_id {kind}, low double, high double", scan.scorer(metric))
+    return each.groupBy("query_id").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+
+
+def score_sums(queries: DataFrame, db: DataFrame, metric: str = "cosine") -> DataFrame:
+    """``(id, score)``: the sum of each row's scores over all queries."""
+    each = scan.pairs(queries, db, scan.sums, f"id {dict(db.dtypes)['id']}, score double", scan.scorer(metric))
+    return each.groupBy("id").agg(F.sum("score").alias("score"))
 
 
 def knn_expression(queries: DataFrame, db: DataFrame, k: int, zero: float = 0.0) -> DataFrame:
-    """Cosine search without Python: every query meets every row in a broadcast join of the queries, so they must be few."""
+    """Cosine search without Python: few queries are broadcast and meet every row; more than ``scan.QUERY_ROWS`` go to ``knn``."""
+    if queries.limit(scan.QUERY_ROWS + 1).count() > scan.QUERY_ROWS:
+        return knn(queries, db, k)
     scored = db.crossJoin(F.broadcast(queries)).select("query_id", "id", V.cosine(F.col("query"), F.col("vec"), zero).alias("score"))
     return top_k(scored, k)
 
@@ -126,17 +85,15 @@ def cosine_codes(query: Column, codes: Column) -> Column:
 
 
 def hamming_topk(queries: DataFrame, db: DataFrame, k: int) -> DataFrame:
-    """``(query_id, id, distance, rank)`` over sign bits; queries are few and are broadcast."""
-    q = queries.select("query_id", codecs.binary(F.col("query"))["words"].alias("q"))
-    d = db.select("id", codecs.binary(F.col("vec"))["words"].alias("w"))
-    scored = d.crossJoin(F.broadcast(q)).select("query_id", "id", V.hamming(F.col("q"), F.col("w")).alias("distance"))
-    return top_k(scored, k, score="distance", ascending=True)
+    """``(query_id, id, distance, rank)`` over sign bits."""
+    near = knn(queries, db, k, "hamming")
+    return near.select("query_id", "id", (-F.col("score")).cast("int").alias("distance"), "rank")
 
 
 def two_stage(queries: DataFrame, db: DataFrame, k: int, fetch: int) -> DataFrame:
     """Hamming search for ``fetch`` candidates, then exact cosine among them."""
     near = hamming_topk(queries, db, fetch).select("query_id", "id")
-    joined = near.join(db.select("id", "vec"), "id").join(F.broadcast(queries), "query_id")
+    joined = near.join(db.select("id", "vec"), "id").join(queries, "query_id")
     return top_k(joined.select("query_id", "id", V.cosine(F.col("query"), F.col("vec")).alias("score")), k)
 
 
@@ -144,54 +101,69 @@ def two_stage(queries: DataFrame, db: DataFrame, k: int, fetch: int) -> DataFram
 
 
 def assign(db: DataFrame, centroids: DataFrame) -> DataFrame:
-    """``db`` with ``list_id``: the centroid (list_id, centroid) with the largest dot product with the unit vector.
+    """``db`` with ``list_id``: the centroid (list_id, centroid) with the largest dot product.
 
-    Centroids are few hundred at most for each training and go to every task.
+    Rows without a finite vector of the centroids' length are left out.  Centroids go to
+    every task while they have ``CENTROID_NUMBERS`` numbers at most; beyond that, rows look
+    them up in blocks, and ids must be distinct.
     """
+    size = centroids.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("centroid")).alias("d")).first()
+    if not size["n"]:
+        raise ValueError("no centroids")
+    dims, rows = size["d"], db.drop("list_id")
+    if size["n"] * dims > CENTROID_NUMBERS:
+        near = knn(rows.select(F.col("id").alias("query_id"), F.col("vec").alias("query")), _as_rows(centroids), 1, "dot")
+        return rows.join(near.select(F.col("query_id").alias("id"), F.col("id").alias("list_id")), "id").select(*rows.columns, F.col("list_id").cast("int"))
     table = centroids.orderBy("list_id").collect()
     lists, c = np.array([r["list_id"] for r in table], np.int32), np.array([r["centroid"] for r in table], np.float64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = matrix(batch.column("vec"), c.shape[1])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists[(x @ c.T).argmax(axis=1)])], [*batch.schema.names, "list_id"])
+            for n, at, x in scan.by_length(batch.column("vec")):
+                if n == dims:
+                    yield pa.RecordBatch.from_arrays([*batch.take(pa.array(at)).columns, pa.array(lists[(x @ c.T).argmax(axis=1)])], [*batch.schema.names, "list_id"])
 
     from pyspark.sql import types as T
 
-    rows = db.where(F.size("vec") == c.shape[1]).drop("list_id")
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("list_id", T.IntegerType())]))
 
 
+def _as_rows(centroids: DataFrame) -> DataFrame:
+    return centroids.select(F.col("list_id").alias("id"), F.col("centroid").alias("vec"))
+
+
 def probes(queries: DataFrame, centroids: DataFrame, n: int) -> DataFrame:
     """``(query_id, list_id, probe)``: each query's n best lists, probe 1 the best."""
-    scored = queries.crossJoin(F.broadcast(centroids)).select("query_id", "query", "list_id", V.dot(F.col("query"), F.col("centroid")).alias("score"))
-    return scored.withColumn("probe", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "list_id"))).where(F.col("probe") <= n).select("query_id", "query", "list_id", "probe")
+    return knn(queries, _as_rows(centroids), n, "dot").select("query_id", F.col("id").alias("list_id"), F.col("rank").alias("probe"))
+
+
+def _probing(queries: DataFrame, centroids: DataFrame, n_probe: int) -> DataFrame:
+    """Queries once for each list that they probe."""
+    return probes(queries, centroids, n_probe).join(queries, "query_id").select("query_id", "query", F.col("list_id").alias("cell"))
 
 
 def ivf_search(queries: DataFrame, index: DataFrame, centroids: DataFrame, k: int, n_probe: int, where: Column | None = None) -> DataFrame:
     """``(query_id, id, score, rank)`` among the rows of each query's ``n_probe`` best lists.
 
-    The probe table is broadcast; an index stored by ``list_id`` is read only where a list is probed.
+    An index stored by ``list_id`` is read only where a list is probed.
     """
-    rows = index if where is None else index.where(where)
-    joined = rows.join(F.broadcast(probes(queries, centroids, n_probe)), "list_id")
-    return top_k(joined.select("query_id", "id", V.cosine(F.col("query"), F.col("vec")).alias("score")), k)
+    rows = (index if where is None else index.where(where)).withColumn("cell", F.col("list_id"))
+    return top_k(scan.pairs(_probing(queries, centroids, n_probe), rows, scan.best(k), _kinds(queries, index), scan.scorer("cosine")), k)
 
 
 def probes_for_recall(queries: DataFrame, index: DataFrame, centroids: DataFrame, k: int, target: float) -> DataFrame:
     """``(query_id, n_probe, recall)``: the smallest power of two of probes (or all lists) that reaches the target.
 
-    One pass: every row of a query's exact top k has the probe at which its list comes up.
+    Every row of a query's exact top k has the probe at which its list comes up.
     """
     lists = centroids.count()
-    ranks = probes(queries, centroids, lists)
-    joined = index.join(F.broadcast(ranks), "list_id")
-    exact = top_k(joined.select("query_id", "id", "probe", V.cosine(F.col("query"), F.col("vec")).alias("score")), k)
+    exact = knn(queries, index, k).select("query_id", "id").join(index.select("id", "list_id"), "id")
+    at = exact.join(probes(queries, centroids, lists), ["query_id", "list_id"])
     steps = sorted({min(1 << i, lists) for i in range(lists.bit_length() + 1)})
-    tried = exact.select("query_id", "probe", F.explode(F.array(*[F.lit(s) for s in steps])).alias("n_probe"))
+    tried = at.select("query_id", "probe", F.explode(F.array(*[F.lit(s) for s in steps])).alias("n_probe"))
     per = tried.groupBy("query_id", "n_probe").agg((F.count_if(F.col("probe") <= F.col("n_probe")) / F.count(F.lit(1))).alias("recall"))
-    best = per.where(F.col("recall") >= target).groupBy("query_id").agg(F.min(F.struct("n_probe", "recall")).alias("b"))
-    return best.select("query_id", "b.n_probe", "b.recall")
+    reached = per.where(F.col("recall") >= target).groupBy("query_id").agg(F.min(F.struct("n_probe", "recall")).alias("b"))
+    return reached.select("query_id", "b.n_probe", "b.recall")
 
 
 # Product quantisation -------------------------------------------------------------
@@ -245,26 +217,31 @@ def adc_table(query: np.ndarray, codebook: np.ndarray) -> np.ndarray:
     return ((np.asarray(query, np.float64).reshape(m, 1, width) - codebook.astype(np.float64)) ** 2).sum(axis=2)
 
 
+def _adc(codebook: np.ndarray) -> scan.Scorer:
+    """Negated distances of codes to queries by the queries' tables."""
+
+    def score(codes: np.ndarray, q: np.ndarray) -> np.ndarray:
+        tables, codes = np.stack([adc_table(row, codebook) for row in q]), codes.astype(np.int64)
+        return -sum(tables[:, m, codes[:, m]].T for m in range(codes.shape[1]))
+
+    return score
+
+
+def _by_distance(scored: DataFrame, k: int) -> DataFrame:
+    found = scored.select("query_id", "id", (-F.col("score")).alias("distance"))
+    return top_k(found, k, score="distance", ascending=True)
+
+
 def adc_topk(queries: DataFrame, coded: DataFrame, codebook: np.ndarray, k: int, where: Column | None = None) -> DataFrame:
-    """``(query_id, id, distance, rank)``: search over PQ codes with each query's distance table, which is M x K numbers."""
-    rows = queries.select("query_id", "query").collect()  # queries are few
-    local = [(r["query_id"], adc_table(np.array(r["query"]), codebook).tolist()) for r in rows]
-    kind = dict(queries.dtypes)["query_id"]
-    table = coded.sparkSession.createDataFrame(local, f"query_id {kind}, t array<array<double>>")
-    found = coded if where is None else coded.where(where)
-    scored = found.crossJoin(F.broadcast(table)).select("query_id", "id", V.total(F.zip_with("codes", "t", lambda c, t: F.element_at(t, c + 1))).alias("distance"))
-    return top_k(scored, k, score="distance", ascending=True)
+    """``(query_id, id, distance, rank)``: search over PQ codes (id, codes) with each query's distance table, which tasks make."""
+    rows = (coded if where is None else coded.where(where)).select("id", F.col("codes").alias("vec"))
+    return _by_distance(scan.pairs(queries, rows, scan.best(k), _kinds(queries, coded), _adc(codebook), codebook.shape[2]), k)
 
 
 def ivf_pq_search(queries: DataFrame, index: DataFrame, centroids: DataFrame, codebook: np.ndarray, k: int, n_probe: int) -> DataFrame:
     """ADC inside the probed lists of an index (id, list_id, codes)."""
-    rows = queries.select("query_id", "query").collect()
-    local = [(r["query_id"], adc_table(np.array(r["query"]), codebook).tolist()) for r in rows]
-    kind = dict(queries.dtypes)["query_id"]
-    table = index.sparkSession.createDataFrame(local, f"query_id {kind}, t array<array<double>>")
-    wanted = probes(queries, centroids, n_probe).select("query_id", "list_id").join(F.broadcast(table), "query_id")
-    scored = index.join(F.broadcast(wanted), "list_id").select("query_id", "id", V.total(F.zip_with("codes", "t", lambda c, t: F.element_at(t, c + 1))).alias("distance"))
-    return top_k(scored, k, score="distance", ascending=True)
+    rows = index.select("id", F.col("codes").alias("vec"), F.col("list_id").alias("cell"))
+    return _by_distance(scan.pairs(_probing(queries, centroids, n_probe), rows, scan.best(k), _kinds(queries, index), _adc(codebook), codebook.shape[2]), k)
 
 
 # Metadata -------------------------------------------------------------------------

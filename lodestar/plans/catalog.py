@@ -1,7 +1,8 @@
 """Queries by name and their DuckDB twins.
 
-Query vectors are the ten rows with the lowest ids; documents and vectors that share
-an id go together in hybrid queries.  Numbers are rounded to six places, codes are
+Query vectors are all rows with ids divisible by 50, and text queries all rows of
+``benchmark``; documents and vectors that share an id go together in hybrid queries, as do
+item i and vector 50 * i.  Numbers are rounded to six places, codes are
 joined to strings; BM25 sums are rounded before they rank, as copies tie only up to the
 order of summation.
 """
@@ -36,8 +37,8 @@ def query(sql: str | None = None):
     return add
 
 
-def asked(spark: SparkSession, sf_dir: str, n: int = 10) -> DataFrame:
-    return vectors(spark, sf_dir).orderBy("id").limit(n).select(F.col("id").alias("query_id"), F.col("vec").alias("query"))
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors(spark, sf_dir).where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("vec").alias("query"))
 
 
 def r6(c: Column | str) -> Column:
@@ -57,7 +58,7 @@ def listed(codes: Column, *more: Column):
 
 _D = "list_transform({0}, lambda x: CAST(x AS DOUBLE))"
 _COS = "list_cosine_similarity(" + _D.format("{0}") + ", " + _D.format("{1}") + ")"
-_Q = "q AS (SELECT vec_id AS query_id, embedding AS query FROM embeddings ORDER BY vec_id LIMIT 10)"
+_Q = "q AS (SELECT vec_id AS query_id, embedding AS query FROM embeddings WHERE vec_id % 50 = 0)"
 
 
 def cos(a: str, b: str) -> str:
@@ -122,9 +123,8 @@ def int8_topk(spark, sf_dir):
 
 @query(f"WITH {_Q}, {_INT8}, " + topk_sql(f"SELECT query_id, vec_id AS id, {cos('query', 'codes')} AS score FROM q, e", 3))
 def int8_code_cosine(spark, sf_dir):
-    db = vectors(spark, sf_dir).select("id", codecs.int8(F.col("vec"))["codes"].alias("codes"))
-    scored = db.crossJoin(F.broadcast(asked(spark, sf_dir))).select("query_id", "id", search.cosine_codes(F.col("query"), F.col("codes")).alias("score"))
-    return search.top_k(scored, 3).select("query_id", "id", r6("score").alias("score"), "rank")
+    db = vectors(spark, sf_dir).select("id", codecs.int8(F.col("vec"))["codes"].alias("vec"))
+    return search.knn(asked(spark, sf_dir), db, 3).select("query_id", "id", r6("score").alias("score"), "rank")
 
 
 _BITS = "list_transform({0}, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END)"
@@ -422,15 +422,15 @@ _BM = f"""words AS (SELECT doc_id AS id, {_TOK} AS w FROM documents), dl AS (SEL
 tf AS (SELECT id, term, count(*) AS n FROM (SELECT id, unnest(w) AS term FROM words) GROUP BY ALL),
 tot AS (SELECT count(*) AS docs, avg(length) AS mean_length FROM dl), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 terms AS (SELECT term, df, ln((docs - df + 0.5) / (df + 0.5) + 1) AS idf FROM df, tot)"""
-_BMQ = f"bq AS (SELECT item_id AS query_id, unnest({_TOK}) AS term FROM (SELECT * FROM benchmark ORDER BY item_id LIMIT 10)), asked AS (SELECT query_id, term, count(*) AS times FROM bq GROUP BY ALL), hits AS (SELECT query_id, tf.id, sum(times * idf * n * 2.5 / (n + 1.5 * (0.25 + 0.75 * length / greatest(mean_length, 1.0)))) AS score FROM tf JOIN asked USING (term) JOIN terms USING (term) JOIN dl ON dl.id = tf.id, tot GROUP BY ALL)"
+_BMQ = f"bq AS (SELECT item_id AS query_id, unnest({_TOK}) AS term FROM benchmark), asked AS (SELECT query_id, term, count(*) AS times FROM bq GROUP BY ALL), hits AS (SELECT query_id, tf.id, sum(times * idf * n * 2.5 / (n + 1.5 * (0.25 + 0.75 * length / greatest(mean_length, 1.0)))) AS score FROM tf JOIN asked USING (term) JOIN terms USING (term) JOIN dl ON dl.id = tf.id, tot GROUP BY ALL)"
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
 
 
-def text_queries(spark: SparkSession, sf_dir: str, n: int = 10) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").orderBy("item_id").limit(n).select(F.col("item_id").alias("query_id"), "text")
+def text_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
 @query(f"SELECT doc_id, len({_TOK}) AS n_tokens, md5(array_to_string({_TOK}, ' ')) AS tokens_md5 FROM documents")
@@ -449,9 +449,9 @@ def bm25_stats(spark, sf_dir):
     return i.totals.crossJoin(i.tf.agg(F.count_distinct("term").alias("terms"), F.sum("n").alias("tokens"))).select("documents", r6("mean_length").alias("mean_length"), "terms", "tokens")
 
 
-@query(f"WITH {_BM} SELECT term, df, round(idf, 6) AS idf FROM terms WHERE df >= 20")
+@query(f"WITH {_BM} SELECT term, df, round(idf, 6) AS idf FROM terms")
 def idf_terms(spark, sf_dir):
-    return bm25.build(corpus(spark, sf_dir)).terms.where("df >= 20").select("term", "df", r6("idf").alias("idf"))
+    return bm25.build(corpus(spark, sf_dir)).terms.select("term", "df", r6("idf").alias("idf"))
 
 
 @query(f"WITH {_BM}, {_BMQ}, " + topk_sql("SELECT query_id, id, round(score, 9) AS score FROM hits", 10))
@@ -461,24 +461,23 @@ def bm25_topk(spark, sf_dir):
 
 
 _DENSE = f"dense AS (SELECT query_id, vec_id AS id, {cos('query', 'embedding')} AS score FROM q, embeddings JOIN documents ON doc_id = vec_id)"
-_SPARSE = "sparse AS (SELECT (SELECT min(vec_id) FROM embeddings) + query_id - (SELECT min(item_id) FROM benchmark) AS query_id, id, round(score, 9) AS score FROM hits)"
+_SPARSE = "sparse AS (SELECT 50 * query_id AS query_id, id, round(score, 9) AS score FROM hits)"
 
 
-def dense_and_sparse(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Cosine of every document's vector and BM25 hits; query i is vector i with benchmark item i."""
-    docs = corpus(spark, sf_dir)
-    db = vectors(spark, sf_dir).join(docs.select("id"), "id", "left_semi")
-    dense = db.crossJoin(F.broadcast(asked(spark, sf_dir))).select("query_id", "id", V.cosine(F.col("query"), F.col("vec")).alias("score"))
-    hits = bm25.score(bm25.build(docs), text_queries(spark, sf_dir))
-    first = F.broadcast(table(spark, sf_dir, "benchmark").agg(F.min("item_id").alias("i0")).crossJoin(vectors(spark, sf_dir).agg(F.min("id").alias("v0"))))
-    return dense, hits.crossJoin(first).select((F.col("v0") + F.col("query_id") - F.col("i0")).alias("query_id"), "id", F.round("score", 9).alias("score"))
+def with_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of documents."""
+    return vectors(spark, sf_dir).join(corpus(spark, sf_dir).select("id"), "id", "left_semi")
+
+
+def sparse_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = bm25.score(bm25.build(corpus(spark, sf_dir)), text_queries(spark, sf_dir))
+    return hits.select((50 * F.col("query_id")).alias("query_id"), "id", F.round("score", 9).alias("score"))
 
 
 @query(f"""WITH {_Q}, {_BM}, {_BMQ}, {_DENSE}, {_SPARSE}, b AS (SELECT d.query_id, d.id, d.score AS d, coalesce(s.score, 0) AS s FROM dense d LEFT JOIN sparse s ON s.query_id = d.query_id AND s.id = d.id),
 n AS (SELECT query_id, min(d) AS d0, max(d) AS d1, min(s) AS s0, max(s) AS s1 FROM b GROUP BY query_id), """ + topk_sql("SELECT query_id, id, 0.7 * CASE WHEN d1 > d0 THEN (d - d0) / (d1 - d0) ELSE 0 END + 0.3 * CASE WHEN s1 > s0 THEN (s - s0) / (s1 - s0) ELSE 0 END AS score FROM b JOIN n USING (query_id)", 10))
 def hybrid_search(spark, sf_dir):
-    dense, sparse = dense_and_sparse(spark, sf_dir)
-    return ranking.hybrid(dense, sparse, 10, 0.7).select("query_id", "id", r6("score").alias("score"), "rank")
+    return ranking.hybrid_search(asked(spark, sf_dir), with_documents(spark, sf_dir), sparse_hits(spark, sf_dir), 10, 0.7).select("query_id", "id", r6("score").alias("score"), "rank")
 
 
 _LISTS = "dr AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS rank FROM dense), sr AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS rank FROM sparse)"
@@ -486,7 +485,8 @@ _LISTS = "dr AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id O
 
 @query(f"WITH {_Q}, {_BM}, {_BMQ}, {_DENSE}, {_SPARSE}, {_LISTS}, u AS (SELECT query_id, id, 1.0 / (60 + rank + 1) AS s FROM dr WHERE rank < 50 UNION ALL SELECT query_id, id, 1.0 / (60 + rank + 1) AS s FROM sr WHERE rank < 50), " + topk_sql("SELECT query_id, id, sum(CAST(s AS DOUBLE)) AS score FROM u GROUP BY ALL", 10))
 def rrf_fusion(spark, sf_dir):
-    lists = [search.top_k(x, 50).select("query_id", "id", (F.col("rank") - 1).alias("rank")) for x in dense_and_sparse(spark, sf_dir)]
+    found = [search.knn(asked(spark, sf_dir), with_documents(spark, sf_dir), 50), search.top_k(sparse_hits(spark, sf_dir), 50)]
+    lists = [x.select("query_id", "id", (F.col("rank") - 1).alias("rank")) for x in found]
     return ranking.rrf_top_k(lists, 10).select("query_id", "id", r6("score").alias("score"), "rank")
 
 
@@ -494,7 +494,7 @@ _CAND = "cand AS (SELECT * FROM (SELECT query_id, id, score, row_number() OVER (
 
 
 def _candidates(spark, sf_dir):
-    return search.top_k(dense_and_sparse(spark, sf_dir)[1], 30)
+    return search.top_k(sparse_hits(spark, sf_dir), 30)
 
 
 @query(f"WITH {_Q}, {_BM}, {_BMQ}, {_SPARSE}, {_CAND}, " + topk_sql(f"SELECT c.query_id, c.id, {cos('query', 'embedding')} AS score FROM cand c JOIN embeddings ON vec_id = c.id JOIN q ON q.query_id = c.query_id", 10))
@@ -510,8 +510,7 @@ def rrf_rerank(spark, sf_dir):
 
 @query(f"WITH {_Q} SELECT vec_id AS id, round(sum({cos('query', 'embedding')}), 6) AS score FROM q, embeddings GROUP BY vec_id")
 def multi_query_score(spark, sf_dir):
-    scored = vectors(spark, sf_dir).crossJoin(F.broadcast(asked(spark, sf_dir))).select("id", V.cosine(F.col("query"), F.col("vec")).alias("score"))
-    return ranking.score_sum(scored).select("id", r6("score").alias("score"))
+    return search.score_sums(asked(spark, sf_dir), vectors(spark, sf_dir)).select("id", r6("score").alias("score"))
 
 
 @query()
@@ -601,8 +600,7 @@ def pq_encode_fixed(spark, sf_dir):
 def pq_adc_topk(spark, sf_dir):
     book = fixed_book(spark, sf_dir)
     coded = search.pq_encode(vectors(spark, sf_dir), book)
-    scored = search.adc_topk(asked(spark, sf_dir), coded, book, 1 << 30).withColumn("distance", F.round("distance", 9)).drop("rank")
-    return search.top_k(scored, 10, score="distance", ascending=True).select("query_id", "id", r6("distance").alias("distance"), "rank")
+    return search.adc_topk(asked(spark, sf_dir), coded, book, 10).select("query_id", "id", r6("distance").alias("distance"), "rank")
 
 
 _CENT = "ce AS (SELECT CAST(row_number() OVER (ORDER BY vec_id) - 1 AS INTEGER) AS list_id, embedding AS centroid FROM (SELECT * FROM embeddings ORDER BY vec_id LIMIT 8)), asg AS (SELECT vec_id, embedding, arg_min(list_id, (-s, list_id)) AS list_id FROM (SELECT vec_id, embedding, list_id, list_dot_product(" + dbl("embedding") + ", " + dbl("centroid") + ") AS s FROM embeddings, ce) GROUP BY ALL), pr AS (SELECT query_id, query, list_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, list_id) AS probe FROM (SELECT query_id, query, list_id, list_dot_product(" + dbl("query") + ", " + dbl("centroid") + ") AS s FROM q, ce))"
@@ -788,7 +786,7 @@ def embedding_cache_keys(spark, sf_dir):
 def ivf_probed_rows(spark, sf_dir):
     lists = fixed_lists(spark, sf_dir)
     index = search.assign(vectors(spark, sf_dir), lists)
-    return index.join(F.broadcast(search.probes(asked(spark, sf_dir), lists, 2)), "list_id").groupBy("query_id").agg(F.count(F.lit(1)).alias("rows"))
+    return index.join(search.probes(asked(spark, sf_dir), lists, 2), "list_id").groupBy("query_id").agg(F.count(F.lit(1)).alias("rows"))
 
 
 @query()

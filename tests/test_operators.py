@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import text as X
 from lodestar.functions import vec as V
-from lodestar.operators import bm25, codecs, quality, ranking, search, select, store, training
+from lodestar.operators import bm25, codecs, quality, ranking, scan, search, select, store, training
 
 
 @pytest.fixture(scope="module")
@@ -93,13 +93,13 @@ def test_minmax(gauss):
     assert np.abs(back - x).max() <= (x.max(0) - x.min(0)).max() / 255
 
 
-@pytest.mark.parametrize("metric", ["cosine", "dot", "l2", "l1"])
+@pytest.mark.parametrize("metric", ["cosine", "dot", "l2", "l1", "hamming"])
 def test_knn_is_exact(gauss, metric):
     x, df = gauss
     q = df.where("id in (0, 7, 50)").select(F.col("id").alias("query_id"), F.col("vec").alias("query"))
     got = {(r["query_id"], r["rank"]): r["id"] for r in search.knn(q, df, 5, metric).collect()}
     for i in (0, 7, 50):
-        s = search._scores(metric, x.astype(float), x[i : i + 1].astype(float))[:, 0]
+        s = scan.scorer(metric)(x.astype(float), x[i : i + 1].astype(float))[:, 0]
         assert [got[i, r] for r in range(1, 6)] == np.lexsort((np.arange(len(x)), -s))[:5].tolist()
 
 
@@ -114,16 +114,59 @@ def test_knn_edges(gauss, spark):
 
 
 def test_knn_blocks_and_ties(gauss, spark, monkeypatch):
+    """Blocks of queries against parts of rows give what one multiplication gives, in every search."""
     _, df = gauss
     q = df.where("id < 9").select(F.col("id").alias("query_id"), F.col("vec").alias("query"))
-    rows = lambda: sorted((r["query_id"], r["rank"], r["id"]) for r in search.knn(q, df, 4).collect())
+    lists, book = training.ivf_train(df, 4, 3), training.pq_train(df, 16, 8, 2)
+    index = search.pq_encode(search.assign(df, lists), book)
+    half = df.where("id % 3 = 0")
+
+    def rows():
+        found = [search.knn(q, df, 4, include_self=False), search.ivf_search(q, index, lists, 4, 2), search.adc_topk(q, index, book, 4), search.ivf_pq_search(q, index, lists, book, 4, 2), search.hamming_topk(q, df, 4), search.all_scores(q, half), search.score_ends(q, df), search.score_sums(q, df)]
+        return [sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in f.collect()) for f in found]
+
     whole = rows()
-    monkeypatch.setattr(search, "QUERY_ROWS", 2)
-    monkeypatch.setattr(search, "SCORED_ROWS", 16)
+    assert all(len(r) for r in whole)
+    monkeypatch.setattr(scan, "QUERY_ROWS", 2)
+    monkeypatch.setattr(scan, "QUERY_NUMBERS", 200)
+    monkeypatch.setattr(scan, "PART_ROWS", 50)
+    monkeypatch.setattr(scan, "SCORED_ROWS", 16)
     assert rows() == whole
     same = spark.range(500).select("id", F.array(F.lit(1.0), F.lit(0.0)).cast("array<float>").alias("vec"))
     one = spark.createDataFrame([(0, [1.0, 0.0])], "query_id long, query array<float>")
     assert [r["id"] for r in search.knn(one, same, 3).orderBy("rank").collect()] == [0, 1, 2]
+    monkeypatch.setattr(search, "CENTROID_NUMBERS", 10)
+    assert sorted(search.assign(df, lists).select("id", "list_id").collect()) == sorted(index.select("id", "list_id").collect())
+
+
+@pytest.mark.parametrize("metric", ["cosine", "dot", "l2", "l1", "hamming"])
+@pytest.mark.parametrize("blocks", [False, True])
+def test_knn_beside_odd_rows(spark, metric, blocks, monkeypatch):
+    """Non-finite rows hide no neighbour, and every length of vectors is searched."""
+    if blocks:
+        monkeypatch.setattr(scan, "QUERY_ROWS", 1)
+    rng = np.random.default_rng(3)
+    x, y = rng.standard_normal((60, 6)), rng.standard_normal((25, 9))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(100 + i, v.tolist()) for i, v in enumerate(y)]
+    odd = [(200, [float("nan")] * 6), (201, [float("inf")] + [1.0] * 5), (202, None), (203, []), (204, [None] * 6), (205, [float("nan")] + [1.0] * 8)]
+    df = spark.createDataFrame(rows + odd, "id long, vec array<double>").repartition(3)
+    q = spark.createDataFrame([(1, rows[0][1]), (2, rows[70][1]), (3, [float("nan")] * 6), (4, [1.0]), (5, None)], "query_id long, query array<double>")
+    got = {}
+    for r in search.knn(q, df, 4, metric).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["id"])
+    want = lambda m, v, first: (first + np.lexsort((np.arange(len(m)), -scan.scorer(metric)(m, v[None])[:, 0]))[:4]).tolist()
+    assert got == {1: want(x, x[0], 0), 2: want(y, y[10], 100)}
+
+
+def test_hybrid_without_ranking_all(gauss, spark):
+    """Candidates are enough: the same as fusing two whole lists."""
+    _, df = gauss
+    q = df.where("id < 3").select(F.col("id").alias("query_id"), F.col("vec").alias("query"))
+    for keep in ("id % 5 = query_id", "id < 10", "id >= 0", "id = 1 and query_id = 1"):
+        sparse = df.select("id").crossJoin(q.select("query_id")).where(keep).select("query_id", "id", ((F.col("id") * 7 % 11) + 0.5).alias("score"))
+        for alpha in (0.0, 0.3, 1.0):
+            rows = lambda d: sorted((r["query_id"], r["rank"], r["id"], round(r["score"], 9)) for r in d.collect())
+            assert rows(ranking.hybrid_search(q, df, sparse, 5, alpha)) == rows(ranking.hybrid(search.all_scores(q, df), sparse, 5, alpha)), (keep, alpha)
 
 
 def test_full_probe_is_exact(gauss):
