@@ -146,10 +146,10 @@ def int2_decode(c: Column, size: int = 32) -> Column:
     return F.transform(c["codes"], lambda x, i: ((x.cast("double") - 1) * F.element_at(c["scales"], at(i)) + F.element_at(c["zeroes"], at(i))).cast("float"))
 
 
-def nf4(v: Column) -> Column:
-    """Index of the nearest level; a number half-way between two gets the lower."""
+def nf4(v: Column, halves_up: bool = False) -> Column:
+    """Index of the nearest level; a number half-way between two gets the lower, or with ``halves_up`` the upper."""
     bounds = F.array(*[F.lit(t).cast("float") for t in nf4_thresholds()])
-    index = lambda y: V.let(y, lambda z: F.size(F.filter(bounds, lambda t: t < z)))
+    index = lambda y: V.let(y, lambda z: F.size(F.filter(bounds, lambda t: t <= z if halves_up else t < z)))
     return V.let(V.abs_max(v), lambda m: F.struct(F.transform(v, lambda x: index(_ratio(x, _or_one(m, m))).cast("tinyint")).alias("codes"), m.alias("scale")))
 
 

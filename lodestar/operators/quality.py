@@ -56,11 +56,12 @@ def _percentiles(c: Column, at: list[float], accuracy: int | None) -> Column:
     return F.percentile(c, wanted) if accuracy is None else F.percentile_approx(c, wanted, F.lit(accuracy))
 
 
-def metrics(df: DataFrame, ratio: float | None = None, accuracy: int | None = None) -> DataFrame:
+def metrics(df: DataFrame, ratio: float | None = None, accuracy: int | None = 10_000) -> DataFrame:
     """One row: errors, cosines, error percentiles, SNR, PSNR, SSIM, ratio.
 
-    Exact percentiles keep a count per distinct error in one task; ``accuracy`` (say
-    10000) takes a mergeable sketch instead, for tables of more than some 10^8 numbers.
+    Percentiles come from a mergeable sketch whose ranks are within 1 / ``accuracy``.  With
+    None they are exact and linear between ranks, and one task keeps a count for each
+    distinct error: for tables of up to some 10^8 numbers.
     """
     rows = per_vector(df)
     each = rows.select(F.explode("errors").alias("e"))
@@ -92,7 +93,7 @@ def fidelity(df: DataFrame) -> DataFrame:
     return df.where((a > 0) & (b > 0)).agg(F.avg(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), V.cosine(F.col("vec"), F.col("decoded"))))).alias("fidelity"))
 
 
-def audit(df: DataFrame, accuracy: int | None = None) -> DataFrame:
+def audit(df: DataFrame, accuracy: int | None = 10_000) -> DataFrame:
     """One row: vectors, mean, least and 5th-percentile cosine, mean L2 and relative error; ``accuracy`` as in ``metrics``."""
     return per_vector(df).agg(
         F.count(F.lit(1)).alias("n"), F.avg("cosine").alias("mean_cosine"), F.min("cosine").alias("min_cosine"), _percentiles(F.col("cosine"), [0.05], accuracy)[0].alias("p5_cosine"), F.avg("l2_error").alias("mean_l2"), F.avg("relative_error").alias("mean_relative")

@@ -90,7 +90,7 @@ def mmr(queries: DataFrame, candidates: DataFrame, k: int, balance: float = 0.5)
     """``(query_id, id, rank)``: greedy choice of k among a query's candidates ``(query_id, id, vec)``.
 
     Every step takes the largest ``balance * relevance - (1 - balance) * nearest
-    chosen``; equals go to the more relevant, then the smaller id.  Candidates are a
+    chosen``; equals (to twelve places) go to the more relevant, then the smaller id.  Candidates are a
     bounded top-k of a search, so a query's fit in a task.
     """
     kinds = dict(candidates.dtypes)
@@ -105,7 +105,7 @@ def mmr(queries: DataFrame, candidates: DataFrame, k: int, balance: float = 0.5)
         x, relevance, ids = x[order], relevance[order], group["id"].to_numpy()[order]
         free, nearest, chosen = np.ones(len(ids), bool), np.full(len(ids), -np.inf), []
         while len(chosen) < min(k, len(ids)):
-            value = relevance if not chosen else balance * relevance - (1 - balance) * nearest
+            value = np.round(relevance if not chosen else balance * relevance - (1 - balance) * nearest, 12)
             best = int(np.where(free, value, -np.inf).argmax())
             chosen.append(best)
             free[best] = False

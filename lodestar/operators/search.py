@@ -20,11 +20,6 @@ from lodestar.operators import codecs, scan
 CENTROID_NUMBERS = 8_000_000
 
 
-def matrix(column: pa.Array, dims: int) -> np.ndarray:
-    """A list column without nulls as rows of doubles."""
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims).astype(np.float64)
-
-
 def top_k(scored: DataFrame, k: int, by: str = "query_id", score: str = "score", ascending: bool = False, id_col: str = "id") -> DataFrame:
     """Best k rows of each query with ``rank`` from 1; equal scores rank by id."""
     order = F.col(score).asc() if ascending else F.col(score).desc()
@@ -181,13 +176,23 @@ def pq_codes(v: Column, codebook: list[list[list[float]]]) -> Column:
 
 
 def pq_encode(df: DataFrame, codebook: np.ndarray, out: str = "codes") -> DataFrame:
-    """``df`` with PQ codes of ``vec``; the codebook (M, K, width) goes to every task."""
+    """``df`` with PQ codes of ``vec``; the codebook (M, K, width) goes to every task.
+
+    Codes of rows without a finite vector of the codebook's length are null, and are never found.
+    """
     from pyspark.sql import types as T
 
+    dims, parts = codebook.shape[0] * codebook.shape[2], codebook.shape[0]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes = pq_assign(matrix(batch.column("vec"), codebook.shape[0] * codebook.shape[2]), codebook)
-            lists = pa.FixedSizeListArray.from_arrays(pa.array(codes.ravel(), pa.int32()), codes.shape[1]).cast(pa.list_(pa.int32()))
+            lists = pa.nulls(batch.num_rows, pa.list_(pa.int32()))
+            for n, at, x in scan.by_length(batch.column("vec")):
+                if n == dims and len(x):
+                    made = pa.FixedSizeListArray.from_arrays(pa.array(pq_assign(x, codebook).ravel(), pa.int32()), parts).cast(pa.list_(pa.int32()))
+                    place = np.full(batch.num_rows, -1)
+                    place[at] = np.arange(len(at))
+                    lists = made.take(pa.array(place, mask=place < 0))
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, out])
 
     rows = df.drop(out)

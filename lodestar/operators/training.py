@@ -4,6 +4,9 @@ Sums over rows are Spark aggregations: each task reduces its batches to one part
 result of a size that the model fixes (centroids, a d x d matrix, gradients), and only
 those are added up.  Starting points come from a sample by hash of the id, so a run
 doesn't depend on how rows are split.
+
+Training takes the finite vectors of the most common length and leaves other rows out; a
+table without any is an error (``ValueError``).
 """
 
 from __future__ import annotations
@@ -16,33 +19,48 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.operators.search import matrix, pq_assign
+from lodestar.operators.scan import by_length
+from lodestar.operators.search import pq_assign
+from lodestar.session import dimension, valid
 
-#: Rows that starting points are chosen from.
+#: Rows that starting points are chosen from, or twice the number of centroids if that is more.
 START_ROWS = 4_096
+#: Partial sums that reach the driver at most.
+PARTIAL_SUMS = 64
 
 
-def starting_rows(df: DataFrame, rows: int = START_ROWS, seed: int = 0) -> np.ndarray:
-    """Vectors with the smallest hashes of their ids: at most ``rows``."""
-    picked = df.select("id", "vec").orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(rows).collect()
+def starting_rows(df: DataFrame, dims: int, rows: int, seed: int = 0) -> np.ndarray:
+    """Vectors of length ``dims`` with the smallest hashes of their ids: at most ``rows``."""
+    picked = valid(df.select("id", "vec"), dims).orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(rows).collect()
+    if not picked:
+        raise ValueError("no finite vector to start from")
     return np.array([r["vec"] for r in picked], np.float64)
 
 
 def summed(df: DataFrame, part: Callable[[np.ndarray], np.ndarray], shape: tuple[int, ...], dims: int) -> np.ndarray:
-    """Sum over all vectors of ``part(rows)``, an array of fixed shape."""
+    """Sum over the finite vectors of length ``dims`` of ``part(rows)``, an array of fixed shape.
+
+    A task gives one row, and these are added in groups before the driver adds the rest.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         acc = np.zeros(shape)
         for batch in batches:
-            if batch.num_rows:
-                acc += part(matrix(batch.column(0), dims))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(acc.size)), pa.array(acc.ravel())], ["at", "value"])
+            for n, _, x in by_length(batch.column(0)):
+                if n == dims and len(x):
+                    acc += part(x)
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % PARTIAL_SUMS], pa.int32()), pa.array([acc.tobytes()], pa.binary())], ["at", "sums"])
 
-    rows = df.select("vec").mapInArrow(run, "at long, value double").groupBy("at").agg(F.sum("value").alias("value")).collect()
-    out = np.zeros(int(np.prod(shape)))
-    for r in rows:
-        out[r["at"]] = r["value"]
-    return out.reshape(shape)
+    def add(group: pa.Table) -> pa.Table:
+        total = np.zeros(int(np.prod(shape)))
+        for one in group.column("sums").to_pylist():
+            total += np.frombuffer(one)
+        return pa.table({"sums": pa.array([total.tobytes()], pa.binary())})
+
+    rows = df.select("vec").mapInArrow(run, "at int, sums binary").groupBy("at").applyInArrow(add, "sums binary").collect()
+    return sum((np.frombuffer(bytes(r["sums"])) for r in rows), np.zeros(int(np.prod(shape)))).reshape(shape)
 
 
 def plus_plus(x: np.ndarray, k: int, seed: int) -> np.ndarray:
@@ -58,11 +76,14 @@ def plus_plus(x: np.ndarray, k: int, seed: int) -> np.ndarray:
 
 
 def kmeans(df: DataFrame, k: int, rounds: int = 15, seed: int = 0, tolerance: float = 1e-6, transform: Callable[[np.ndarray], np.ndarray] | None = None) -> np.ndarray:
-    """Centroids of Lloyd's algorithm over all rows; an empty cluster keeps its centroid."""
-    change = transform or (lambda x: x)
-    start = change(starting_rows(df, seed=seed))
+    """Centroids of Lloyd's algorithm over all rows; an empty cluster keeps its centroid.
+
+    There are ``k``, or as many as vectors with distinct ids if those are fewer.
+    """
+    change, dims = transform or (lambda x: x), dimension(df)
+    start = change(starting_rows(df, dims, max(START_ROWS, 2 * k), seed))
     cents = plus_plus(start, k, seed)
-    dims, width = len(df.select("vec").first()["vec"]), cents.shape[1]
+    width = cents.shape[1]
     for _ in range(rounds):
         now = cents
 
@@ -86,12 +107,14 @@ def unit_rows(x: np.ndarray) -> np.ndarray:
 
 
 def clusters(df: DataFrame, centroids: np.ndarray) -> DataFrame:
-    """``(id, cluster)`` by nearest centroid."""
+    """``(id, cluster)`` by nearest centroid, of the finite vectors of the centroids' length."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = matrix(batch.column(1), centroids.shape[1])
-            near = ((centroids * centroids).sum(1)[None] - 2 * x @ centroids.T).argmin(1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(near.astype(np.int32))], ["id", "cluster"])
+            for n, at, x in by_length(batch.column(1)):
+                if n == centroids.shape[1]:
+                    near = ((centroids * centroids).sum(1)[None] - 2 * x @ centroids.T).argmin(1)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(near.astype(np.int32))], ["id", "cluster"])
 
     return df.select("id", "vec").mapInArrow(run, f"id {dict(df.dtypes)['id']}, cluster int")
 
@@ -107,13 +130,12 @@ def ivf_train(df: DataFrame, lists: int, rounds: int = 15, seed: int = 0) -> Dat
 
 def pq_train(df: DataFrame, parts: int, k: int = 256, rounds: int = 10, seed: int = 0, transform: Callable[[np.ndarray], np.ndarray] | None = None) -> np.ndarray:
     """Codebook (parts, k, width): k-means in every sub-space, all sub-spaces in one pass over the rows a round."""
-    change = transform or (lambda x: x)
-    start = change(starting_rows(df, seed=seed))
+    change, dims = transform or (lambda x: x), dimension(df)
+    start = change(starting_rows(df, dims, max(START_ROWS, 2 * k), seed))
     if start.shape[1] % parts:
         raise ValueError(f"{start.shape[1]} dimensions don't divide into {parts} parts")
     width, k = start.shape[1] // parts, min(k, len(start))
     book = np.stack([plus_plus(start[:, i * width : (i + 1) * width], k, seed + i) for i in range(parts)])
-    dims = len(df.select("vec").first()["vec"])
     for _ in range(rounds):
         now = book
 
@@ -141,7 +163,7 @@ def opq_train(df: DataFrame, parts: int, k: int = 256, turns: int = 5, seed: int
     The rotation comes from the SVD of the d x d cross product of vectors and their
     decoded forms, which is summed over all rows.
     """
-    dims = len(df.select("vec").first()["vec"])
+    dims = dimension(df)
     rotation, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((dims, dims)))
     book = None
     for _ in range(turns):
@@ -183,7 +205,7 @@ class ResidualCodebook:
 
 
 def rq_train(df: DataFrame, passes: int, parts: int, k: int = 256, rounds: int = 6, seed: int = 0) -> ResidualCodebook:
-    dims = len(df.select("vec").first()["vec"])
+    dims = dimension(df)
     width = -(-dims // parts) * parts
     books: tuple[np.ndarray, ...] = ()
     for i in range(passes):
@@ -200,16 +222,25 @@ def rq_train(df: DataFrame, passes: int, parts: int, k: int = 256, rounds: int =
 
 
 def mapped(df: DataFrame, change: Callable[[np.ndarray], np.ndarray], out: str = "decoded") -> DataFrame:
-    """``df`` with ``out``: the vectors after a function of whole batches."""
+    """``df`` with ``out``: the vectors after a function of whole batches.
+
+    The function gets the finite vectors of the most common length; ``out`` of other rows is null.
+    """
     from pyspark.sql import types as T
 
     rows = df.drop(out)
-    dims = len(df.select("vec").first()["vec"])
+    dims = dimension(df)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            y = np.ascontiguousarray(change(matrix(batch.column("vec"), dims)), np.float32) if batch.num_rows else np.zeros((0, dims), np.float32)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(y) + 1, dtype=np.int32) * (y.shape[1] if y.ndim == 2 else dims)), pa.array(y.ravel()))
+            lists = pa.nulls(batch.num_rows, pa.list_(pa.float32()))
+            for n, at, x in by_length(batch.column("vec")):
+                if n == dims and len(x):
+                    y = np.ascontiguousarray(change(x), np.float32)
+                    made = pa.ListArray.from_arrays(pa.array(np.arange(len(y) + 1, dtype=np.int32) * y.shape[1]), pa.array(y.ravel()))
+                    place = np.full(batch.num_rows, -1)
+                    place[at] = np.arange(len(at))
+                    lists = made.take(pa.array(place, mask=place < 0))
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, out])
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(out, T.ArrayType(T.FloatType()))]))
@@ -285,7 +316,7 @@ def _gradients(model: Autoencoder, x: np.ndarray) -> np.ndarray:
 def autoencoder_train(df: DataFrame, code: int, hidden: int = 64, epochs: int = 30, rate: float = 0.02, decay: float = 1e-4, seed: int = 0) -> Autoencoder:
     """Adam on full-batch gradients, each a sum over all rows."""
     rng = np.random.default_rng(seed)
-    dims = len(df.select("vec").first()["vec"])
+    dims = dimension(df)
     shapes = [(dims, hidden), (hidden, code), (code, hidden), (hidden, dims)]
     model = Autoencoder([rng.standard_normal(s) * np.sqrt(2 / sum(s)) for s in shapes])
     sizes = [int(np.prod(s)) for s in shapes]
@@ -299,14 +330,20 @@ def autoencoder_train(df: DataFrame, code: int, hidden: int = 64, epochs: int =
         flat = flat - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         model.weights = [w.reshape(s) for w, s in zip(np.split(flat, np.cumsum(sizes)[:-1]), shapes)]
     final = model
-    top = df.select("vec").mapInArrow(lambda bs: (pa.RecordBatch.from_arrays([pa.array([float(np.abs(final.hidden(matrix(b.column(0), dims))).max())])], ["top"]) for b in bs if b.num_rows), "top double")
+
+    def largest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tops = [float(np.abs(final.hidden(x)).max()) for n, _, x in by_length(batch.column(0)) if n == dims and len(x)]
+            yield pa.RecordBatch.from_arrays([pa.array(tops, pa.float64())], ["top"])
+
+    top = df.select("vec").mapInArrow(largest, "top double")
     model.scale = top.agg(F.max("top")).first()[0] or 1.0
     return model
 
 
 def pca(df: DataFrame, k: int = 2) -> tuple[np.ndarray, np.ndarray]:
     """(mean, components): eigenvectors of the covariance, which is summed over all rows; each has its largest entry positive."""
-    dims = len(df.select("vec").first()["vec"])
+    dims = dimension(df)
     acc = summed(df, lambda x: np.vstack([x.T @ x, x.sum(0, keepdims=True), np.full((1, dims), len(x))]), (dims + 2, dims), dims)
     n = acc[-1, 0]
     mean = acc[-2] / n

@@ -307,7 +307,7 @@ b AS (SELECT avg(c) AS mean_cosine, min(c) AS min_cosine, max(c) AS max_cosine F
 SELECT round(mae, 6) AS mae, round(mse, 8) AS mse, round(sqrt(mse), 6) AS rmse, round(mean_cosine, 6) AS mean_cosine, round(min_cosine, 6) AS min_cosine, round(max_cosine, 6) AS max_cosine, round(p[1], 6) AS p25, round(p[2], 6) AS p50, round(p[3], 6) AS p75, round(p[4], 6) AS p95, round(p[5], 6) AS p99, round(p[6], 6) AS p99_9,
 round(10 * log10(power / mse), 4) AS snr_db, round(20 * log10(peak / sqrt(mse)), 4) AS psnr_db, 'A+ (Excellent)' AS grade FROM a, b""")
 def quality_metrics(spark, sf_dir):
-    m = quality.metrics(decoded(spark, sf_dir, "int8"))
+    m = quality.metrics(decoded(spark, sf_dir, "int8"), accuracy=None)
     return m.select(r6("mae").alias("mae"), F.round("mse", 8).alias("mse"), *[r6(c).alias(c) for c in ("rmse", "mean_cosine", "min_cosine", "max_cosine", "p25", "p50", "p75", "p95", "p99", "p99_9")], F.round("snr_db", 4).alias("snr_db"), F.round("psnr_db", 4).alias("psnr_db"), "grade")
 
 
@@ -329,7 +329,7 @@ def quality_grade(spark, sf_dir):
 
 @query(f"WITH {_ERR}, r AS (SELECT c, sqrt(list_dot_product(er, er)) AS l2, sqrt(list_dot_product({dbl('v')}, {dbl('v')})) AS n FROM x) SELECT count(*) AS n, round(avg(c), 6) AS mean_cosine, round(min(c), 6) AS min_cosine, round(quantile_cont(c, 0.05), 6) AS p5_cosine, round(avg(l2), 6) AS mean_l2, round(avg(l2 / n), 6) AS mean_relative FROM r")
 def audit_summary(spark, sf_dir):
-    a = quality.audit(decoded(spark, sf_dir, "int8"))
+    a = quality.audit(decoded(spark, sf_dir, "int8"), accuracy=None)
     return a.select("n", *[r6(c).alias(c) for c in a.columns[1:]])
 
 
@@ -513,7 +513,12 @@ def multi_query_score(spark, sf_dir):
     return search.score_sums(asked(spark, sf_dir), vectors(spark, sf_dir)).select("id", r6("score").alias("score"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_Q}, near AS (SELECT * FROM (SELECT query_id, vec_id AS id, embedding AS v, {cos('query', 'embedding')} AS rel, row_number() OVER (PARTITION BY query_id ORDER BY {cos('query', 'embedding')} DESC, vec_id) AS r FROM q, embeddings) WHERE r <= 20),
+lists AS (SELECT query_id, list(id ORDER BY r) AS ids, list(rel ORDER BY r) AS rels, list(v ORDER BY r) AS vs FROM near GROUP BY query_id),
+sims AS (SELECT query_id, ids, rels, list_transform(vs, lambda a: list_transform(vs, lambda b: {cos('a', 'b')})) AS sim FROM lists),
+steps AS (SELECT query_id, ids, rels, sim, 1 AS rank, [1] AS chosen FROM sims UNION ALL
+    SELECT query_id, ids, rels, sim, rank + 1, list_append(chosen, list_position(val, list_max(val))) FROM (SELECT *, list_transform(range(1, len(ids) + 1), lambda i: CASE WHEN list_contains(chosen, i) THEN -1e9 ELSE round(0.5 * rels[i] - 0.5 * list_max(list_transform(chosen, lambda c: sim[i][c])), 12) END) AS val FROM steps WHERE rank < 5))
+SELECT query_id, ids[chosen[rank]] AS id, CAST(rank AS INTEGER) AS rank FROM steps""")
 def mmr_select(spark, sf_dir):
     q, db = asked(spark, sf_dir), vectors(spark, sf_dir)
     near = search.knn(q, db, 20).join(db.select("id", "vec"), "id")
@@ -665,8 +670,15 @@ def ivf_train(spark, sf_dir):
     return quality.recall(search.knn(asked(spark, sf_dir), v, 10), found, 10)
 
 
-@query()
+@query(f"WITH {_Q}, {_CENT}, {_BOOK}, {_DISTS}, " + topk_sql("SELECT query_id, vec_id AS id, sum(list_sum(list_transform(range(1, 9), lambda i: (CAST(query[m * 8 + i] AS DOUBLE) - CAST(c[i] AS DOUBLE)) ** 2))) AS distance FROM pc JOIN asg USING (vec_id) JOIN pr USING (list_id) WHERE probe <= 3 GROUP BY query_id, vec_id", 10, "round(distance, 9)", "query_id, id, round(distance, 6) AS distance, rank"))
 def ivf_pq_search(spark, sf_dir):
+    lists, book = fixed_lists(spark, sf_dir), fixed_book(spark, sf_dir)
+    index = search.pq_encode(search.assign(vectors(spark, sf_dir), lists), book).select("id", "list_id", "codes")
+    return search.ivf_pq_search(asked(spark, sf_dir), index, lists, book, 10, 3).select("query_id", "id", r6("distance").alias("distance"), "rank")
+
+
+@query()
+def ivf_pq_trained(spark, sf_dir):
     v = vectors(spark, sf_dir)
     lists, book = training.ivf_train(v, 16), training.pq_train(v, 32, 64, 6)
     index = search.pq_encode(search.assign(v, lists), book).select("id", "list_id", "codes")
@@ -692,13 +704,23 @@ def autoencoder(spark, sf_dir):
     return quality.mean_cosine(training.mapped(v, lambda x: model.decode(model.encode(x)))).select(F.round("mean_cosine", 2).alias("mean_cosine"))
 
 
-@query()
+def _rounded_sql(x: str, bits: int, least: int = -1000) -> str:
+    """Nearest number with ``bits`` binary digits after the first, halves to even; none finer than 2 ** least."""
+    ulp = f"pow(2.0, greatest(floor(log2(abs(CAST({x} AS DOUBLE)))) - {bits}, {least}))"
+    return f"CASE WHEN {x} = 0 THEN 0.0 ELSE round_even(CAST({x} AS DOUBLE) / {ulp}, 0) * {ulp} END"
+
+
+@query(f"SELECT vec_id, round({cos('embedding', 'list_transform(embedding, lambda x: ' + _rounded_sql('x', 7) + ')')}, 6) AS cosine FROM embeddings")
 def bf16_roundtrip(spark, sf_dir):
     rows = training.mapped(vectors(spark, sf_dir), lambda x: training.bf16_restore(training.bf16(x)))
     return rows.select(F.col("id").alias("vec_id"), r6(V.cosine(F.col("vec"), F.col("decoded"))).alias("cosine"))
 
 
-@query()
+@query(f"""WITH {_CENTRED}, o AS (SELECT list(dim) AS top FROM (SELECT dim FROM k ORDER BY v DESC, dim LIMIT 16)),
+m AS (SELECT vec_id, embedding AS v, top, list_max(list_transform(range(64), lambda i: CASE WHEN list_contains(top, i) THEN 0 ELSE abs(embedding[i + 1]) END)) AS m FROM embeddings, o),
+d AS (SELECT vec_id, v, list_transform(range(64), lambda i: CASE WHEN list_contains(top, i) THEN {_rounded_sql('v[i + 1]', 10, -24)}
+    ELSE CAST({_NF4_LEVELS}[1 + len(list_filter({_levels_sql()}, lambda t: t < CAST(v[i + 1] / m AS FLOAT)))] * m AS FLOAT) END) AS y FROM m)
+SELECT vec_id, round({cos('v', 'y')}, 6) AS cosine FROM d""")
 def nf4_mixed_roundtrip(spark, sf_dir):
     v = vectors(spark, sf_dir)
     top = [r["dim"] for r in quality.outlier_dimensions(v, 16).collect()]

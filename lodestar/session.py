@@ -29,8 +29,8 @@ def valid(df: DataFrame, dims: int, vec: str = "vec") -> DataFrame:
 
 
 def dimension(df: DataFrame, vec: str = "vec") -> int:
-    """Length of the vectors, from one row."""
-    row = df.where(F.size(vec) > 0).select(F.size(vec).alias("d")).first()
+    """Most common length of the vectors, the smallest of equally common ones; a table without vectors is an error."""
+    row = df.where(F.size(vec) > 0).groupBy(F.size(vec).alias("d")).count().orderBy(F.desc("count"), "d").first()
     if row is None:
         raise ValueError("no vector to take the dimension from")
     return row["d"]

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 from dataclasses import asdict, dataclass, field
+from datetime import UTC, datetime
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -84,6 +85,8 @@ class RunConfig:
     group_size: int = 0
     dims: int | None = None
     extra: dict = field(default_factory=dict)
+    #: When the configuration was made, in UTC (ISO 8601).
+    created_at: str = field(default_factory=lambda: datetime.now(UTC).isoformat(timespec="seconds"))
 
     def __post_init__(self) -> None:
         if self.codec not in codecs.CODECS:

@@ -371,3 +371,42 @@ def test_compressor(gauss, profile, least):
             c.compress(live)
     with pytest.raises(ValueError):
         Compressor("nothing").fit(live)
+
+
+def test_training_beside_odd_rows(gauss, spark):
+    """Rows that aren't finite vectors of the most common length change nothing; none at all is an error."""
+    _, df = gauss
+    odd = spark.createDataFrame([(9001, None), (9002, []), (9003, [float("nan")] * 64), (9004, [1.0, 2.0]), (9005, [None] * 64)], "id long, vec array<float>")
+    mixed = df.select("id", "vec").unionByName(odd)
+    assert np.allclose(training.kmeans(mixed, 5, 3), training.kmeans(df, 5, 3))
+    assert np.allclose(training.pq_train(mixed, 16, 8, 2), training.pq_train(df, 16, 8, 2))
+    assert np.allclose(training.pca(mixed, 2)[1], training.pca(df, 2)[1])
+    book = training.pq_train(df, 16, 8, 2)
+    assert search.pq_encode(mixed, book).where("codes is null").count() == 5
+    assert training.mapped(mixed, lambda x: x).where("decoded is null").count() == 5
+    assert search.adc_topk(df.where("id = 1").select(F.col("id").alias("query_id"), F.col("vec").alias("query")), search.pq_encode(mixed, book), book, 10_000).count() == df.count()
+    for train in (lambda d: training.kmeans(d, 3), lambda d: training.pq_train(d, 2), lambda d: training.pca(d), lambda d: training.autoencoder_train(d, 4)):
+        with pytest.raises(ValueError, match="vector"):
+            train(odd.where("vec is null"))
+
+
+def test_as_many_centroids_as_asked_for(spark, monkeypatch):
+    monkeypatch.setattr(training, "START_ROWS", 16)
+    df = spark.range(400).select("id", F.array(*[F.rand(i).cast("float") for i in range(4)]).alias("vec"))
+    assert len(training.kmeans(df, 100, 1)) == 100
+
+
+def test_nf4_halves_go_either_way(spark):
+    half = codecs.nf4_thresholds()[9]
+    r = spark.createDataFrame([([1.0, half],)], "v array<float>").select(codecs.nf4(F.col("v"))["codes"].alias("down"), codecs.nf4(F.col("v"), halves_up=True)["codes"].alias("up")).first()
+    assert (r["down"][1], r["up"][1]) == (9, 10)
+
+
+def test_trained_codes_keep_their_promises(gauss):
+    """Bounds that trained forms must reach: residual passes, an own nearest neighbour under full probing, clusters that hold every row."""
+    x, df = gauss
+    lists = training.ivf_train(df, 8, 5)
+    q = df.where("id between 10 and 19").select(F.col("id").alias("query_id"), F.col("vec").alias("query"))
+    own = search.ivf_search(q, search.assign(df, lists), lists, 1, 8).collect()
+    assert all(r["query_id"] == r["id"] for r in own) and len(own) == 10
+    assert training.clusters(df, training.kmeans(df, 6, 4)).count() == len(x)
