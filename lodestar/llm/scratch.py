@@ -12,6 +12,7 @@ import atexit
 import contextlib
 import shutil
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable
 
@@ -22,8 +23,16 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES, BROADCAST_ROWS = 4 << 20, 500_000
 
 _roots: dict[str, str] = {}
-#: Tables staged since each ``stage_only`` that is still running.
-_passing: list[list[DataFrame]] = []
+
+
+class _Passing(threading.local):
+    """Tables staged by this thread since each ``stage_only`` that is still running."""
+
+    def __init__(self):
+        self.open: list[list[DataFrame]] = []
+
+
+_passing = _Passing()
 
 
 def _folder() -> str:
@@ -62,18 +71,18 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._staged_path = path  # noqa: SLF001
-    if _passing:
-        _passing[-1].append(out)
+    if _passing.open:
+        _passing.open[-1].append(out)
     return out
 
 
 def stage_only(make: Callable[[], DataFrame], label: str) -> DataFrame:
     """Stage what ``make`` returns, and delete the tables that were staged on the way to it."""
-    _passing.append([])
+    _passing.open.append([])
     try:
         df = make()
     finally:
-        passing = _passing.pop()
+        passing = _passing.open.pop()
     out = stage(df, label)
     for table in passing:
         drop(table)
