@@ -106,7 +106,7 @@ def test_ivf_codebook_and_datasets(spark, tmp_path):
     near = search.ivf_search(q, rows, cents, 1, 1)
     assert all(r["id"] == r["query_id"] for r in near.collect())
     plan = near._jdf.queryExecution().executedPlan().toString()
-    assert "dynamicpruning" in plan
+    assert "PartitionFilters: [list_id" in plan
     book = training.pq_train(df, 4, 8, 2)
     index.save_codebook(spark, book, str(tmp_path / "cb"), np.eye(16))
     got, turn = index.load_codebook(spark, str(tmp_path / "cb"), True)
