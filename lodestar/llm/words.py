@@ -6,16 +6,18 @@ feed and carriage return, which is what ``bytes.split()`` yields for UTF-8.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 #: Words whose hashes a worker remembers before it starts afresh.
-CACHED_WORDS = 200_000
-#: Texts that a task holds as Python objects at once.
-ROWS_AT_ONCE = 256
+CACHED_WORDS = 100_000
+#: Texts, and bytes of them, that a task holds as Python objects at once; a longer text is alone.
+ROWS_AT_ONCE, BYTES_AT_ONCE = 256, 4 << 20
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -23,10 +25,28 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most ``ROWS_AT_ONCE``."""
+    """The same rows in batches of at most ``ROWS_AT_ONCE`` rows and ``BYTES_AT_ONCE`` bytes, or of one row; what a task no longer uses goes back to the system at its end."""
     for batch in batches:
-        for at in range(0, batch.num_rows, ROWS_AT_ONCE):
-            yield batch.slice(at, ROWS_AT_ONCE)
+        sizes = np.zeros(batch.num_rows, np.int64)
+        for column in batch.columns:
+            if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+                sizes += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        at = 0
+        while at < batch.num_rows:
+            full = int(np.searchsorted(ends, ends[at] + BYTES_AT_ONCE, "right")) - 1
+            stop = min(batch.num_rows, at + ROWS_AT_ONCE, max(full, at + 1))
+            yield batch.slice(at, stop - at)
+            at = stop
+    give_back()
+
+
+def give_back() -> None:
+    """Return free memory of this worker, which idles beside others of its executor, to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
 
 
 class WordHashes(dict):

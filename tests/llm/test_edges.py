@@ -410,6 +410,20 @@ def test_packing(spark, odd):
     assert packing.pack(docs(spark, []), Q.TOKENIZER, Q.RANKS).count() == 0
 
 
+def test_slices_are_bounded_by_rows_and_bytes(monkeypatch):
+    import pyarrow as pa
+
+    from lodestar.llm import words
+
+    monkeypatch.setattr(words, "ROWS_AT_ONCE", 5)
+    monkeypatch.setattr(words, "BYTES_AT_ONCE", 10)
+    texts = ["a" * n for n in (1, 1, 1, 1, 1, 1, 30, 4, 6, 1, 0, 11)] + [None, "x"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["i", "t"])
+    got = list(words.slices(iter([batch, batch.slice(0, 0), batch])))
+    assert [x for b in got for x in b.column(1).to_pylist()] == texts * 2
+    assert all(b.num_rows <= 5 and (b.num_rows == 1 or sum(len(x or "") for x in b.column(1).to_pylist()) <= 10) for b in got)
+
+
 def test_very_long_runs_are_encoded_as_the_tokenizer_does(spark):
     from tokenizers import Tokenizer
 
