@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import chat, embeddings, jaccard, packing, pieces, quality, secrets, sharding, substring, training_order
+from lodestar.llm import chat, embeddings, importance, jaccard, packing, pieces, quality, secrets, sharding, substring, toxicity, training_order, whitening
 from lodestar.llm.running import cuts
 from lodestar.llm.scratch import stage
 
@@ -88,6 +88,24 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    result = importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), n=1, buckets=10_000, draw=(10, 100), min_words=20, seed=2024)
+    return result.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels").select("doc_id", "toxic"), usable=~toxicity.held_out())
+    return toxicity.score(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per vector and component."""
+    rows = whitening.whiten(_table(spark, sf_dir, "embeddings"), k=8)
+    each = rows.select("vec_id", "n", F.col("deviation").try_cast("long").alias("deviation"), "identity_error", F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "c"))
+    return each.select("vec_id", (F.col("at") + 1).cast("int").alias("component"), "n", "deviation", F.col("c.whitened").alias("whitened"), F.col("c.explained").alias("explained"), "identity_error")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_quality_rules": op2_quality_rules,
@@ -99,6 +117,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_chat_formatting": op10_chat_formatting,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_toxicity": op12_toxicity,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -158,4 +179,35 @@ WITH turns AS (
     FROM turns GROUP BY conv_id
 )
 SELECT conv_id, n_turns, sha256(t) AS turns_sha256, length(l) AS loss_chars, sha256(l) AS loss_sha256, formatted_chars FROM whole""",
+    "op11_importance_resampling": r"""
+WITH crc_table AS (
+    SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, b)) AS crcs
+), doc_words AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), raw AS (
+    SELECT doc_id, unnest(w) AS word FROM doc_words
+), target AS (
+    SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM benchmark
+), counted AS (
+    SELECT word, sum(s) AS s, sum(t) AS t FROM (SELECT word, count(*) AS s, 0 AS t FROM raw GROUP BY word UNION ALL SELECT word, 0, count(*) FROM target GROUP BY word) GROUP BY word
+), bytes AS (
+    SELECT word, s, t, list_transform(range(CAST(octet_length(encode(word)) AS BIGINT)), lambda i: CAST('0x' || substr(hex(encode(word)), CAST(2 * i + 1 AS INTEGER), 2) AS BIGINT)) AS b FROM counted
+), hashed AS (
+    SELECT word, s, t, xor(list_reduce(b, lambda c, x: xor(c // 256, crc_table.crcs[CAST(xor(c % 256, x) AS BIGINT) + 1]), 4294967295), 4294967295) % 10000 AS bucket FROM bytes, crc_table
+), buckets AS (
+    SELECT bucket, CAST(sum(s) AS DOUBLE) AS s, CAST(sum(t) AS DOUBLE) AS t FROM hashed GROUP BY bucket
+), total AS (
+    SELECT sum(s) AS s, sum(t) AS t FROM buckets
+), gain AS (
+    SELECT word, CAST(floor(1000 * ln((b.t + 1) * (total.s + 10000) / ((b.s + 1) * (total.t + 10000)))) AS BIGINT) AS g FROM hashed JOIN buckets b USING (bucket), total
+), weighed AS (
+    SELECT doc_id, CAST(sum(g) AS BIGINT) AS weight FROM raw JOIN gain USING (word) GROUP BY doc_id
+), scored AS (
+    SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+        coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || d.doc_id), 1, 8) AS BIGINT) + 0.5) / CAST(4294967296 AS DOUBLE)))) AS BIGINT) AS score
+    FROM doc_words d LEFT JOIN weighed USING (doc_id)
+), placed AS (
+    SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM scored WHERE n_features >= 20
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * n // 100 THEN place END AS rank FROM scored LEFT JOIN placed USING (doc_id)""",
 }

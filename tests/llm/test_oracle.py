@@ -9,7 +9,7 @@ from lodestar.llm import queries
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_twin(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "conversations"):
+    for t in ("documents", "embeddings", "conversations", "benchmark"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     want = con.sql(queries.ORACLE_SQL[name]).df()
     got = queries.QUERIES[name](spark, sf_dir).toPandas()
