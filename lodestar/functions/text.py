@@ -8,9 +8,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: A run of Unicode white space (fixed values); Spark's own class ``\s`` has only the ASCII ones.
+SPACE = r"[\x09-\x0D\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+
+
 def tokens(text: Column) -> Column:
     """Words split at white space, lower-cased, without ASCII punctuation at either end; empty ones go."""
-    words = F.transform(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: F.btrim(w, F.lit(string.punctuation)))
+    words = F.transform(F.split(F.lower(F.coalesce(text, F.lit(""))), SPACE), lambda w: F.btrim(w, F.lit(string.punctuation)))
     return F.filter(words, lambda w: w != "")
 
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.functions.text import robertson_idf, tokens
+from lodestar.functions.text import SPACE, robertson_idf, tokens
 from lodestar.operators.search import top_k
 
 
@@ -42,7 +42,7 @@ class Index:
 
 def _words(documents: DataFrame) -> DataFrame:
     """``(id, term)`` of every word; an empty term where there is none, so that no document is lost."""
-    split = documents.select("id", F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+")).alias("w"))
+    split = documents.select("id", F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), SPACE)).alias("w"))
     return split.select("id", F.btrim("w", F.lit(string.punctuation)).alias("term"))
 
 

@@ -43,8 +43,8 @@ def _clip(x: Column, bound: float) -> Column:
 
 
 def _coded(v: Column, scale: Column, code: Callable[[Column, Column], Column], kind: str = "tinyint") -> Column:
-    """Struct of ``code(x, scale)`` of every number, and the scale."""
-    return V.let(scale, lambda s: F.struct(F.transform(v, lambda x: code(x, s).cast(kind)).alias("codes"), s.alias("scale")))
+    """Struct of ``code(x, scale)`` of every number, and the scale; a null number has a null code."""
+    return V.let(scale, lambda s: F.struct(F.transform(v, lambda x: F.when(x.isNotNull(), code(x, s).cast(kind))).alias("codes"), s.alias("scale")))
 
 
 def int8(v: Column, range_factor: float = 1.0) -> Column:
@@ -150,7 +150,7 @@ def nf4(v: Column, halves_up: bool = False) -> Column:
     """Index of the nearest level; a number half-way between two gets the lower, or with ``halves_up`` the upper."""
     bounds = F.array(*[F.lit(t).cast("float") for t in nf4_thresholds()])
     index = lambda y: V.let(y, lambda z: F.size(F.filter(bounds, lambda t: t <= z if halves_up else t < z)))
-    return V.let(V.abs_max(v), lambda m: F.struct(F.transform(v, lambda x: index(_ratio(x, _or_one(m, m))).cast("tinyint")).alias("codes"), m.alias("scale")))
+    return V.let(V.abs_max(v), lambda m: F.struct(F.transform(v, lambda x: F.when(x.isNotNull(), index(_ratio(x, _or_one(m, m))).cast("tinyint"))).alias("codes"), m.alias("scale")))
 
 
 def nf4_decode(c: Column) -> Column:
@@ -210,19 +210,24 @@ def unpacked(data: Column, bits: int, count: int) -> Column:
 
 
 def minmax_table(df: DataFrame, vec: str = "vec") -> DataFrame:
-    """One row: arrays of every dimension's minimum and maximum.
+    """One row: arrays of every dimension's minimum and maximum over the finite vectors that have it.
 
     Each task first reduces its batches to one row per dimension, so the shuffle
-    carries dimensions, not numbers.
+    carries dimensions, not numbers.  Null vectors and those with a null or non-finite number don't count.
     """
+    from lodestar.operators.scan import by_length
+
     def run(batches):
-        low = high = None
+        low = high = np.zeros(0, np.float32)
         for b in batches:
-            if b.num_rows:
-                x = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-                low = x.min(0) if low is None else np.minimum(low, x.min(0))
-                high = x.max(0) if high is None else np.maximum(high, x.max(0))
-        if low is not None:
+            for n, _, x in by_length(b.column(0)):
+                if n > len(low):
+                    low, high = (np.append(ends, np.full(n - len(ends), none, np.float32)) for ends, none in ((low, np.inf), (high, -np.inf)))
+                low[:n], high[:n] = np.minimum(low[:n], x.min(0, initial=np.inf)), np.maximum(high[:n], x.max(0, initial=-np.inf))
+        known = np.flatnonzero(low <= high)
+        if len(known) < len(low):
+            low, high = low[known], high[known]
+        if len(low):
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(low), dtype=np.int32)), pa.array(low), pa.array(high)], ["dim", "low", "high"])
 
     per = df.select(vec).mapInArrow(run, "dim int, low float, high float").groupBy("dim").agg(F.min("low").alias("low"), F.max("high").alias("high"))

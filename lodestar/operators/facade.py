@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.operators import codecs, quality, search, training
+from lodestar.session import dimension
 
 
 @dataclass
@@ -28,7 +29,7 @@ class Compressor:
         return int(self.profile.rpartition("-")[2])
 
     def fit(self, df: DataFrame) -> Compressor:
-        self.dims = len(df.select("vec").first()["vec"])
+        self.dims = dimension(df)
         kind = self.profile.split("-")[0]
         if self.profile == "nf4-mixed":
             self.model = [r["dim"] for r in quality.outlier_dimensions(df, min(16, self.dims)).collect()]

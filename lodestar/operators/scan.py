@@ -21,15 +21,26 @@ from pyspark.sql import functions as F
 
 #: Queries and numbers in them that go to every task, or make a block.
 QUERY_ROWS, QUERY_NUMBERS = 1_024, 4_000_000
+#: Products of rows and centroids at once.
+PRODUCTS = 8_000_000
 #: Rows of a part, and rows that are scored at once.
 PART_ROWS, SCORED_ROWS = 65_536, 4_096
 
+#: Squared distances below this share of the squared norms are computed from differences, so many numbers of them at once.
+CANCELLED, DIFFERENCES = 1e-6, 4_000_000
+
 _ARROW = {"tinyint": pa.int8(), "smallint": pa.int16(), "int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}
 
 Scorer = Callable[[np.ndarray, np.ndarray], np.ndarray]
 Reducer = Callable[[pa.Array, pa.Array, np.ndarray], pa.RecordBatch]
 
 
+def row_slices(x: np.ndarray, width: int) -> Iterator[slice]:
+    """Slices of the rows of ``x`` whose products with ``width`` columns are at most ``PRODUCTS`` numbers."""
+    step = max(1, PRODUCTS // max(width, 1))
+    return (slice(at, at + step) for at in range(0, len(x), step))
+
+
 def by_length(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(length, positions, matrix) of the finite vectors of each length in a list column."""
     sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
@@ -40,6 +51,18 @@ def by_length(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         yield n, at[ok], x[ok]
 
 
+def squared_distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """(rows, queries) squared distances: by products, and by differences where products would cancel."""
+    norms = (x * x).sum(1)[:, None] + (q * q).sum(1)[None]
+    out = norms - 2 * x @ q.T
+    row, query = np.nonzero(~(out > CANCELLED * norms))
+    for at in range(0, len(row), step := max(1, DIFFERENCES // max(x.shape[1], 1))):
+        r, j = row[at : at + step], query[at : at + step]
+        gap = x[r] - q[j]
+        out[r, j] = (gap * gap).sum(1)
+    return out
+
+
 def scorer(metric: str) -> Scorer:
     """(rows, queries) scores; the larger, the nearer."""
 
@@ -53,7 +76,7 @@ def scorer(metric: str) -> Scorer:
 
     known = {
         "dot": lambda x, q: x @ q.T,
-        "l2": lambda x, q: -np.sqrt(np.maximum((x * x).sum(1)[:, None] - 2 * x @ q.T + (q * q).sum(1)[None], 0)),
+        "l2": lambda x, q: -np.sqrt(squared_distances(x, q)),
         "l1": lambda x, q: -np.stack([np.abs(x - row).sum(1) for row in q], axis=1),
         "cosine": cosine,
         "hamming": hamming,

@@ -116,13 +116,21 @@ def assign(db: DataFrame, centroids: DataFrame) -> DataFrame:
         for batch in batches:
             for n, at, x in scan.by_length(batch.column("vec")):
                 if n == dims:
-                    yield pa.RecordBatch.from_arrays([*batch.take(pa.array(at)).columns, pa.array(lists[(x @ c.T).argmax(axis=1)])], [*batch.schema.names, "list_id"])
+                    yield pa.RecordBatch.from_arrays([*batch.take(pa.array(at)).columns, pa.array(lists[_nearest(x, c)])], [*batch.schema.names, "list_id"])
 
     from pyspark.sql import types as T
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("list_id", T.IntegerType())]))
 
 
+def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Row by row the largest dot product's column, a bounded block of products at a time."""
+    out = np.zeros(len(x), np.int64)
+    for s in scan.row_slices(x, len(c)):
+        out[s] = (x[s] @ c.T).argmax(axis=1)
+    return out
+
+
 def _as_rows(centroids: DataFrame) -> DataFrame:
     return centroids.select(F.col("list_id").alias("id"), F.col("centroid").alias("vec"))
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import vec as V
 from lodestar.operators import codecs, quality, training
+from lodestar.session import dimension
 
 
 @dataclass(frozen=True)
@@ -90,7 +91,7 @@ def auto_select(df: DataFrame, target_cosine: float = 0.97, target_ratio: float
     meets both, the best cosine among those that meet the ratio counts, else the best.
     A known model family decides without trying others.
     """
-    dims = len(df.select("vec").first()["vec"])
+    dims = dimension(df)
     known = {f: m for _, f, m in FAMILIES}.get(family or "")
     kurtosis = quality.dimension_moments(df).agg(F.avg("kurtosis")).first()[0] if known is None else 0.0
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.operators.scan import by_length
+from lodestar.operators.scan import by_length, row_slices
 from lodestar.operators.search import pq_assign
 from lodestar.session import dimension, valid
 
@@ -75,6 +75,14 @@ def plus_plus(x: np.ndarray, k: int, seed: int) -> np.ndarray:
     return np.array(chosen)
 
 
+def nearest(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """The closest centroid of each row, a bounded block of products at a time."""
+    norms, out = (centroids * centroids).sum(1)[None], np.zeros(len(x), np.int64)
+    for s in row_slices(x, len(centroids)):
+        out[s] = (norms - 2 * x[s] @ centroids.T).argmin(1)
+    return out
+
+
 def kmeans(df: DataFrame, k: int, rounds: int = 15, seed: int = 0, tolerance: float = 1e-6, transform: Callable[[np.ndarray], np.ndarray] | None = None) -> np.ndarray:
     """Centroids of Lloyd's algorithm over all rows; an empty cluster keeps its centroid.
 
@@ -89,7 +97,7 @@ def kmeans(df: DataFrame, k: int, rounds: int = 15, seed: int = 0, tolerance: fl
 
         def part(x: np.ndarray) -> np.ndarray:
             x = change(x)
-            near = ((now * now).sum(1)[None] - 2 * x @ now.T).argmin(1)
+            near = nearest(x, now)
             acc = np.zeros((len(now), width + 1))
             np.add.at(acc, near, np.hstack([x, np.ones((len(x), 1))]))
             return acc
@@ -113,7 +121,7 @@ def clusters(df: DataFrame, centroids: np.ndarray) -> DataFrame:
         for batch in batches:
             for n, at, x in by_length(batch.column(1)):
                 if n == centroids.shape[1]:
-                    near = ((centroids * centroids).sum(1)[None] - 2 * x @ centroids.T).argmin(1)
+                    near = nearest(x, centroids)
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(near.astype(np.int32))], ["id", "cluster"])
 
     return df.select("id", "vec").mapInArrow(run, f"id {dict(df.dtypes)['id']}, cluster int")

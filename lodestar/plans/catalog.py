@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions import vec as V
-from lodestar.functions.text import content_tokens, tokens
+from lodestar.functions.text import SPACE, content_tokens, tokens
 from lodestar.operators import arrow, bm25, codecs, quality, ranking, retriever, search, select, store, training
 from lodestar.session import table, vectors
 from lodestar.streaming.encode import windowed_counts
@@ -417,7 +417,7 @@ def int8_range_factors(spark, sf_dir):
 
 # Text, hybrid, fusion -----------------------------------------------------------------------------
 
-_TOK = "list_filter(list_transform(regexp_split_to_array(lower(coalesce(text, '')), '\\s+'), lambda w: regexp_replace(w, '^[[:punct:]]+|[[:punct:]]+$', '', 'g')), lambda w: w <> '')"
+_TOK = f"list_filter(list_transform(regexp_split_to_array(lower(coalesce(text, '')), '{SPACE}'), lambda w: regexp_replace(w, '^[[:punct:]]+|[[:punct:]]+$', '', 'g')), lambda w: w <> '')"
 _BM = f"""words AS (SELECT doc_id AS id, {_TOK} AS w FROM documents), dl AS (SELECT id, len(w) AS length FROM words),
 tf AS (SELECT id, term, count(*) AS n FROM (SELECT id, unnest(w) AS term FROM words) GROUP BY ALL),
 tot AS (SELECT count(*) AS docs, avg(length) AS mean_length FROM dl), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),

@@ -410,3 +410,77 @@ def test_trained_codes_keep_their_promises(gauss):
     own = search.ivf_search(q, search.assign(df, lists), lists, 1, 8).collect()
     assert all(r["query_id"] == r["id"] for r in own) and len(own) == 10
     assert training.clusters(df, training.kmeans(df, 6, 4)).count() == len(x)
+
+
+ODD = [(0, [1.0, 2.0]), (1, None), (2, [3.0, 4.0, 5.0, 6.0]), (3, []), (4, [None, -2.0, 0.5]), (5, [0.0, 0.0]), (6, [7.0]), (7, [float("nan"), 1.0]), (8, [float("inf"), 1.0]), (9, [None]), (10, [1.0, 2.0])]
+
+
+@pytest.mark.parametrize("name", ["int8", "nf4", "sq2", "sq3"])
+def test_arrow_codecs_on_odd_rows(spark, name):
+    """Null, empty, mixed and non-finite vectors in one batch give the rows of the expressions."""
+    from lodestar.operators import arrow
+
+    df = spark.createDataFrame(ODD, "id int, vec array<float>").coalesce(1)
+    slow, fast = (m.decode(m.encode(df, name), name).select("id", "code", "decoded").orderBy("id").collect() for m in (codecs, arrow))
+    assert [str(r) for r in slow] == [str(r) for r in fast]
+    assert slow[1]["code"]["codes"] is None and slow[1]["decoded"] is None and slow[4]["code"]["codes"][0] is None and slow[4]["decoded"][0] is None
+    assert arrow.decode(spark.createDataFrame([(1, None)], "id int, code struct<codes:array<tinyint>,scale:float>"), name).first()["decoded"] is None
+
+
+def test_minmax_on_odd_rows(spark):
+    df = spark.createDataFrame(ODD, "id int, vec array<float>").repartition(3)
+    table = codecs.minmax_table(df).first()
+    assert table["lows"] == [0.0, 0.0, 5.0, 6.0] and table["highs"] == [7.0, 4.0, 5.0, 6.0]
+    codes = {r["id"]: r["codes"] for r in codecs.minmax(df).collect()}
+    assert codes[1] is None and codes[3] == [] and codes[0] == [36, 128] and len(codes[2]) == 4
+    none = codecs.minmax_table(df.where("id = 1")).first()
+    assert none["lows"] == [] and none["highs"] == []
+
+
+def test_l2_at_large_norms(spark):
+    """Distances that products would lose to cancellation."""
+    rng = np.random.default_rng(5)
+    x = 3e7 / np.sqrt(8) + rng.uniform(0.1, 1, size=(200, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    got = search.knn(df.where("id < 5").select(F.col("id").alias("query_id"), F.col("vec").alias("query")), df, 5, "l2").collect()
+    exact = np.sqrt(((x[:5, None] - x[None]) ** 2).sum(2))
+    for q in range(5):
+        mine = sorted((r["rank"], r["id"], r["score"]) for r in got if r["query_id"] == q)
+        assert [i for _, i, _ in mine] == np.argsort(exact[q], kind="stable")[:5].tolist()
+        assert np.allclose([-s for _, _, s in mine], np.sort(exact[q])[:5], rtol=1e-9)
+
+
+def test_dimension_is_not_that_of_the_first_row(spark):
+    from lodestar.operators.facade import Compressor
+
+    rng = np.random.default_rng(2)
+    rows = [(0, None), (1, [1.0])] + [(i, rng.normal(size=8).astype(float).tolist()) for i in range(2, 60)]
+    df = spark.createDataFrame(rows, "id long, vec array<float>").coalesce(1)
+    assert Compressor("nf4-mixed").fit(df).dims == 8
+    assert select.auto_select(df, 0.5, 1.5).first()["mode"]
+
+
+def test_products_with_many_centroids_are_sliced(spark, gauss, monkeypatch):
+    from lodestar.operators import scan, training
+
+    x, df = gauss
+    cents = training.ivf_train(df, 7, 3)
+    whole = search.assign(df, cents).select("id", "list_id").collect()
+    near = training.clusters(df, x[:9].astype(float)).collect()
+    monkeypatch.setattr(scan, "PRODUCTS", 20)
+    assert list(map(len, (x[s] for s in scan.row_slices(x, 7))))[0] == 2
+    assert sorted(search.assign(df, cents).select("id", "list_id").collect()) == sorted(whole)
+    assert sorted(training.clusters(df, x[:9].astype(float)).collect()) == sorted(near)
+
+
+def test_tokens_at_unicode_white_space(spark):
+    """All of Unicode's white space separates words, in the twin too."""
+    import duckdb
+
+    from lodestar.functions.text import tokens
+    from lodestar.plans.catalog import _TOK
+
+    text = "a b　c d e\u0085F.  (g) h i j\x0bk\x0cl​m"
+    want = ["a", "b", "c", "d", "e", "f", "g", "h", "i", "j", "k", "l​m"]
+    assert spark.createDataFrame([(text,)], "text string").select(tokens(F.col("text")).alias("t")).first()["t"] == want
+    assert duckdb.sql(f"SELECT {_TOK} AS t FROM (SELECT $t AS text)", params={"t": text}).fetchall() == [(want,)]

@@ -177,3 +177,22 @@ def test_commands(spark, tmp_path):
     assert main(["search", str(tmp_path / "s"), str(tmp_path / "v.jsonl"), str(tmp_path / "r"), "-k", "1"]) == 0
     rows = spark.read.json(str(tmp_path / "r")).collect()
     assert len(rows) == 9 and all(r["results"][0]["id"] == r["query_id"] for r in rows)
+
+
+def test_cache_asks_once_for_each_text(spark, tmp_path):
+    """However often the results are read, and by either table."""
+    import os
+
+    def embed(texts):
+        for t in texts:
+            with open(f"{tmp_path}/{os.getpid()}", "a") as f:
+                f.write(t + "\n")
+        return np.ones((len(texts), 2))
+
+    texts = spark.createDataFrame([(i, f"text {i % 10}") for i in range(30)] + [(99, None)], "id int, text string")
+    out, table = cache.embed(texts, None, embed, "p", "m", 2)
+    assert out.where("vec is not null").count() == 30 and table.count() == 10 and out.where("vec is null").count() == 1 and table.count() == 10
+    more, table = cache.embed(texts.unionByName(spark.createDataFrame([(100, "new")], "id int, text string")), table, embed, "p", "m", 2)
+    assert more.count() == 32 and table.count() == 11 and more.count() == 32
+    asked = sorted(x for f in tmp_path.iterdir() for x in f.read_text().split("\n") if x)
+    assert asked == sorted(["new", *(f"text {i}" for i in range(10))])
