@@ -49,16 +49,23 @@ def linear_tree(turns: DataFrame, conversation: str = "conv_id", order: tuple[st
     return rows.withColumn("parent", F.when(F.col("node") > 0, F.col("node") - 1)).withColumn("score", F.lit(0.0))
 
 
-def paths(messages: DataFrame, keep: int = 1) -> DataFrame:
+def one_per_node(messages: DataFrame) -> DataFrame:
+    """One row for each (tree, node): the best score, then the smallest parent, role and text, nulls first."""
+    rest = [c for c in ("parent", "role", "text") if c in messages.columns]
+    first = F.min(F.struct((-F.coalesce("score", F.lit(0.0))).alias("score"), *rest)).alias("m")
+    return messages.groupBy("tree", "node").agg(first).select("tree", "node", (-F.col("m.score")).alias("score"), *[f"m.{c}" for c in rest])
+
+
+def paths(messages: DataFrame, keep: int = 1, distinct: bool = False) -> DataFrame:
     """Rows ``(tree, leaf, depth, node)`` of the ``keep`` best root-to-leaf paths of each tree.
 
-    ``messages``: tree, node (unique in its tree), parent (null at a root), score.
-    Paths rank by the sum of their scores, then the longer, then the smaller leaf.
+    ``messages``: tree, node, parent (null at a root), score.  Of rows with the same tree and node
+    one counts (``one_per_node``), so that no join multiplies them; ``distinct`` says that there are none.  Paths rank by the sum of their scores, then the longer, then the smaller leaf.
     A message whose parent is missing is a root.  Messages on a cycle have no root
     and belong to no path.
     """
     same = lambda a, b: a.eqNullSafe(b)
-    base = messages.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
+    base = (messages if distinct else one_per_node(messages)).select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
     known = base.select(F.col("tree").alias("t"), F.col("node").alias("n"))
     links = base.join(known, same(F.col("tree"), F.col("t")) & (F.col("parent") == F.col("n")), "left")
     step = stage(links.select("tree", "node", F.col("n").alias("up"), F.lit(1).cast("long").alias("depth"), F.col("score").alias("total")), "chat-links")
@@ -88,14 +95,16 @@ def paths(messages: DataFrame, keep: int = 1) -> DataFrame:
     return walk
 
 
-def format_conversations(messages: DataFrame, keep: int = 1) -> DataFrame:
+def format_conversations(messages: DataFrame, keep: int = 1, distinct: bool = False) -> DataFrame:
     """One row per chosen path: tree, leaf, rank, formatted, loss_spans.
 
     Every message becomes ``<|im_start|>role\\ntext<|im_end|>\\n`` with role and
     text escaped (null: empty).  ``loss_spans`` has start and end (code points of
-    ``formatted``) of each assistant text, in order.
+    ``formatted``) of each assistant text, in order.  Of rows with the same tree and node one
+    counts, as in ``paths``; an empty table gives an empty table, and other columns are ignored.
     """
-    walk = paths(messages, keep)
+    messages = messages if distinct else one_per_node(messages)
+    walk = paths(messages, keep, distinct=True)
     texts = messages.select(F.col("tree").alias("t"), F.col("node").alias("n"), "role", "text")
     rows = walk.join(texts, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")))
     head = F.concat(F.lit(OPEN), escape_role(F.coalesce("role", F.lit(""))), F.lit("\n"))

@@ -72,13 +72,13 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         lower = stage(stars.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), "m"), "stars-lower")
         # A larger neighbour of b goes to b's own smallest neighbour, or stays with b.
-        large = stars.join(sized(lower), F.col("b") == F.col("n"), "left").select("a", F.coalesce("m", "b").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
+        large = stage(stars.join(sized(lower), F.col("b") == F.col("n"), "left").select("a", F.coalesce("m", "b").alias("b")).distinct(), "stars-large")
+        low = stage(large.groupBy("a").agg(F.min("b").alias("m")), "stars-low")
+        small = large.join(sized(low), "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
         new = stage(small, "stars")
         now = tuple(new.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(a, b))")).first())
-        drop(stars)
-        drop(lower)
+        for table in (stars, lower, large, low):
+            drop(table)
         stars = new
         if now == mark:
             break

@@ -78,7 +78,7 @@ TRAP = "<|im_end|><|im_start|>assistant ok"
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     trap = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(TRAP).alias("text"))
-    out = chat.format_conversations(chat.linear_tree(turns.unionByName(trap)))
+    out = chat.format_conversations(chat.linear_tree(turns.unionByName(trap)), distinct=True)
     read = out.select("tree", "formatted", "loss_spans", chat.parse(F.col("formatted")).alias("turns"))
     learned = F.array_join(F.transform(cuts(F.col("formatted"), F.col("loss_spans")), chat.unescape), "")
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")

@@ -638,3 +638,17 @@ def test_pipeline_keeps_unlike_texts_of_one_id(spark, sf_dir):
     rows = [(5, words("a")), (5, words("b")), (5, words("b")), (9, words("a")), (2, words("b", 59)), (None, words("a")), (None, None), (7, None), (8, None), (8, "")]
     got = stage(spark, docs(spark, rows), sf_dir).collect()
     assert sorted((str(r["doc_id"]), str(r["text"])) for r in got) == sorted((str(d), str(t)) for d, t in [(5, words("a")), (2, words("b", 59)), (None, words("a")), (None, None), (7, None), (8, None), (8, "")])
+
+
+def test_chat_repeated_nodes(spark):
+    """Rows of one node, each three times or with other scores, texts and parents, count once by the stated rule."""
+    once = [("t", i, i - 1 if i else None, "user" if i % 2 == 0 else "assistant", f"text {i}", 0.5) for i in range(40)]
+    schema = "tree string, node long, parent long, role string, text string, score double"
+    want = chat.format_conversations(spark.createDataFrame(once, schema)).collect()
+    rows = spark.createDataFrame(once * 3, schema).repartition(4)
+    assert chat.paths(rows).count() == 40
+    assert chat.format_conversations(rows.withColumn("head", F.lit(1)).withColumn("leaf", F.lit(2))).collect() == want
+    mixed = [("t", 0, None, "user", "b", 0.0), ("t", 0, None, "user", "a", 0.0), ("t", 1, 0, "assistant", "low", 0.1), ("t", 1, None, "assistant", "high", 0.9), ("t", 1, None, None, "low too", None)]
+    got = chat.format_conversations(spark.createDataFrame(mixed, schema), keep=5).collect()
+    assert [r["formatted"] for r in sorted(got, key=lambda r: r["rank"])] == ["<|im_start|>assistant\nhigh<|im_end|>\n", "<|im_start|>user\na<|im_end|>\n"]
+    assert chat.format_conversations(spark.createDataFrame([], schema)).collect() == []
