@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import vec as V
 from lodestar.operators.search import all_scores, knn, score_ends, top_k
+from lodestar.staging import stage
 
 
 def rrf(rankings: list[DataFrame], k: int = 60) -> DataFrame:
@@ -53,7 +54,7 @@ def hybrid_search(queries: DataFrame, db: DataFrame, sparse: DataFrame, k: int,
     near = near.select("query_id", "id", F.col("score").alias("d"))
     hits = sparse.select("query_id", "id", F.col("score").alias("s"))
     joined = hits.join(db.select("id", "vec"), "id").join(queries, "query_id")
-    hit = joined.where(F.size("vec") == F.size("query")).select("query_id", "id", V.cosine(F.col("query"), F.col("vec")).alias("d"), "s")
+    hit = stage(joined.where(F.size("vec") == F.size("query")).select("query_id", "id", V.cosine(F.col("query"), F.col("vec")).alias("d"), "s"), "hybrid-hits")  # read three times below
     both = near.join(hit.select("query_id", "id"), ["query_id", "id"], "left_anti").withColumn("s", F.lit(0.0)).unionByName(hit)
     rows = db.where(F.size("vec") > 0).groupBy(F.size("vec").alias("dims")).agg(F.count(F.lit(1)).alias("n"))
     lengths = queries.select("query_id", F.size("query").alias("dims")).join(rows, "dims").select("query_id", "n")

@@ -29,7 +29,7 @@ PART_ROWS, SCORED_ROWS = 65_536, 4_096
 #: Squared distances below this share of the squared norms are computed from differences, so many numbers of them at once.
 CANCELLED, DIFFERENCES = 1e-6, 4_000_000
 
-_ARROW = {"tinyint": pa.int8(), "smallint": pa.int16(), "int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}
+ARROW = {"tinyint": pa.int8(), "smallint": pa.int16(), "int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}
 
 Scorer = Callable[[np.ndarray, np.ndarray], np.ndarray]
 Reducer = Callable[[pa.Array, pa.Array, np.ndarray], pa.RecordBatch]
@@ -159,7 +159,7 @@ def pairs(queries: DataFrame, rows: DataFrame, reduce: Reducer, schema: str, sco
             names, vectors = held.setdefault((r["cell"] if celled else None, len(r["query"])), ([], []))
             names.append(r["query_id"])
             vectors.append(r["query"])
-    kind = _ARROW.get(dict(queries.dtypes)["query_id"])
+    kind = ARROW.get(dict(queries.dtypes)["query_id"])
     groups = {key: (pa.array(names, kind), np.array(vectors, np.float64)) for key, (names, vectors) in held.items()}
     if celled:  # an index stored by cell is only read where it is asked for
         db = db.where(F.col("cell").isin(sorted({c for c, _ in groups})))

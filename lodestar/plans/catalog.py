@@ -456,8 +456,8 @@ def idf_terms(spark, sf_dir):
 
 @query(f"WITH {_BM}, {_BMQ}, " + topk_sql("SELECT query_id, id, round(score, 9) AS score FROM hits", 10))
 def bm25_topk(spark, sf_dir):
-    scored = bm25.score(bm25.build(corpus(spark, sf_dir)), text_queries(spark, sf_dir))
-    return search.top_k(scored.withColumn("score", F.round("score", 9)), 10).select("query_id", "id", r6("score").alias("score"), "rank")
+    found = bm25.search(bm25.build(corpus(spark, sf_dir)), text_queries(spark, sf_dir), 10, digits=9)
+    return found.select("query_id", "id", r6("score").alias("score"), "rank")
 
 
 _DENSE = f"dense AS (SELECT query_id, vec_id AS id, {cos('query', 'embedding')} AS score FROM q, embeddings JOIN documents ON doc_id = vec_id)"
@@ -474,6 +474,12 @@ def sparse_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select((50 * F.col("query_id")).alias("query_id"), "id", F.round("score", 9).alias("score"))
 
 
+def sparse_best(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    """The k best documents of each text query, for the vector that goes with it."""
+    found = bm25.search(bm25.build(corpus(spark, sf_dir)), text_queries(spark, sf_dir), k, digits=9)
+    return found.select((50 * F.col("query_id")).alias("query_id"), "id", "score", "rank")
+
+
 @query(f"""WITH {_Q}, {_BM}, {_BMQ}, {_DENSE}, {_SPARSE}, b AS (SELECT d.query_id, d.id, d.score AS d, coalesce(s.score, 0) AS s FROM dense d LEFT JOIN sparse s ON s.query_id = d.query_id AND s.id = d.id),
 n AS (SELECT query_id, min(d) AS d0, max(d) AS d1, min(s) AS s0, max(s) AS s1 FROM b GROUP BY query_id), """ + topk_sql("SELECT query_id, id, 0.7 * CASE WHEN d1 > d0 THEN (d - d0) / (d1 - d0) ELSE 0 END + 0.3 * CASE WHEN s1 > s0 THEN (s - s0) / (s1 - s0) ELSE 0 END AS score FROM b JOIN n USING (query_id)", 10))
 def hybrid_search(spark, sf_dir):
@@ -485,7 +491,7 @@ _LISTS = "dr AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id O
 
 @query(f"WITH {_Q}, {_BM}, {_BMQ}, {_DENSE}, {_SPARSE}, {_LISTS}, u AS (SELECT query_id, id, 1.0 / (60 + rank + 1) AS s FROM dr WHERE rank < 50 UNION ALL SELECT query_id, id, 1.0 / (60 + rank + 1) AS s FROM sr WHERE rank < 50), " + topk_sql("SELECT query_id, id, sum(CAST(s AS DOUBLE)) AS score FROM u GROUP BY ALL", 10))
 def rrf_fusion(spark, sf_dir):
-    found = [search.knn(asked(spark, sf_dir), with_documents(spark, sf_dir), 50), search.top_k(sparse_hits(spark, sf_dir), 50)]
+    found = [search.knn(asked(spark, sf_dir), with_documents(spark, sf_dir), 50), sparse_best(spark, sf_dir, 50)]
     lists = [x.select("query_id", "id", (F.col("rank") - 1).alias("rank")) for x in found]
     return ranking.rrf_top_k(lists, 10).select("query_id", "id", r6("score").alias("score"), "rank")
 
@@ -494,7 +500,7 @@ _CAND = "cand AS (SELECT * FROM (SELECT query_id, id, score, row_number() OVER (
 
 
 def _candidates(spark, sf_dir):
-    return search.top_k(sparse_hits(spark, sf_dir), 30)
+    return sparse_best(spark, sf_dir, 30)
 
 
 @query(f"WITH {_Q}, {_BM}, {_BMQ}, {_SPARSE}, {_CAND}, " + topk_sql(f"SELECT c.query_id, c.id, {cos('query', 'embedding')} AS score FROM cand c JOIN embeddings ON vec_id = c.id JOIN q ON q.query_id = c.query_id", 10))

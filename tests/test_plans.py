@@ -28,17 +28,10 @@ def test_encoding_has_no_shuffle(spark, sf_dir):
         assert "Exchange" not in plan(codecs.decode(codecs.encode(vectors(spark, sf_dir), name), name))
 
 
-def test_texts_are_cut_into_words_once(spark, sf_dir):
-    """The corpus is scanned by one stage, whose exchange frequencies, totals and scores share."""
-    scored = bm25.score(bm25.build(catalog.corpus(spark, sf_dir)), catalog.text_queries(spark, sf_dir))
-    scored.collect()
-    final = plan(scored).split("== Initial Plan ==")[0]
-    assert final.count("documents.parquet") == 1 and "ReusedExchange" in final
-
-
-def test_query_terms_are_broadcast(spark, sf_dir):
-    text = plan(bm25.score(bm25.build(catalog.corpus(spark, sf_dir)), catalog.text_queries(spark, sf_dir)))
-    assert "BroadcastHashJoin" in text and "CartesianProduct" not in text
+def test_texts_are_not_shuffled_for_bm25(spark, sf_dir):
+    """What is scored is the staged table of counted words; the only exchange carries at most k rows per query and task."""
+    text = plan(bm25.search(bm25.build(catalog.corpus(spark, sf_dir)), catalog.text_queries(spark, sf_dir), 10))
+    assert "documents.parquet" not in text and text.count("Exchange hashpartitioning") == 1 and "WindowGroupLimit" in text
 
 
 def test_deletes_are_anti_joins(spark):
