@@ -84,6 +84,18 @@ class Index:
     k1: float = 1.5
     b: float = 0.75
 
+    def forward(self, keep: frozenset[str] | None = None) -> DataFrame:
+        """Counted documents, written once."""
+        return stage(counted(self.documents, keep), "bm25-counted")
+
+    def frequencies(self, forward: DataFrame) -> DataFrame:
+        return frequencies(forward)
+
+    def total(self, forward: DataFrame) -> tuple[int, float]:
+        """Number of documents and their mean length."""
+        row = totals_of(forward).first()
+        return row["documents"], row["mean_length"] or 0.0
+
     @property
     def tf(self) -> DataFrame:
         hits = counted(self.documents).select("id", F.explode(F.arrays_zip("words", "counts")).alias("h"))
@@ -99,6 +111,27 @@ class Index:
         return frequencies(counted(self.documents)).crossJoin(F.broadcast(size)).select("term", "df", robertson_idf(F.col("df"), F.col("documents")).alias("idf"))  # one row of totals
 
 
+@dataclass(frozen=True)
+class CountedIndex:
+    """An index over counted documents (id, length, words, counts) whose statistics are known: (term, df), and the number of documents and their mean length."""
+
+    counted: DataFrame
+    known: DataFrame
+    documents: int
+    mean_length: float
+    k1: float = 1.5
+    b: float = 0.75
+
+    def forward(self, keep: frozenset[str] | None = None) -> DataFrame:
+        return self.counted
+
+    def frequencies(self, forward: DataFrame) -> DataFrame:
+        return self.known
+
+    def total(self, forward: DataFrame) -> tuple[int, float]:
+        return self.documents, self.mean_length
+
+
 def build(documents: DataFrame, k1: float = 1.5, b: float = 0.75) -> Index:
     """Index of ``(id, text)`` with distinct ids that aren't null; a document without tokens has length 0 and is found by no query."""
     return Index(documents.select("id", "text"), k1, b)
@@ -175,37 +208,41 @@ def score_counted(forward: DataFrame, weights: Weights, reduce: scan.Reducer, ki
     return forward.mapInArrow(run, kinds)
 
 
-def _scored(index: Index, queries: DataFrame, reduce: scan.Reducer) -> DataFrame:
-    kind = dict(queries.dtypes)["query_id"]
-    kinds = f"query_id {kind}, id {dict(index.documents.dtypes)['id']}, score double"
+def passes(index: Index | CountedIndex, queries: DataFrame, size: int = WEIGHTS) -> Iterator[tuple[DataFrame, list[tuple], Weights]]:
+    """(counted documents, (query_id, term, weight) rows, weights) for some queries at a time, about ``size`` words of them."""
     asked = stage(asked_words(queries), "bm25-asked")
-    size = asked.count()
-    if not size:
-        return index.documents.sparkSession.createDataFrame([], kinds)
-    passes = -(-size // WEIGHTS)
-    group = F.pmod(F.xxhash64("query_id"), F.lit(passes))
-    one = [tuple(r) for r in asked.collect()] if passes == 1 else None  # within ``WEIGHTS``
-    forward = stage(counted(index.documents, None if one is None else frozenset(t for _, t, _ in one)), "bm25-counted")
-    total = totals_of(forward).first()
+    many = -(-asked.count() // size)
+    group = F.pmod(F.xxhash64("query_id"), F.lit(max(many, 1)))
+    kind = scan.ARROW.get(dict(queries.dtypes)["query_id"])
+    forward = total = None
+    for i in range(many):
+        own = asked if many == 1 else asked.where(group == i)
+        mine = [tuple(r) for r in own.collect()]  # about ``size``
+        if forward is None:
+            forward = index.forward(frozenset(t for _, t, _ in mine) if many == 1 else None)
+            total = index.total(forward)
+        terms = index.frequencies(forward).join(F.broadcast(own.select("term").distinct()), "term", "left_semi")
+        rows = weighed(mine, {r["term"]: r["df"] for r in terms.collect()}, total[0])  # asked words only
+        if rows:
+            yield forward, rows, Weights.of(rows, kind, total[1], index.k1, index.b)
+
+
+def _scored(index: Index | CountedIndex, queries: DataFrame, reduce: scan.Reducer) -> DataFrame:
+    id_kind = dict((index.documents if isinstance(index, Index) else index.counted).dtypes)["id"]
+    kinds = f"query_id {dict(queries.dtypes)['query_id']}, id {id_kind}, score double"
     out = None
-    for i in range(passes):
-        mine = one or [tuple(r) for r in asked.where(group == i).collect()]  # about ``WEIGHTS``
-        own = frequencies(forward)
-        if one is None:
-            own = own.join(F.broadcast(asked.where(group == i).select("term").distinct()), "term", "left_semi")
-        terms = {r["term"]: r["df"] for r in own.collect()}  # asked words only
-        weights = Weights.of(weighed(mine, terms, total["documents"]), scan.ARROW.get(kind), total["mean_length"] or 0.0, index.k1, index.b)
+    for forward, _, weights in passes(index, queries):
         found = score_counted(forward, weights, reduce, kinds)
         out = found if out is None else out.unionByName(found)
-    return out
+    return queries.sparkSession.createDataFrame([], kinds) if out is None else out
 
 
-def score(index: Index, queries: DataFrame) -> DataFrame:
+def score(index: Index | CountedIndex, queries: DataFrame) -> DataFrame:
     """``(query_id, id, score)`` of documents with a term of a query ``(query_id, text)``; a repeated term counts each time."""
     return _scored(index, queries, scan.everything)
 
 
-def search(index: Index, queries: DataFrame, k: int, digits: int | None = None) -> DataFrame:
+def search(index: Index | CountedIndex, queries: DataFrame, k: int, digits: int | None = None) -> DataFrame:
     """``(query_id, id, score, rank)``: the k best documents of each query; with ``digits``, scores are rounded before they rank."""
     return top_k(_scored(index, queries, rounded(scan.best(k), digits)), k)
 

@@ -9,6 +9,7 @@ order of summation.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -16,9 +17,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions import vec as V
-from lodestar.functions.text import SPACE, content_tokens, tokens
-from lodestar.operators import arrow, bm25, codecs, quality, ranking, retriever, search, select, store, training
+from lodestar.functions.text import SPACE, content_tokens, robertson_idf, tokens
+from lodestar.operators import arrow, bm25, codecs, postings, quality, ranking, retriever, search, select, store, training
 from lodestar.session import table, vectors
+from lodestar.staging import root
+from lodestar.streaming.corpus import MaintainedCorpus
 from lodestar.streaming.encode import windowed_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,6 +44,11 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors(spark, sf_dir).where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("vec").alias("query"))
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for tables of one query."""
+    return f"{root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def r6(c: Column | str) -> Column:
     c = F.col(c) if isinstance(c, str) else c
     return F.round(c.cast("double"), 6)
@@ -460,6 +468,28 @@ def bm25_topk(spark, sf_dir):
     return found.select("query_id", "id", r6("score").alias("score"), "rank")
 
 
+@query(f"WITH {_BM}, {_BMQ}, " + topk_sql("SELECT query_id, id, round(score, 9) AS score FROM hits", 10))
+def bm25_postings_topk(spark, sf_dir):
+    """As ``bm25_topk``, from a stored index in blocks of like impact."""
+    index = postings.PostingIndex.build(corpus(spark, sf_dir), scratch(spark, "postings"))
+    return index.search(text_queries(spark, sf_dir), 10, digits=9).select("query_id", "id", r6("score").alias("score"), "rank")
+
+
+_LIVE = "documents AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN reverse(text) ELSE text END AS text FROM documents WHERE doc_id % 7 <> 0)"
+
+
+@query(f"WITH {_LIVE.replace('documents AS', 'live AS')}, {_BM.replace('FROM documents', 'FROM live')} SELECT term, df, round(idf, 6) AS idf FROM terms")
+def maintained_terms(spark, sf_dir):
+    """Document frequencies after two batches of additions, one of changes and deletions, and a replay of the second."""
+    kept = MaintainedCorpus(spark, scratch(spark, "corpus"))
+    docs = corpus(spark, sf_dir)
+    for batch, part in ((0, 0), (1, 1), (1, 1)):
+        kept.apply(docs.where(F.pmod("id", F.lit(2)) == part), batch)
+    changed = docs.where("id % 11 = 0 OR id % 7 = 0").select("id", F.reverse("text").alias("text"), (F.col("id") % 7 == 0).alias("deleted"))
+    kept.apply(changed, 2)
+    return kept.terms().crossJoin(F.broadcast(kept.totals())).select("term", "df", r6(robertson_idf(F.col("df"), F.col("documents"))).alias("idf"))  # one row of totals
+
+
 _DENSE = f"dense AS (SELECT query_id, vec_id AS id, {cos('query', 'embedding')} AS score FROM q, embeddings JOIN documents ON doc_id = vec_id)"
 _SPARSE = "sparse AS (SELECT 50 * query_id AS query_id, id, round(score, 9) AS score FROM hits)"
 
