@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import vec as V
 from lodestar.functions.text import SPACE, content_tokens, robertson_idf, tokens
-from lodestar.operators import arrow, bm25, codecs, postings, quality, ranking, retriever, search, select, store, training
+from lodestar.operators import arrow, bm25, codecs, graph, postings, quality, ranking, retriever, search, select, store, training
 from lodestar.session import table, vectors
 from lodestar.staging import root
 from lodestar.streaming.corpus import MaintainedCorpus
@@ -847,6 +847,20 @@ def ivf_probed_rows(spark, sf_dir):
     return index.join(search.probes(asked(spark, sf_dir), lists, 2), "list_id").groupBy("query_id").agg(F.count(F.lit(1)).alias("rows"))
 
 
+@query()
+def graph_search(spark, sf_dir):
+    """Ten nearest of every query vector by the proximity graph."""
+    index = graph.GraphIndex.build(vectors(spark, sf_dir))
+    return index.search(asked(spark, sf_dir), 10).select("query_id", "id", r6("score").alias("score"), "rank")
+
+
+@query()
+def graph_recall(spark, sf_dir):
+    """Recall of the graph against exact search, with its 95 % interval, and the graph's shape by layer."""
+    index = graph.GraphIndex.build(vectors(spark, sf_dir))
+    return index.stats().crossJoin(F.broadcast(index.recall_estimate(asked(spark, sf_dir))))  # one row of recall
+
+
 @query()
 def ann_search(spark, sf_dir):
     from lodestar.operators.ann import AnnIndex
