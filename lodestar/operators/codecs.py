@@ -263,6 +263,14 @@ class Codec:
         """Compression against 4 bytes a number."""
         return 4 * dims / self.bytes(dims)
 
+    def bits_per_dim(self, dims: int) -> float:
+        return 8 * self.bytes(dims) / dims
+
+    def dist_to_query(self, query: Column, code: Column) -> Column:
+        """Cosine distance of a vector and a code; codes with one scale need none of it, as it cancels out."""
+        plain = self.name in ("int8", "int8_normalized", "int8_adaptive")
+        return 1 - V.cosine(query, code["codes"] if plain else self.decode(code))
+
 
 CODECS = {
     c.name: c

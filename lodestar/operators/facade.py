@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.operators import codecs, quality, search, training
+from lodestar.operators import coded, codecs, quality, search, training
 from lodestar.session import dimension
 
 
@@ -51,31 +50,41 @@ class Compressor:
         """``df`` with ``decoded``: every vector as it comes back."""
         if self.model is None:
             self.fit(df)
-        model, kind = self.model, self.profile.split("-")[0]
-        if isinstance(model, codecs.Codec):
-            return df.withColumn("decoded", model.decode(model.encode(F.col("vec"))))
+        if isinstance(self.model, codecs.Codec):
+            return df.withColumn("decoded", self.model.decode(self.model.encode(F.col("vec"))))
+        return coded.decode(coded.encode(df, self.codec()), self.codec()).drop("code")
+
+    def codec(self) -> coded.TrainedCodec:
+        """The trained model as a codec with codes of its own."""
+        kind = self.profile.split("-")[0]
         if self.profile == "nf4-mixed":
-            return training.mapped(df, lambda x: training.nf4_mixed(x, model))
+            return coded.mixed(self.dims, self.model)
         if kind in ("pq", "opq"):
-            rotation, book = model
-            turn = np.eye(self.dims) if rotation is None else rotation
-            return training.mapped(df, lambda x: training.pq_restore(training.pq_assign(x @ turn, book), book) @ turn.T)
-        return training.mapped(df, lambda x: model.decode(model.encode(x)))
+            return coded.rotated(*self.model)
+        return coded.residual(self.model) if kind == "rq" else coded.autoencoder(self.model)
 
     def compress(self, df: DataFrame) -> DataFrame:
-        """``df`` with ``code`` instead of ``vec``; what PQ gives is an array of parts' codes."""
+        """``df`` with ``code`` instead of ``vec``; what PQ gives is an array of parts' codes, other trained profiles a struct (``coded.CODE``)."""
         if self.model is None:
             self.fit(df)
         if isinstance(self.model, codecs.Codec):
             return df.withColumn("code", self.model.encode(F.col("vec"))).drop("vec")
         if self.profile.startswith("pq-"):
             return search.pq_encode(df, self.model[1], "code").drop("vec")
-        raise ValueError(f"{self.profile} has no table of codes; use roundtrip")
+        return coded.encode(df, self.codec()).drop("vec")
 
-    def decompress(self, coded: DataFrame) -> DataFrame:
+    def decompress(self, stored: DataFrame) -> DataFrame:
         if isinstance(self.model, codecs.Codec):
-            return coded.withColumn("vec", self.model.decode(F.col("code"))).drop("code")
-        return coded.withColumn("vec", search.pq_decode(F.col("code"), self.model[1])).drop("code")
+            return stored.withColumn("vec", self.model.decode(F.col("code"))).drop("code")
+        if self.profile.startswith("pq-"):
+            return stored.withColumn("vec", search.pq_decode(F.col("code"), self.model[1])).drop("code")
+        return coded.decode(stored, self.codec(), out="vec").drop("code")
+
+    def search(self, queries: DataFrame, stored: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
+        """``(query_id, id, score, rank)`` over what ``compress`` gave; trained profiles are searched by their codes."""
+        if isinstance(self.model, codecs.Codec) or self.profile.startswith("pq-"):
+            return search.knn(queries, self.decompress(stored).select("id", "vec"), k, metric)
+        return coded.topk(queries, stored, self.codec(), k, metric)
 
     def ratio(self) -> float:
         """Compression against 4 bytes a number, without the model."""

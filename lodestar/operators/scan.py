@@ -138,11 +138,12 @@ def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     return (batch.slice(at, SCORED_ROWS) for at in range(0, batch.num_rows, SCORED_ROWS))
 
 
-def pairs(queries: DataFrame, rows: DataFrame, reduce: Reducer, schema: str, score: Scorer, ratio: int = 1) -> DataFrame:
+def pairs(queries: DataFrame, rows: DataFrame, reduce: Reducer, schema: str, score: Scorer, ratio: int = 1, meets: int | None = None) -> DataFrame:
     """What ``reduce`` makes of the scores of ``queries`` (query_id, query) and ``rows`` (id, vec).
 
     With a third column ``cell`` in both, queries meet the rows of their cell; a query may
-    have several.  ``ratio``: a query is that many times as long as a row that it meets.
+    have several.  ``ratio``: a query is that many times as long as a row that it meets; ``meets``: rows
+    of any length meet queries of that one.
     A reducer's results for one query, or row, come from several tasks.
     """
     celled = "cell" in queries.columns
@@ -152,7 +153,7 @@ def pairs(queries: DataFrame, rows: DataFrame, reduce: Reducer, schema: str, sco
     if not size["n"]:
         return rows.sparkSession.createDataFrame([], schema)
     if size["n"] > QUERY_ROWS * (16 if celled else 1) or size["numbers"] > QUERY_NUMBERS:
-        return _grid(asked, db, reduce, schema, score, ratio, celled)
+        return _grid(asked, db, reduce, schema, score, ratio, meets, celled)
     held: dict[tuple, tuple[list, list]] = {}
     for r in asked.collect():  # within both bounds
         if all(v is not None and np.isfinite(v) for v in r["query"]):
@@ -169,17 +170,17 @@ def pairs(queries: DataFrame, rows: DataFrame, reduce: Reducer, schema: str, sco
             cells = batch.column(2).to_numpy(zero_copy_only=False) if celled else None
             for n, at, x in by_length(batch.column(1)):
                 for cell in np.unique(cells[at]).tolist() if celled else [None]:
-                    if (cell, n * ratio) in groups:
+                    if (cell, meets or n * ratio) in groups:
                         mine = cells[at] == cell if celled else slice(None)
-                        yield _reduced(reduce, score, *groups[cell, n * ratio], batch.column(0).take(pa.array(at[mine])), x[mine])
+                        yield _reduced(reduce, score, *groups[cell, meets or n * ratio], batch.column(0).take(pa.array(at[mine])), x[mine])
 
     return db.mapInArrow(run, schema)
 
 
-def _grid(asked: DataFrame, db: DataFrame, reduce: Reducer, schema: str, score: Scorer, ratio: int, celled: bool) -> DataFrame:
+def _grid(asked: DataFrame, db: DataFrame, reduce: Reducer, schema: str, score: Scorer, ratio: int, meets: int | None, celled: bool) -> DataFrame:
     """Blocks of queries against parts of rows; both are counted by length and cell first."""
     key = ["n", "cell"] if celled else ["n"]
-    q, r = asked.withColumn("n", F.size("query")), db.where(F.size("vec") > 0).withColumn("n", F.size("vec") * ratio)
+    q, r = asked.withColumn("n", F.size("query")), db.where(F.size("vec") > 0).withColumn("n", F.size("vec") * ratio if meets is None else F.lit(meets))
     block = F.greatest(F.lit(1), F.least(F.lit(QUERY_ROWS), F.floor(F.lit(QUERY_NUMBERS) / F.col("n"))))
     blocks = q.groupBy(*key).agg(F.count(F.lit(1)).alias("c")).select(*key, F.ceil(F.col("c") / block).cast("int").alias("blocks"))
     parts = r.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).cast("int").alias("parts"))

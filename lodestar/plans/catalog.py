@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import vec as V
 from lodestar.functions.text import SPACE, content_tokens, robertson_idf, tokens
-from lodestar.operators import arrow, bm25, codecs, graph, postings, quality, ranking, retriever, search, select, store, training
+from lodestar.operators import arrow, bm25, coded, codecs, graph, postings, quality, ranking, retriever, search, select, store, training
 from lodestar.session import table, vectors
 from lodestar.staging import root
 from lodestar.streaming.corpus import MaintainedCorpus
@@ -644,6 +644,35 @@ def pq_adc_topk(spark, sf_dir):
     return search.adc_topk(asked(spark, sf_dir), coded, book, 10).select("query_id", "id", r6("distance").alias("distance"), "rank")
 
 
+_BOOK2 = "cb2 AS (SELECT m, CAST(row_number() OVER (PARTITION BY m ORDER BY vec_id) - 1 AS INTEGER) AS k, list_transform(embedding[m * 8 + 1:m * 8 + 8], lambda x: CAST(x AS DOUBLE) / 2) AS c FROM (SELECT * FROM embeddings ORDER BY vec_id LIMIT 16 OFFSET 16), range(8) t(m))"
+_RESIDUAL = f"""{_BOOK}, {_BOOK2}, {_DISTS},
+rs AS (SELECT vec_id, m, k, c, list_transform(range(1, 9), lambda i: CAST(embedding[m * 8 + i] AS DOUBLE) - CAST(c[i] AS DOUBLE)) AS r FROM pc JOIN embeddings USING (vec_id)),
+d2 AS (SELECT vec_id, rs.m, cb2.k, list_sum(list_transform(range(1, 9), lambda i: (r[i] - cb2.c[i]) ** 2)) AS d, cb2.c FROM rs JOIN cb2 ON rs.m = cb2.m),
+p2 AS (SELECT vec_id, m, arg_min(k, (d, k)) AS k2, arg_min(c, (d, k)) AS c2 FROM d2 GROUP BY vec_id, m),
+rq AS (SELECT rs.vec_id, rs.m, k, k2, list_transform(range(1, 9), lambda i: CAST(c[i] AS DOUBLE) + c2[i]) AS y FROM rs JOIN p2 ON p2.vec_id = rs.vec_id AND p2.m = rs.m)"""
+
+
+def fixed_residual(spark: SparkSession, sf_dir: str) -> training.ResidualCodebook:
+    """Two passes: the parts of the first 16 rows, and half the parts of the next 16."""
+    rows = vectors(spark, sf_dir).orderBy("id").limit(32).collect()
+    second = np.array([r["vec"] for r in rows[16:]], np.float64).reshape(16, 8, 8).transpose(1, 0, 2) / 2
+    return training.ResidualCodebook((fixed_book(spark, sf_dir), second), 64)
+
+
+@query(f"WITH {_RESIDUAL} SELECT vec_id, string_agg(CAST(k AS VARCHAR), ',' ORDER BY m) || ',' || string_agg(CAST(k2 AS VARCHAR), ',' ORDER BY m) AS codes, round(sum(list_sum(list_transform(y, lambda x: x * x))), 6) AS norm FROM rq GROUP BY vec_id")
+def rq_encode_fixed(spark, sf_dir):
+    made = coded.encode(vectors(spark, sf_dir), coded.residual(fixed_residual(spark, sf_dir)))
+    return made.transform(listed(F.col("code.codes"), r6(F.col("code.more")[0]).alias("norm")))
+
+
+@query(f"WITH {_Q}, {_RESIDUAL}, " + topk_sql("SELECT query_id, vec_id AS id, sqrt(sum(list_sum(list_transform(range(1, 9), lambda i: (CAST(query[m * 8 + i] AS DOUBLE) - y[i]) ** 2)))) AS distance FROM q, rq GROUP BY ALL", 10, "round(distance, 9)", "query_id, id, round(distance, 6) AS distance, rank"))
+def rq_adc_topk(spark, sf_dir):
+    """Search on residual codes with additive tables and stored norms."""
+    codec = coded.residual(fixed_residual(spark, sf_dir))
+    found = coded.topk(asked(spark, sf_dir), coded.encode(vectors(spark, sf_dir), codec), codec, 10, "l2")
+    return found.select("query_id", "id", r6(-F.col("score")).alias("distance"), "rank")
+
+
 _CENT = "ce AS (SELECT CAST(row_number() OVER (ORDER BY vec_id) - 1 AS INTEGER) AS list_id, embedding AS centroid FROM (SELECT * FROM embeddings ORDER BY vec_id LIMIT 8)), asg AS (SELECT vec_id, embedding, arg_min(list_id, (-s, list_id)) AS list_id FROM (SELECT vec_id, embedding, list_id, list_dot_product(" + dbl("embedding") + ", " + dbl("centroid") + ") AS s FROM embeddings, ce) GROUP BY ALL), pr AS (SELECT query_id, query, list_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, list_id) AS probe FROM (SELECT query_id, query, list_id, list_dot_product(" + dbl("query") + ", " + dbl("centroid") + ") AS s FROM q, ce))"
 
 
@@ -763,6 +792,20 @@ def nf4_mixed_roundtrip(spark, sf_dir):
     return training.mapped(v, lambda x: training.nf4_mixed(x, top)).select(F.col("id").alias("vec_id"), r6(V.cosine(F.col("vec"), F.col("decoded"))).alias("cosine"))
 
 
+_MIXED = f"""{_CENTRED}, o AS (SELECT list(dim) AS top FROM (SELECT dim FROM k ORDER BY v DESC, dim LIMIT 16)),
+mx AS (SELECT vec_id, embedding AS v, top, list_max(list_transform(range(64), lambda i: CASE WHEN list_contains(top, i) THEN 0 ELSE abs(embedding[i + 1]) END)) AS m FROM embeddings, o)"""
+
+
+@query(f"""WITH {_MIXED} SELECT vec_id, array_to_string(list_transform(list_filter(range(64), lambda i: NOT list_contains(top, i)), lambda i: len(list_filter({_levels_sql()}, lambda t: t < CAST(v[i + 1] / m AS FLOAT)))), ',') AS codes,
+round(CAST(m AS DOUBLE), 6) AS scale, round(list_sum(list_transform(list_filter(range(64), lambda i: list_contains(top, i)), lambda i: {_rounded_sql('v[i + 1]', 10, -24)})), 6) AS outlier_sum FROM mx""")
+def nf4_mixed_encode(spark, sf_dir):
+    """4-bit codes, scale, and the sum of the outlier dimensions in half precision."""
+    v = vectors(spark, sf_dir)
+    codec = coded.mixed(64, [r["dim"] for r in quality.outlier_dimensions(v, 16).collect()])
+    made = coded.encode(v, codec)
+    return made.transform(listed(F.col("code.codes"), r6(F.col("code.more")[0]).alias("scale"), r6(F.aggregate(F.slice("code.more", 2, 16), F.lit(0.0), lambda a, x: a + x)).alias("outlier_sum")))
+
+
 @query(f"WITH {_NF4} SELECT 'm' || (vec_id % 4) AS module, CASE WHEN vec_id % 8 < 4 THEN 'A' ELSE 'B' END AS matrix, count(*) AS rows, round(avg({cos('v', f'list_transform(codes, lambda c: {_NF4_LEVELS}[c + 1] * m)')}), 6) AS mean_cosine FROM e GROUP BY ALL")
 def lora_pairs(spark, sf_dir):
     rows = vectors(spark, sf_dir).select(F.concat(F.lit("m"), (F.col("id") % 4).cast("string")).alias("module"), F.when(F.col("id") % 8 < 4, "A").otherwise("B").alias("matrix"), F.col("id").alias("row_id"), "vec")
