@@ -13,7 +13,7 @@ from math import ceil, isqrt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.operators import quality, search, store, training
+from lodestar.operators import lists, quality, search, store, training
 
 #: Recall that the measured number of probes reaches on average.
 RECALL = 0.9
@@ -52,28 +52,32 @@ class AnnIndex:
 
     def search(self, queries: DataFrame, k: int = 10, ef: int = 64, where: Column | None = None) -> DataFrame:
         """``(query_id, id, score, rank)``; a filter holds before ranking, so k rows come back where lists hold them."""
-        lists = self.centroids.count()
-        per_list = max(1.0, self.rows.count() / max(lists, 1))
-        probes = min(lists, max(self.probes(k, where), ceil(max(ef, k) * 4 / per_list)))
+        known = self.centroids.count()
+        per_list = max(1.0, self.rows.count() / max(known, 1))
+        probes = min(known, max(self.probes(k, where), ceil(max(ef, k) * 4 / per_list)))
         return search.ivf_search(queries, self.alive(), self.centroids, k, probes, where)
 
     def probes(self, k: int = 10, where: Column | None = None) -> int:
         """Fewest lists that hold ``RECALL`` of the exact results of all rows with ids divisible by 50; all lists if there are none."""
         if where is None and k in self.measured:
             return self.measured[k]
-        lists, live = self.centroids.count(), self.alive()
+        known, live = self.centroids.count(), self.alive()
         queries = live.where("try_cast(id AS bigint) % 50 = 0").select(F.col("id").alias("query_id"), F.col("vec").alias("query"))
         exact = search.knn(queries, live, k, where=where).join(live.select("id", "list_id"), "id")
-        held = exact.join(search.probes(queries, self.centroids, lists), ["query_id", "list_id"]).groupBy("probe").count().collect()  # a row per list at most
+        held = exact.join(search.probes(queries, self.centroids, known), ["query_id", "list_id"]).groupBy("probe").count().collect()  # a row per list at most
         at, total, found, n = {r["probe"]: r["count"] for r in held}, sum(r["count"] for r in held), 0, 0
-        while total and n < lists and found < RECALL * total:
+        while total and n < known and found < RECALL * total:
             n += 1
             found += at.get(n, 0)
-        n = n or lists
+        n = n or known
         if where is None:
             self.measured[k] = n
         return n
 
+    def search_exact(self, queries: DataFrame, k: int = 10, where: Column | None = None) -> DataFrame:
+        """As ``search`` with all of the k nearest, by bounds on the lists instead of a number of probes."""
+        return lists.exact(queries, self.alive(), self.centroids, k, where)
+
     def search_for_recall(self, queries: DataFrame, k: int, target: float) -> DataFrame:
         """``(query_id, n_probe, recall)``: what each query needs."""
         return search.probes_for_recall(queries, self.alive(), self.centroids, k, target)

@@ -140,7 +140,7 @@ def probes(queries: DataFrame, centroids: DataFrame, n: int) -> DataFrame:
     return knn(queries, _as_rows(centroids), n, "dot").select("query_id", F.col("id").alias("list_id"), F.col("rank").alias("probe"))
 
 
-def _probing(queries: DataFrame, centroids: DataFrame, n_probe: int) -> DataFrame:
+def probing(queries: DataFrame, centroids: DataFrame, n_probe: int) -> DataFrame:
     """Queries once for each list that they probe."""
     return probes(queries, centroids, n_probe).join(queries, "query_id").select("query_id", "query", F.col("list_id").alias("cell"))
 
@@ -151,7 +151,7 @@ def ivf_search(queries: DataFrame, index: DataFrame, centroids: DataFrame, k: in
     An index stored by ``list_id`` is read only where a list is probed.
     """
     rows = (index if where is None else index.where(where)).withColumn("cell", F.col("list_id"))
-    return top_k(scan.pairs(_probing(queries, centroids, n_probe), rows, scan.best(k), _kinds(queries, index), scan.scorer("cosine")), k)
+    return top_k(scan.pairs(probing(queries, centroids, n_probe), rows, scan.best(k), _kinds(queries, index), scan.scorer("cosine")), k)
 
 
 def probes_for_recall(queries: DataFrame, index: DataFrame, centroids: DataFrame, k: int, target: float) -> DataFrame:
@@ -254,7 +254,7 @@ def adc_topk(queries: DataFrame, coded: DataFrame, codebook: np.ndarray, k: int,
 def ivf_pq_search(queries: DataFrame, index: DataFrame, centroids: DataFrame, codebook: np.ndarray, k: int, n_probe: int) -> DataFrame:
     """ADC inside the probed lists of an index (id, list_id, codes)."""
     rows = index.select("id", F.col("codes").alias("vec"), F.col("list_id").alias("cell"))
-    return _by_distance(scan.pairs(_probing(queries, centroids, n_probe), rows, scan.best(k), _kinds(queries, index), _adc(codebook), codebook.shape[2]), k)
+    return _by_distance(scan.pairs(probing(queries, centroids, n_probe), rows, scan.best(k), _kinds(queries, index), _adc(codebook), codebook.shape[2]), k)
 
 
 # Metadata -------------------------------------------------------------------------

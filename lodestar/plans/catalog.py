@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import vec as V
 from lodestar.functions.text import SPACE, content_tokens, robertson_idf, tokens
-from lodestar.operators import arrow, bm25, coded, codecs, graph, postings, quality, ranking, retriever, search, select, store, training
+from lodestar.operators import arrow, bm25, coded, codecs, graph, lists, postings, quality, ranking, retriever, search, select, store, training
 from lodestar.session import table, vectors
 from lodestar.staging import root
 from lodestar.streaming.corpus import MaintainedCorpus
@@ -698,6 +698,23 @@ def ivf_search_filtered(spark, sf_dir):
     return search.ivf_search(asked(spark, sf_dir), search.assign(vectors(spark, sf_dir), lists), lists, 5, 3, where=F.col("id") % 2 == 0).select("query_id", "id", r6("score").alias("score"), "rank")
 
 
+@query(ORACLE_SQL["knn_cosine_topk"])
+def ivf_exact_topk(spark, sf_dir):
+    """Exact search over an inverted file, by bounds on its lists."""
+    cents = fixed_lists(spark, sf_dir)
+    index = search.assign(vectors(spark, sf_dir), cents)
+    return lists.exact(asked(spark, sf_dir), index, cents, 10).select("query_id", "id", r6("score").alias("score"), "rank")
+
+
+@query(f"WITH {_Q}, {_CENT}, " + topk_sql(f"SELECT query_id, vec_id AS id, {cos('query', 'embedding')} AS score FROM asg JOIN pr USING (list_id) JOIN (SELECT vec_id, label FROM embeddings) USING (vec_id) WHERE probe <= 3 AND label = 3", 5))
+def ivf_search_summaries(spark, sf_dir):
+    """Filtered search that reads no list whose summary rules the filter out."""
+    cents = fixed_lists(spark, sf_dir)
+    index = search.assign(vectors(spark, sf_dir), cents)
+    found = lists.filtered_search(asked(spark, sf_dir), index, cents, 5, 3, [("label", "==", 3)], lists.summaries(index, ["label"]))
+    return found.select("query_id", "id", r6("score").alias("score"), "rank")
+
+
 @query(f"WITH {_Q}, {_CENT}, ex AS (SELECT * FROM (SELECT query_id, probe, row_number() OVER (PARTITION BY query_id ORDER BY {cos('query', 'embedding')} DESC, vec_id) AS r FROM asg JOIN pr USING (list_id)) WHERE r <= 10), rc AS (SELECT query_id, n, count(*) FILTER (WHERE probe <= n) / 10.0 AS recall FROM ex, (VALUES (1), (2), (4), (8)) t(n) GROUP BY ALL) SELECT query_id, min(n) AS n_probe, round(arg_min(recall, n), 6) AS recall FROM rc WHERE recall >= 0.9 GROUP BY query_id")
 def ivf_probe_for_recall(spark, sf_dir):
     lists = fixed_lists(spark, sf_dir)
