@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from lodestar.llm.components import Forest, components
 from lodestar.llm.scratch import sized, stage, stage_only
-from lodestar.llm.words import WordHashes, mix, shingles, slices
+from lodestar.llm.words import WordHashes, give_back, mix, shingles, slices
 
 #: Chance that the bands lose a pair that is exactly at the threshold.
 MISS = 1e-9
@@ -228,6 +228,7 @@ def _link(by: list[str], k: int, num: int, den: int):
             if len(rows) < 2:
                 continue
             sets = [shingles(word_hashes(t, cache), k) for t in rows["text"]]
+            rows = rows.drop(columns="text")
             ids, side = rows["id"].to_numpy(), rows["side"].to_numpy()
             order = np.lexsort((ids, [len(s) for s in sets], side))
             split = int((side == 0).sum()) if side.max() else 0
@@ -235,6 +236,9 @@ def _link(by: list[str], k: int, num: int, den: int):
             roots = join_blocks([sets[i] for i in order], split, rows["component"].to_numpy()[order], num, den)
             hung = roots != np.arange(len(roots))
             out.append((ids[hung], ids[roots[hung]]))
+            del sets
+        del cache, group
+        give_back()
         a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 2
         return pd.DataFrame({"a": a, "b": b})
 
