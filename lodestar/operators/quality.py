@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions import vec as V
+from lodestar.operators import quantiles
 
 #: Lowest mean cosine of each grade (fixed values).
 GRADES = ((0.999, "A+ (Excellent)"), (0.995, "A (Very Good)"), (0.99, "B+ (Good)"), (0.985, "B (Acceptable)"), (0.98, "C+ (Fair)"), (0.97, "C (Poor)"))
@@ -50,18 +51,19 @@ def per_vector(df: DataFrame) -> DataFrame:
     )
 
 
-def _percentiles(c: Column, at: list[float], accuracy: int | None) -> Column:
-    """Exact percentiles, linear between ranks, or a sketch of fixed size."""
-    wanted = F.array(*[F.lit(p) for p in at])
-    return F.percentile(c, wanted) if accuracy is None else F.percentile_approx(c, wanted, F.lit(accuracy))
+def _percentiles(df: DataFrame, c: Column, at: list[float], accuracy: int | None) -> DataFrame:
+    """One row with an array ``p``: exact percentiles, linear between ranks, or those of a sketch of fixed size."""
+    if accuracy is not None:
+        return df.agg(F.percentile_approx(c, F.array(*[F.lit(p) for p in at]), F.lit(accuracy)).alias("p"))
+    found = quantiles.exact(df, c, at).agg(F.array_sort(F.collect_list(F.struct("fraction", "value"))).alias("q"))  # a row per fraction
+    return found.select(F.transform("q", lambda r: r["value"]).alias("p"))
 
 
 def metrics(df: DataFrame, ratio: float | None = None, accuracy: int | None = 10_000) -> DataFrame:
     """One row: errors, cosines, error percentiles, SNR, PSNR, SSIM, ratio.
 
     Percentiles come from a mergeable sketch whose ranks are within 1 / ``accuracy``.  With
-    None they are exact and linear between ranks, and one task keeps a count for each
-    distinct error: for tables of up to some 10^8 numbers.
+    None they are exact and linear between ranks, by counting ranges (``quantiles``), which reads the rows a few times.
     """
     rows = per_vector(df)
     each = rows.select(F.explode("errors").alias("e"))
@@ -71,10 +73,10 @@ def metrics(df: DataFrame, ratio: float | None = None, accuracy: int | None = 10
         F.avg("cosine").alias("mean_cosine"), F.min("cosine").alias("min_cosine"), F.max("cosine").alias("max_cosine"), F.avg("ssim").alias("ssim"),
         (F.sum("signal") / size).alias("power"), F.max("top").alias("peak"), (size * 4 / (size + 4 * F.count(F.lit(1)))).alias("estimated"),
     )
-    tail = each.agg(_percentiles(F.abs("e"), [p / 100 for p in PERCENTILES], accuracy).alias("p"))
+    tail = _percentiles(each, F.abs("e"), [p / 100 for p in PERCENTILES], accuracy)
     inf = F.lit(float("inf"))
     return whole.crossJoin(tail).select(
-        "mae", "mse", F.sqrt("mse").alias("rmse"), "mean_cosine", "min_cosine", "max_cosine", *[F.col("p")[i].alias(f"p{str(p).replace('.', '_')}") for i, p in enumerate(PERCENTILES)],
+        "mae", "mse", F.sqrt("mse").alias("rmse"), "mean_cosine", "min_cosine", "max_cosine", *[F.get("p", F.lit(i)).alias(f"p{str(p).replace('.', '_')}") for i, p in enumerate(PERCENTILES)],
         F.when(F.col("mse") == 0, inf).otherwise(10 * F.log10(F.col("power") / F.col("mse"))).alias("snr_db"), F.when(F.col("mse") == 0, inf).otherwise(20 * F.log10(F.col("peak") / F.sqrt("mse"))).alias("psnr_db"),
         "ssim", F.coalesce(F.lit(ratio), F.col("estimated")).alias("ratio"), grade(F.col("mean_cosine")).alias("grade"),
     )
@@ -95,9 +97,10 @@ def fidelity(df: DataFrame) -> DataFrame:
 
 def audit(df: DataFrame, accuracy: int | None = 10_000) -> DataFrame:
     """One row: vectors, mean, least and 5th-percentile cosine, mean L2 and relative error; ``accuracy`` as in ``metrics``."""
-    return per_vector(df).agg(
-        F.count(F.lit(1)).alias("n"), F.avg("cosine").alias("mean_cosine"), F.min("cosine").alias("min_cosine"), _percentiles(F.col("cosine"), [0.05], accuracy)[0].alias("p5_cosine"), F.avg("l2_error").alias("mean_l2"), F.avg("relative_error").alias("mean_relative")
-    )
+    rows = per_vector(df)
+    whole = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("cosine").alias("mean_cosine"), F.min("cosine").alias("min_cosine"), F.avg("l2_error").alias("mean_l2"), F.avg("relative_error").alias("mean_relative"))
+    low = _percentiles(rows, F.col("cosine"), [0.05], accuracy)
+    return whole.crossJoin(low).select("n", "mean_cosine", "min_cosine", F.get("p", F.lit(0)).alias("p5_cosine"), "mean_l2", "mean_relative")  # one row each
 
 
 def worst(df: DataFrame, k: int) -> DataFrame:

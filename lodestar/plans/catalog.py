@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import vec as V
 from lodestar.functions.text import SPACE, content_tokens, robertson_idf, tokens
-from lodestar.operators import arrow, bm25, coded, codecs, graph, lists, postings, quality, ranking, retriever, search, select, store, training
+from lodestar.operators import arrow, bm25, coded, codecs, graph, lists, postings, quality, quantiles, ranking, retriever, search, select, store, training
 from lodestar.session import table, vectors
 from lodestar.staging import root
 from lodestar.streaming.corpus import MaintainedCorpus
@@ -854,8 +854,9 @@ def quality_by_dims(spark, sf_dir):
 
 @query("SELECT event_type, round(quantile_disc(value, 0.5), 6) AS p50, round(quantile_disc(value, 0.95), 6) AS p95, round(quantile_disc(value, 0.99), 6) AS p99 FROM events GROUP BY event_type")
 def latency_percentiles(spark, sf_dir):
-    rank = lambda p: F.round(F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY value)"), 6)
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(rank(0.5).alias("p50"), rank(0.95).alias("p95"), rank(0.99).alias("p99"))
+    found = quantiles.exact(table(spark, sf_dir, "events"), F.col("value"), [0.5, 0.95, 0.99], ["event_type"], linear=False)
+    rank = lambda p: F.round(F.max(F.when(F.col("fraction") == p, F.col("value"))), 6)
+    return found.groupBy("event_type").agg(rank(0.5).alias("p50"), rank(0.95).alias("p95"), rank(0.99).alias("p99"))
 
 
 _U8 = f"{_LONG}, t AS (SELECT dim, CAST(min(x) AS DOUBLE) AS low, CAST(max(x) AS DOUBLE) AS high FROM long GROUP BY dim), d AS (SELECT vec_id, list(CAST(low + round(greatest(0.0, least(1.0, CAST((CAST(x AS DOUBLE) - low) / (high - low) AS FLOAT))) * 255, 0) / 255.0 * (high - low) AS FLOAT) ORDER BY dim) AS y FROM long JOIN t USING (dim) GROUP BY vec_id)"
