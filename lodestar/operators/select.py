@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestar.functions import vec as V
 from lodestar.operators import codecs, quality, training
+from lodestar.operators.bm25 import words_of
 from lodestar.session import dimension
 
+#: Words whose directions a task remembers before it starts afresh.
+KNOWN_WORDS = 50_000
+
 
 @dataclass(frozen=True)
 class Profile:
@@ -152,16 +161,35 @@ def embed_tokens(df: DataFrame, dims: int = 128, stop: tuple[str, ...] = ()) ->
     """``(id, vec)`` of ``(id, text)``: the sum of one random direction per token, to unit length.
 
     A token's direction comes from hashes of the token and the dimension, so it is the
-    same everywhere and needs no table.
+    same everywhere and needs no table.  A task reads each text once.  Null texts and texts without tokens
+    give zeros.
     """
-    from lodestar.functions.text import content_tokens
-
-    words = df.select("id", F.explode_outer(content_tokens(F.col("text"), list(stop))).alias("w")).groupBy("id", "w").agg(F.count(F.lit(1)).alias("n"))
-    sign = lambda i: 1 - 2 * F.call_function("shiftright", F.xxhash64("w", F.floor(i / 64)), (i % 64).cast("int")).bitwiseAND(F.lit(1).cast("long"))
-    spread = words.select("id", "n", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.when(F.col("w").isNull(), F.lit(0)).otherwise(sign(i)))).alias("dim", "s"))
-    summed = spread.groupBy("id", "dim").agg(F.sum(F.col("n") * F.col("s")).cast("float").alias("x"))
-    rows = summed.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("dim", "x"))).alias("v"))
-    return rows.select("id", V.normalized(F.transform("v", lambda e: e["x"])).alias("vec"))
+    skip, blocks = frozenset(stop), -(-dims // 64)
+    schema = T.StructType([df.schema["id"], T.StructField("vec", T.ArrayType(T.FloatType()))])
+
+    def direction(word: str) -> np.ndarray:
+        """Signs from the bits of hashes, those of Spark's ``xxhash64(word, block)``."""
+        first = xxhash.xxh64_intdigest(word.encode(), 42)
+        bits = np.frombuffer(b"".join(xxhash.xxh64_intdigest(i.to_bytes(8, "little"), first).to_bytes(8, "little") for i in range(blocks)), np.uint8)
+        return 1 - 2 * np.unpackbits(bits, bitorder="little")[:dims].astype(np.int8)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, np.ndarray] = {}
+        for batch in batches:
+            out = np.zeros((batch.num_rows, dims), np.float32)
+            for row, text in zip(out, batch.column(1).to_pylist()):
+                for word, n in Counter(w for w in words_of(text) if w not in skip).items():
+                    if word not in known:
+                        if len(known) >= KNOWN_WORDS:
+                            known.clear()
+                        known[word] = direction(word)
+                    row += n * known[word]
+            length = np.sqrt((out.astype(np.float64) ** 2).sum(axis=1, keepdims=True))
+            unit = np.divide(out, length, out=np.zeros_like(out, np.float64), where=length > 0).astype(np.float32)
+            lists = pa.ListArray.from_arrays(np.arange(0, out.size + 1, dims, np.int32), pa.array(unit.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["id", "vec"])
+
+    return df.select("id", "text").mapInArrow(run, schema)
 
 
 def residual_cosine(df: DataFrame, model: training.ResidualCodebook) -> DataFrame:

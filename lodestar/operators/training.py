@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.operators.scan import by_length, row_slices
@@ -25,6 +25,10 @@ from lodestar.session import dimension, valid
 
 #: Rows that starting points are chosen from, or twice the number of centroids if that is more.
 START_ROWS = 4_096
+#: Centroids up to which a sample gives the starting points; for more of them all rows do.
+SAMPLED_STARTS = 256
+#: Rows for each centroid that a cell of a tree is trained on at most, and cells that a row looks for its centroid in.
+CELL_SAMPLE, LOOKED_IN = 64, 4
 #: Partial sums that reach the driver at most.
 PARTIAL_SUMS = 64
 
@@ -63,18 +67,57 @@ def summed(df: DataFrame, part: Callable[[np.ndarray], np.ndarray], shape: tuple
     return sum((np.frombuffer(bytes(r["sums"])) for r in rows), np.zeros(int(np.prod(shape)))).reshape(shape)
 
 
-def plus_plus(x: np.ndarray, k: int, seed: int) -> np.ndarray:
-    """k-means++ starting points."""
+def plus_plus(x: np.ndarray, k: int, seed: int, weight: np.ndarray | None = None) -> np.ndarray:
+    """k-means++ starting points; a row counts as often as its weight says."""
     rng = np.random.default_rng(seed)
-    chosen = [x[rng.integers(len(x))]]
+    w = np.ones(len(x)) if weight is None else weight
+    first = rng.integers(len(x)) if weight is None else rng.choice(len(x), p=w / w.sum())
+    chosen = [x[first]]
     near = ((x - chosen[0]) ** 2).sum(1)
     while len(chosen) < min(k, len(x)):
-        p = near / near.sum() if near.sum() > 0 else np.full(len(x), 1 / len(x))
+        mass = near * w
+        p = mass / mass.sum() if mass.sum() > 0 else np.full(len(x), 1 / len(x))
         chosen.append(x[rng.choice(len(x), p=p)])
         near = np.minimum(near, ((x - chosen[-1]) ** 2).sum(1))
     return np.array(chosen)
 
 
+def oversampled(df: DataFrame, k: int, dims: int, change: Callable[[np.ndarray], np.ndarray], seed: int, rounds: int = 4) -> np.ndarray:
+    """k-means|| starting points: every round takes rows with a chance in proportion to their distance from what is taken so far.
+
+    A round reads all rows and takes about k of them, by a hash of the id; a row is then weighed by
+    the rows that it is nearest to, and k-means++ picks k of the few times k that were taken.
+    """
+    taken = change(starting_rows(df, dims, 1, seed))
+    kind = dict(df.dtypes)["id"]
+    for i in range(rounds):
+        now = taken
+
+        def gaps(x: np.ndarray) -> np.ndarray:
+            return ((x - now[nearest(x, now)]) ** 2).sum(1)  # noqa: B023
+
+        cost = float(summed(df, lambda x: gaps(change(x)).sum(), (), dims))  # noqa: B023
+        if cost <= 0:
+            break
+
+        def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for n, at, x in by_length(batch.column(2)):
+                    if n == dims and len(x):
+                        u = batch.column(1).to_numpy()[at]
+                        some = at[u * cost < k * gaps(change(x))]  # noqa: B023
+                        yield batch.select([0, 2]).take(pa.array(some))
+
+        u = (F.pmod(F.xxhash64("id", F.lit(seed), F.lit(i)), F.lit(1 << 30)) + 0.5) / (1 << 30)
+        vec = dict(df.dtypes)["vec"]
+        rows = df.select("id", u.alias("u"), "vec").mapInArrow(pick, f"id {kind}, vec {vec}").orderBy(F.xxhash64("id"), "id").limit(4 * k).collect()  # about ``k``
+        if rows:
+            taken = np.vstack([taken, change(np.array([r["vec"] for r in rows], np.float64))])
+    last = taken
+    weight = summed(df, lambda x: np.bincount(nearest(change(x), last), minlength=len(last)).astype(float), (len(last),), dims)
+    return plus_plus(taken, k, seed, np.maximum(weight, 1e-9))
+
+
 def nearest(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     """The closest centroid of each row, a bounded block of products at a time."""
     norms, out = (centroids * centroids).sum(1)[None], np.zeros(len(x), np.int64)
@@ -89,8 +132,10 @@ def kmeans(df: DataFrame, k: int, rounds: int = 15, seed: int = 0, tolerance: fl
     There are ``k``, or as many as vectors with distinct ids if those are fewer.
     """
     change, dims = transform or (lambda x: x), dimension(df)
-    start = change(starting_rows(df, dims, max(START_ROWS, 2 * k), seed))
-    cents = plus_plus(start, k, seed)
+    if k > SAMPLED_STARTS:
+        cents = oversampled(df, k, dims, change, seed)
+    else:
+        cents = plus_plus(change(starting_rows(df, dims, max(START_ROWS, 2 * k), seed)), k, seed)
     width = cents.shape[1]
     for _ in range(rounds):
         now = cents
@@ -127,6 +172,91 @@ def clusters(df: DataFrame, centroids: np.ndarray) -> DataFrame:
     return df.select("id", "vec").mapInArrow(run, f"id {dict(df.dtypes)['id']}, cluster int")
 
 
+@dataclass(frozen=True)
+class CentroidTree:
+    """Many centroids under few: a row looks among the children of the ``LOOKED_IN`` nearest of ``coarse``.
+
+    ``fine`` is sorted by parent; children of parent p are ``fine[starts[p]:starts[p + 1]]``.
+    """
+
+    coarse: np.ndarray
+    fine: np.ndarray
+    starts: np.ndarray
+
+    def nearest(self, x: np.ndarray) -> np.ndarray:
+        """Number of the nearest looked-at centroid of each row; products are bounded blocks."""
+        best, gap = np.zeros(len(x), np.int64), np.full(len(x), np.inf)
+        norms = (self.coarse * self.coarse).sum(1)[None]
+        near = np.zeros((len(x), min(LOOKED_IN, len(self.coarse))), np.int64)
+        for s in row_slices(x, len(self.coarse)):
+            near[s] = np.argsort(norms - 2 * x[s] @ self.coarse.T, axis=1, kind="stable")[:, : near.shape[1]]
+        for p in np.unique(near).tolist():
+            rows = np.flatnonzero((near == p).any(axis=1))
+            children = self.fine[self.starts[p] : self.starts[p + 1]]
+            if not len(children):
+                continue
+            own = (children * children).sum(1)[None]
+            for s in row_slices(rows, len(children)):
+                d = own - 2 * x[rows[s]] @ children.T
+                at = d.argmin(axis=1)
+                least = d[np.arange(len(at)), at]
+                better = least < gap[rows[s]]
+                best[rows[s][better]], gap[rows[s][better]] = at[better] + self.starts[p], least[better]
+        return best
+
+    def assign(self, df: DataFrame, out: str = "list_id", transform: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+        """``df`` with ``out``; rows without a finite vector of the centroids' length are left out."""
+        from pyspark.sql import types as T
+
+        rows, change = df.drop(out), transform or (lambda x: x)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for n, at, x in by_length(batch.column("vec")):
+                    if n == self.coarse.shape[1] and len(x):
+                        yield pa.RecordBatch.from_arrays([*batch.take(pa.array(at)).columns, pa.array(self.nearest(change(x)).astype(np.int32))], [*batch.schema.names, out])
+
+        return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(out, T.IntegerType())]))
+
+    def centroids(self, df: DataFrame) -> DataFrame:
+        """``(list_id, centroid)``, in the session of ``df``."""
+        return df.sparkSession.createDataFrame([(i, [float(v) for v in c]) for i, c in enumerate(self.fine)], "list_id int, centroid array<double>")
+
+
+def tree_train(df: DataFrame, k: int, rounds: int = 10, seed: int = 0, transform: Callable[[np.ndarray], np.ndarray] | None = None) -> CentroidTree:
+    """About k centroids in two levels: the root of k from all rows, then in each cell its share, on a bounded sample of it.
+
+    Cells are trained apart from each other, each in one group of at most ``CELL_SAMPLE`` rows a centroid.
+    """
+    change, dims = transform or (lambda x: x), dimension(df)
+    coarse = kmeans(df, max(1, round(k**0.5)), rounds, seed, transform=transform)
+    cells = CentroidTree(coarse, coarse, np.arange(len(coarse) + 1)).assign(df.select("id", "vec"), "cell", transform)
+    sizes = {r["cell"]: r["count"] for r in cells.groupBy("cell").count().collect()}  # a row per coarse centroid
+    total = sum(sizes.values())
+    share = {c: max(1, round(k * n / total)) for c, n in sizes.items()}
+    # A row is in the sample by a hash of its id, with twice the chance that gives the bound.
+    wanted = df.sparkSession.createDataFrame([(c, share[c], min(1.0, 2 * CELL_SAMPLE * share[c] / n)) for c, n in sizes.items()], "cell int, share int, chance double")
+    u = (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) + 0.5) / (1 << 30)
+    some = cells.join(F.broadcast(wanted), "cell").where(u < F.col("chance"))
+    w = Window.partitionBy("cell").orderBy(F.xxhash64("id", F.lit(seed)), "id")
+    some = some.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= CELL_SAMPLE * F.col("share")).select("cell", "share", "vec")
+
+    def grow(group: pa.Table) -> pa.Table:
+        cell, own = group.column("cell")[0].as_py(), group.column("share")[0].as_py()
+        x = np.vstack([change(m) for _, _, m in by_length(group.column("vec").combine_chunks())])
+        c = plus_plus(x, min(own, len(x)), seed)
+        for _ in range(rounds):
+            at, sums = nearest(x, c), np.zeros_like(c)
+            np.add.at(sums, at, x)
+            n = np.bincount(at, minlength=len(c))[:, None]
+            c = np.where(n > 0, sums / np.maximum(n, 1), c)
+        return pa.table({"cell": pa.array([cell] * len(c), pa.int32()), "at": pa.array(range(len(c)), pa.int32()), "centroid": pa.array(c.tolist(), pa.list_(pa.float64()))})
+
+    grown = some.groupBy("cell").applyInArrow(grow, "cell int, at int, centroid array<double>").orderBy("cell", "at").collect()  # about ``k``
+    counts = np.bincount([r["cell"] for r in grown], minlength=len(coarse))
+    return CentroidTree(coarse, np.array([r["centroid"] for r in grown]).reshape(-1, dims if transform is None else coarse.shape[1]), np.concatenate([[0], np.cumsum(counts)]))
+
+
 def ivf_train(df: DataFrame, lists: int, rounds: int = 15, seed: int = 0) -> DataFrame:
     """``(list_id, centroid)`` of unit vectors."""
     cents = kmeans(df, lists, rounds, seed, transform=unit_rows)
