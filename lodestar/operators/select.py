@@ -171,7 +171,7 @@ def embed_tokens(df: DataFrame, dims: int = 128, stop: tuple[str, ...] = ()) ->
         """Signs from the bits of hashes, those of Spark's ``xxhash64(word, block)``."""
         first = xxhash.xxh64_intdigest(word.encode(), 42)
         bits = np.frombuffer(b"".join(xxhash.xxh64_intdigest(i.to_bytes(8, "little"), first).to_bytes(8, "little") for i in range(blocks)), np.uint8)
-        return 1 - 2 * np.unpackbits(bits, bitorder="little")[:dims].astype(np.int8)
+        return 1 - 2 * np.unpackbits(bits, bitorder="little")[:dims].astype(np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, np.ndarray] = {}

@@ -510,3 +510,11 @@ def test_many_centroids(spark, monkeypatch):
     assert truth.join(found, ["query_id", "id"]).count() >= 0.5 * truth.count()
     tiny = training.tree_train(df.where("id < 3"), 50, 2)
     assert len(tiny.fine) <= 3 and tiny.assign(df).count() == 4000
+
+
+def test_token_embedding_counts_repeats(spark):
+    """A token that stands hundreds of times counts each time; null and empty texts are zeros."""
+    df = spark.createDataFrame([(1, "fox " * 300 + "dog"), (2, None), (3, "fox"), (4, "dog")], "id long, text string")
+    v = {r["id"]: np.array(r["vec"]) for r in select.embed_tokens(df, 70).collect()}
+    want = 300 * v[3] + v[4]
+    assert np.allclose(v[1], want / np.linalg.norm(want), atol=1e-6) and not v[2].any() and len(v[1]) == 70
