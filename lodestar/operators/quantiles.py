@@ -91,7 +91,7 @@ def exact(df: DataFrame, value: Column, fractions: list[float], by: list[str] |
     keys = by or []
     spark = df.sparkSession
     # Written once, as it is read a few times and an expression may cost more than a number.
-    valued = stage(df.select(*keys, value.cast("double").alias("value")).where("value is not null"), "quantiles")
+    valued = stage(df.select(*keys, value.cast("double").alias("value")), "quantiles").where("value is not null")
     ends = valued.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("value").alias("_low"), F.max("value").alias("_high")).collect()
     kinds = ", ".join([*(f"`{c}` {t}" for c, t in valued.dtypes[:-1]), "fraction double, value double"])
     if not ends or not ends[0]["_n"]:
