@@ -236,10 +236,14 @@ def minmax_table(df: DataFrame, vec: str = "vec") -> DataFrame:
 
 
 def minmax(df: DataFrame, vec: str = "vec") -> DataFrame:
-    """``df`` with lows, highs and codes 0..255; a dimension without range gets code 0."""
+    """``df`` with lows, highs and codes 0..255; a dimension without range gets code 0.
+
+    Products with 255 are in single precision.
+    """
     joined = df.crossJoin(F.broadcast(minmax_table(df, vec)))  # one row
+    one = lambda n: F.lit(float(n)).cast("float")
     part = lambda x, i: ((x.cast("double") - F.element_at("lows", i + 1)) / (F.element_at("highs", i + 1).cast("double") - F.element_at("lows", i + 1))).cast("float")
-    code = lambda x, i: F.when(F.element_at("highs", i + 1) <= F.element_at("lows", i + 1), 0).otherwise(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), part(x, i))) * 255)).cast("smallint")
+    code = lambda x, i: F.when(F.element_at("highs", i + 1) <= F.element_at("lows", i + 1), 0).otherwise(F.round(F.greatest(one(0), F.least(one(1), part(x, i))) * one(255))).cast("smallint")
     return joined.withColumn("codes", F.transform(vec, code))
 
 

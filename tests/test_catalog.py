@@ -1,6 +1,9 @@
 """Every query with a twin gives the rows that DuckDB gives on the same files."""
 
 import duckdb
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from lodestar.plans import catalog
@@ -41,3 +44,24 @@ def test_fetch_by_id_of_any_size(spark, tmp_path):
     spark.createDataFrame([(i, [1.0], 3) for i in ids], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
     got = catalog.QUERIES["fetch_by_id"](spark, str(tmp_path)).collect()
     assert sorted(r["id"] for r in got) == [i for i in ids if i % 7 == 0]
+
+
+@pytest.fixture(scope="module")
+def normal_dir(spark, tmp_path_factory):
+    """So many vectors that products with 255 come to a half in one precision only."""
+    at = tmp_path_factory.mktemp("normal")
+    x = np.random.default_rng(3).standard_normal((12_000, 64)).astype(np.float32)
+    pq.write_table(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.array(list(x)), "label": np.zeros(len(x), np.int32)}), at / "embeddings.parquet")
+    return str(at)
+
+
+def twin_rows(spark, at, name):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{at}/embeddings.parquet'")
+    got, want = catalog.QUERIES[name](spark, at).toPandas(), con.sql(catalog.ORACLE_SQL[name]).df()
+    return rows(got, sorted(want.columns)), rows(want, sorted(want.columns))
+
+
+def test_minmax_codes_of_many_vectors(spark, normal_dir):
+    got, want = twin_rows(spark, normal_dir, "minmax_u8")
+    assert got == want
