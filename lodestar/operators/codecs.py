@@ -248,7 +248,8 @@ def minmax(df: DataFrame, vec: str = "vec") -> DataFrame:
 
 
 def minmax_decode(codes: Column, lows: Column, highs: Column) -> Column:
-    return F.transform(codes, lambda c, i: (F.element_at(lows, i + 1).cast("double") + c / F.lit(255.0) * (F.element_at(highs, i + 1).cast("double") - F.element_at(lows, i + 1))).cast("float"))
+    """Numbers of the codes; quotients by 255 are in single precision, as the products are."""
+    return F.transform(codes, lambda c, i: (F.element_at(lows, i + 1).cast("double") + (c / F.lit(255.0)).cast("float").cast("double") * (F.element_at(highs, i + 1).cast("double") - F.element_at(lows, i + 1))).cast("float"))
 
 
 # Registry ---------------------------------------------------------------------

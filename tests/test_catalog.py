@@ -65,3 +65,8 @@ def twin_rows(spark, at, name):
 def test_minmax_codes_of_many_vectors(spark, normal_dir):
     got, want = twin_rows(spark, normal_dir, "minmax_u8")
     assert got == want
+
+
+def test_minmax_topk_of_many_vectors(spark, normal_dir):
+    got, want = twin_rows(spark, normal_dir, "minmax_topk")
+    assert got == want
