@@ -518,3 +518,39 @@ def test_token_embedding_counts_repeats(spark):
     v = {r["id"]: np.array(r["vec"]) for r in select.embed_tokens(df, 70).collect()}
     want = 300 * v[3] + v[4]
     assert np.allclose(v[1], want / np.linalg.norm(want), atol=1e-6) and not v[2].any() and len(v[1]) == 70
+
+
+@pytest.mark.parametrize("held", [1, 16])
+def test_scores_at_once_are_bounded(spark, held, monkeypatch):
+    """Many queries meet a batch of rows a block of scores at a time, in tasks that hold them all and in a grid."""
+    x = np.random.default_rng(9).standard_normal((4_000, 4))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>").coalesce(1)
+    q = df.where("id < 1500").select(F.col("id").alias("query_id"), F.col("vec").alias("query"))
+    monkeypatch.setattr(scan, "HELD_BLOCKS", held, raising=False)
+    cosine = scan.scorer("cosine")
+
+    def bounded(rows, queries):
+        if len(rows) * len(queries) > 1_000_000:
+            raise ValueError("too many scores at once")
+        return cosine(rows, queries)
+
+    found = search.top_k(scan.pairs(q, df, scan.best(1), "query_id long, id long, score double", bounded), 1)
+    assert found.count() == 1500 and found.where("query_id <> id").count() == 0
+
+
+def test_groups_of_all_scores_are_bounded(spark, monkeypatch):
+    """Where all scores are kept, a group of a grid has no more rows than are scored at once."""
+    df = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(300)], "id long, vec array<double>")
+    q = df.select(F.col("id").alias("query_id"), F.col("vec").alias("query"))
+    for name, value in (("QUERY_ROWS", 50), ("HELD_BLOCKS", 1), ("SCORED_ROWS", 40)):
+        monkeypatch.setattr(scan, name, value, raising=False)
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "200")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        tasks = search.all_scores(q, df).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert sum(r["count"] for r in tasks) == 300 * 300
+    assert len(tasks) > 6  # 6 blocks of queries meet 8 parts of rows, not one
