@@ -130,3 +130,23 @@ def decode(df: DataFrame, codec: str, code: str = "code", out: str = "decoded")
             yield pa.RecordBatch.from_arrays([*b.columns, _in_order(vectors, places, b.num_rows)], [*b.schema.names, out])
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(out, T.ArrayType(T.FloatType()))]))
+
+
+def roundtrip_cosine(df: DataFrame, codec: str, vec: str = "vec", out: str = "cosine") -> DataFrame:
+    """``df`` without its vectors (array<float>), with their cosines to what the codec makes of them, as ``vec.cosine`` gives them."""
+    encoded, decoded, rows = ENCODERS[codec], DECODERS[codec], df.drop(out)
+    keep = [c for c in rows.columns if c != vec]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = np.zeros(b.num_rows)
+            for at, x, holes in _matrices(b.column(vec), np.float32):
+                with np.errstate(invalid="ignore", over="ignore"):
+                    y = decoded(*encoded(x)).astype(np.float32).astype(np.float64)
+                    x = x.astype(np.float64)
+                    n = np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1))
+                    some = (n != 0) & (~holes.any(axis=1) if holes is not None else True)
+                    found[at[some]] = (x * y).sum(1)[some] / n[some]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(found)], [*keep, out])
+
+    return rows.mapInArrow(run, T.StructType([*[rows.schema[c] for c in keep], T.StructField(out, T.DoubleType(), False)]))

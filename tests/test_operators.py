@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import text as X
 from lodestar.functions import vec as V
-from lodestar.operators import bm25, codecs, quality, ranking, scan, search, select, store, training
+from lodestar.operators import arrow, bm25, codecs, quality, ranking, scan, search, select, store, training
 
 
 @pytest.fixture(scope="module")
@@ -554,3 +554,15 @@ def test_groups_of_all_scores_are_bounded(spark, monkeypatch):
             spark.conf.set(k, v)
     assert sum(r["count"] for r in tasks) == 300 * 300
     assert len(tasks) > 6  # 6 blocks of queries meet 8 parts of rows, not one
+
+
+@pytest.mark.parametrize("name", sorted(arrow.ENCODERS))
+def test_cosines_over_arrow(spark, name):
+    """As the expressions give them, on odd rows too; adapter matrices use them."""
+    df = spark.createDataFrame([*ODD, (20, [1.0, float("nan")]), (21, [0.5, -0.25, None]), (22, [3.0, -1.0, 0.125, 7.0])], "id int, vec array<float>")
+    slow = codecs.decode(codecs.encode(df, name), name).select("id", V.cosine(F.col("vec"), F.col("decoded")).alias("cosine"))
+    fast = arrow.roundtrip_cosine(df, name)
+    rows = lambda found: [(r["id"], str(round(r["cosine"], 12))) for r in found.orderBy("id").collect()]
+    assert rows(fast) == rows(slow)
+    whole = select.lora(df.selectExpr("'m' AS module", "'A' AS matrix", "id AS row_id", "vec").where("id >= 22"), name)
+    assert "MapInArrow" in whole._jdf.queryExecution().toString()
