@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from functools import reduce
@@ -15,12 +14,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestar.functions import vec as V
-from lodestar.operators import codecs, quality, training
-from lodestar.operators.bm25 import words_of
+from lodestar.operators import arrow, codecs, quality, training
+from lodestar.operators.bm25 import word_counts
 from lodestar.session import dimension
 
 #: Words whose directions a task remembers before it starts afresh.
 KNOWN_WORDS = 50_000
+#: Texts whose words are looked up together, and directions that are summed at once.
+TEXTS, WORDS = 256, 4_096
 
 
 @dataclass(frozen=True)
@@ -151,7 +152,11 @@ def families(configs: DataFrame) -> DataFrame:
 def lora(rows: DataFrame, codec: str = "nf4") -> DataFrame:
     """``(module, matrix, rows, dims, mean_cosine, ratio)`` of adapter matrices given as rows ``(module, matrix, row_id, vec)``."""
     c = codecs.CODECS[codec]
-    each = rows.select("module", "matrix", V.cosine(F.col("vec"), c.decode(c.encode(F.col("vec")))).alias("cosine"), F.size("vec").alias("d"))
+    sized = rows.select("module", "matrix", "vec", F.size("vec").alias("d"))
+    if codec in arrow.ENCODERS and dict(rows.dtypes)["vec"] == "array<float>":
+        each = arrow.roundtrip_cosine(sized, codec)
+    else:
+        each = sized.withColumn("cosine", V.cosine(F.col("vec"), c.decode(c.encode(F.col("vec")))))
     whole = each.groupBy("module", "matrix").agg(F.count(F.lit(1)).alias("rows"), F.max("d").alias("dims"), F.avg("cosine").alias("mean_cosine"))
     per_number = c.bytes(1024) / 1024
     return whole.withColumn("ratio", F.lit(4 / per_number))
@@ -165,25 +170,32 @@ def embed_tokens(df: DataFrame, dims: int = 128, stop: tuple[str, ...] = ()) ->
     give zeros.
     """
     skip, blocks = frozenset(stop), -(-dims // 64)
+    numbers = [i.to_bytes(8, "little") for i in range(blocks)]
     schema = T.StructType([df.schema["id"], T.StructField("vec", T.ArrayType(T.FloatType()))])
 
-    def direction(word: str) -> np.ndarray:
-        """Signs from the bits of hashes, those of Spark's ``xxhash64(word, block)``."""
-        first = xxhash.xxh64_intdigest(word.encode(), 42)
-        bits = np.frombuffer(b"".join(xxhash.xxh64_intdigest(i.to_bytes(8, "little"), first).to_bytes(8, "little") for i in range(blocks)), np.uint8)
-        return 1 - 2 * np.unpackbits(bits, bitorder="little")[:dims].astype(np.float32)
+    def directions(words: list[str]) -> np.ndarray:
+        """Signs (words, dims) from the bits of hashes, those of Spark's ``xxhash64(word, block)``."""
+        first = [xxhash.xxh64_intdigest(w.encode(), 42) for w in words]
+        digests = np.array([[xxhash.xxh64_intdigest(i, f) for i in numbers] for f in first], "<u8").reshape(len(words), blocks)
+        return 1 - 2 * np.unpackbits(digests.view(np.uint8), axis=1, bitorder="little")[:, :dims].astype(np.int8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, np.ndarray] = {}
-        for batch in batches:
+        place: dict[str, int] = {}
+        known = np.zeros((0, dims), np.int8)  # directions of words, by place
+        for batch in (b.slice(at, TEXTS) for b in batches for at in range(0, b.num_rows, TEXTS)):
             out = np.zeros((batch.num_rows, dims), np.float32)
-            for row, text in zip(out, batch.column(1).to_pylist()):
-                for word, n in Counter(w for w in words_of(text) if w not in skip).items():
-                    if word not in known:
-                        if len(known) >= KNOWN_WORDS:
-                            known.clear()
-                        known[word] = direction(word)
-                    row += n * known[word]
+            counts = [[(w, n) for w, n in word_counts(text).items() if w not in skip] for text in batch.column(1).to_pylist()]
+            if len(place) > KNOWN_WORDS:
+                place, known = {}, known[:0]
+            new = list(dict.fromkeys(w for found in counts for w, _ in found if w not in place))
+            place.update(zip(new, range(len(place), len(place) + len(new))))
+            if len(place) > len(known):  # room for twice the words, so that few are copied
+                known = np.concatenate([known, np.zeros((max(len(place), 2 * len(known)) - len(known), dims), np.int8)])
+            known[len(place) - len(new) : len(place)] = directions(new)
+            for row, found in zip(out, counts):
+                for at in range(0, len(found), WORDS):
+                    some = found[at : at + WORDS]
+                    row += np.array([n for _, n in some], np.float32) @ known[[place[w] for w, _ in some]].astype(np.float32)
             length = np.sqrt((out.astype(np.float64) ** 2).sum(axis=1, keepdims=True))
             unit = np.divide(out, length, out=np.zeros_like(out, np.float64), where=length > 0).astype(np.float32)
             lists = pa.ListArray.from_arrays(np.arange(0, out.size + 1, dims, np.int32), pa.array(unit.ravel()))

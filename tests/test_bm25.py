@@ -1,6 +1,7 @@
 """BM25: stored postings and maintained statistics against scores from the texts."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -136,3 +137,11 @@ def test_stream_of_changes(spark, tmp_path):
     kept.follow(read(), str(tmp_path / "at"), once=True).awaitTermination()
     living = {**dict(DOCS[:60]), 4: "other words", 3: "c1 returns"}
     assert state(kept) == state(fresh(spark, list(living.items()), str(tmp_path / "fresh")))
+
+
+def test_words_are_counted_before_they_are_stripped():
+    """Counts and their order are those of the words in turn, whatever stands between them."""
+    odd = [None, "", " . ", "The the, (THE) other\u00a0the", "a\x1cb a\x1cb. c\x1fd\u2003c", "x\u3000'x' \u0085x- y", "\u0130stanbul i\u0307stanbul", "--- a --- -a-"]
+    for text in odd:
+        counted = bm25.word_counts(text)
+        assert list(counted.items()) == list(Counter(bm25.words_of(text)).items()), text
