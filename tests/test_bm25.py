@@ -145,3 +145,12 @@ def test_words_are_counted_before_they_are_stripped():
     for text in odd:
         counted = bm25.word_counts(text)
         assert list(counted.items()) == list(Counter(bm25.words_of(text)).items()), text
+
+
+def test_scores_among_some_documents(spark):
+    """The rest is not scored, and counts in the statistics all the same."""
+    docs = spark.createDataFrame(DOCS, "id long, text string")
+    queries = spark.createDataFrame([(1, "c1 r5 r5"), (2, "r7 c2")], "query_id long, text string")
+    some = docs.where("id % 3 = 0")
+    rows = lambda found: sorted((r["query_id"], r["id"], round(r["score"], 9)) for r in found.collect())
+    assert rows(bm25.score(bm25.build(docs), queries, some)) == rows(bm25.score(bm25.build(docs), queries).where("id % 3 = 0"))
