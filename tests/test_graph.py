@@ -108,3 +108,34 @@ def test_graph_of_few_rows(spark):
         GraphIndex.build(df.limit(0))
     with pytest.raises(ValueError):
         GraphIndex.build(df, metric="hamming").search(q, 1)
+
+
+def test_blocks_find_most_neighbours(spark, monkeypatch):
+    """Before any descent, the edges of many blocks hold most of the true neighbours; blocks cut by three sets of planes held fewer."""
+    for name, value in (("BLOCK_ROWS", 128), ("ENTRY_ROWS", 20)):
+        monkeypatch.setattr(graph, name, value)
+    x = np.random.default_rng(6).normal(size=(3000, 16)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x.astype(float))], "id long, vec array<float>").repartition(3).cache()
+    edges = GraphIndex.build(df, m=10, rounds=0).edges.where("layer = 0")
+    truth = search.knn(asking(df), df, 11).where("query_id <> id").select(F.col("query_id").alias("src"), F.col("id").alias("dst"))
+    assert edges.join(truth, ["src", "dst"], "left_semi").count() >= 0.75 * truth.count()
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2", "dot"])
+def test_parts_score_like_pairs(spark, clustered, metric):
+    """Pairs that meet parts of rows get the scores of pairs that carry both vectors, for ids of any kind."""
+    rows = clustered.where("id < 300").select(F.concat(F.lit("r"), "id").alias("id"), "vec", (F.col("id") % 2 == 0).alias("_ok"))
+    asked = asking(clustered.where("id < 300"), 30).select(F.concat(F.lit("q"), "query_id").alias("query_id"), "query")
+    pairs = rows.where("_ok").select("id").crossJoin(asked.select("query_id")).select("query_id", "id")
+    got = graph.score_parts(pairs, graph.packed(rows), 30_000, *graph.held_queries(asked), metric)
+    want = graph.score_pairs(pairs.join(rows, "id").join(asked, "query_id").withColumnsRenamed({"query": "a", "vec": "b"}), metric, ["query_id", "id", "_ok"])
+    got, want = ({(r["query_id"], r["id"], r["_ok"]): r["score"] for r in df.collect()} for df in (got, want))
+    assert len(got) == 1500 and got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in got) < 1e-9
+
+
+def test_lists_keep_the_best_edges(spark):
+    """An edge counts once and is known if any list knows it; ties go to smaller ids."""
+    rows = [("a", ["b", "c"], [0.5, 0.9], False), ("a", ["c", "e", "d"], [0.9, 0.5, 0.7], True), ("b", ["a"], [0.5], True), ("c", [], [], True)]
+    lists = spark.createDataFrame(rows, "src string, dst array<string>, score array<double>, fresh boolean")
+    out = {r["src"]: (r["dst"], r["score"], r["fresh"]) for r in graph.best_lists(lists, 3, 3).collect()}
+    assert out == {"a": (["c", "d", "b"], [0.9, 0.7, 0.5], [False, True, False]), "b": (["a"], [0.5], [True])}
